@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import chat, neardup
 
 QUERIES = {
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op9_minhash_neardup": neardup.op9_minhash_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": chat.OP2_SQL,
+}
