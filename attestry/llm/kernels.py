@@ -6,7 +6,8 @@ bounded number of bytes, so that memory follows the longest single text and not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,67 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     return h, starts, ends, np.searchsorted(starts, offsets)
 
 
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word with the white space before it: hashes of both together, starts (of the white space) and ends, row bounds, and the rows that end in white space (or hold nothing else)."""
+    h, starts, ends, bounds = words(data, offsets)
+    begin = np.empty_like(starts)
+    begin[1:] = ends[:-1]
+    has = bounds[1:] > bounds[:-1]
+    begin[bounds[:-1][has]] = offsets[:-1][has]
+    gap = starts - begin
+    code = np.zeros(len(h), dtype=np.uint64)
+    code[gap == 1] = data[begin[gap == 1]]
+    for i in np.flatnonzero(gap > 1):
+        code[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : starts[i]].tobytes(), digest_size=8).digest(), "little") | 256
+    last = offsets[:-1].copy()
+    last[has] = ends[bounds[1:][has] - 1]
+    return mix(h + (code + np.uint64(1)) * np.uint64(_BASE)), begin, ends, bounds, np.flatnonzero(offsets[1:] > last)
+
+
+class Memo:
+    """Values of 64-bit keys, kept for later batches; it starts anew where it would hold more than `limit` keys."""
+
+    def __init__(self, limit: int = 1 << 20):
+        self.limit, self.keys, self.values = limit, np.zeros(0, dtype=np.uint64), None
+
+    def get(self, keys: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Values of `keys`; make(positions in keys) returns those of keys not seen before, a row for each."""
+        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, own)
+        new = np.ones(len(own), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != own[inside]
+        if new.any() or self.values is None:
+            if len(self.keys) + int(new.sum()) > self.limit:
+                self.keys, self.values, new = np.zeros(0, dtype=np.uint64), None, np.ones(len(own), dtype=bool)
+            made = make(first[new])
+            keys_ = np.concatenate([self.keys, own[new]])
+            order = np.argsort(keys_)
+            self.keys = keys_[order]
+            self.values = (made if self.values is None else np.concatenate([self.values, made]))[order]
+            at = np.searchsorted(self.keys, own)
+        return self.values[at][back]
+
+
+_memos: dict[str, Memo] = {}
+
+
+def memo(name: str) -> Memo:
+    """This worker's memo of that name; those of other models under the same kind (before the colon) are let go."""
+    if name not in _memos:
+        for other in [m for m in _memos if m.split(":")[0] == name.split(":")[0]]:
+            del _memos[other]
+        _memos[name] = Memo()
+    return _memos[name]
+
+
+def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each row's values (along the first axis)."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def ngrams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of n words that stay inside a row, and the position of each run's first word. A row of fewer words has none."""
     count = len(h) - n + 1

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, neardup
+from . import chat, langid, neardup, sampling, tokencount
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op4_language_id": langid.op4_language_id,
+    "op7_sentencepiece": sampling.op7_sentencepiece,
     "op9_minhash_neardup": neardup.op9_minhash_neardup,
+    "op10_token_counts": tokencount.op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
