@@ -247,6 +247,37 @@ def minhashes(values: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.n
     return out
 
 
+#: Bins of a one-permutation sketch; the value of an empty one; bins that an empty one looks into, in order.
+BINS, EMPTY = 256, np.uint32(0xFFFFFFFF)
+_PROBES = np.random.Generator(np.random.PCG64(31)).integers(0, BINS, (200, BINS))
+
+
+def one_permutation(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """One-permutation MinHash: the least hash (32 bits) in each of a row's BINS bins. Empty bins borrow by a fixed probing order, so that two rows agree in a bin with the probability of their similarity. A row without values is all EMPTY."""
+    out = np.full(rows * BINS, EMPTY, dtype=np.uint32)
+    np.minimum.at(out, row * BINS + (values & np.uint64(BINS - 1)).astype(np.int64), (values >> np.uint64(32)).astype(np.uint32) >> np.uint32(1))
+    full = np.zeros(rows, dtype=bool)
+    full[row] = True
+    left = np.flatnonzero((out == EMPTY) & np.repeat(full, BINS))
+    own = out.copy()
+    for probe in _PROBES:
+        if not len(left):
+            break
+        got = own[left // BINS * BINS + probe[left % BINS]]
+        hit = got != EMPTY
+        out[left[hit]] = got[hit]
+        left = left[~hit]
+    if len(left):
+        out[left] = own.reshape(rows, BINS).min(axis=1)[left // BINS]
+    return out.reshape(rows, BINS)
+
+
+def sketch_bits(sketch: np.ndarray) -> np.ndarray:
+    """One bit of each bin, packed into BINS / 64 longs a row; two rows agree in a bit with probability (1 + similarity) / 2."""
+    bit = (sketch * np.uint32(0x9E3779B1) ^ sketch >> np.uint32(15)) * np.uint32(0x85EBCA77) >> np.uint32(31)
+    return np.packbits(bit.astype(np.uint8), axis=1).view(np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and the union of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))

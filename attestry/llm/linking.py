@@ -1,22 +1,27 @@
 """From hashed buckets to classes: candidate pairs, verified links, connected components.
 
-No step emits all pairs of a bucket up front. Every member is first compared with its bucket's leader (the
-smallest id), which settles buckets whose members really are alike; what the leaders leave apart is then
-compared across the classes found so far, so no link inside a bucket is lost.
+No step emits all pairs of a bucket up front. Every member is first compared with its bucket's leader, the one
+that meets most others over all buckets (of a group of copies, its centre), which settles buckets whose members
+really are alike. What the leaders leave apart is compared across the classes found so far, so no link inside a
+bucket is lost; a pair reaches verification only if sizes and 256-bit sketches leave its similarity possible.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import BINS
 from .scratch import written
 
 #: Ids that restrict() may broadcast: 2 million longs are 16 MB, 32 MB as a hash table. More are shuffled.
 BROADCAST_IDS = 2_000_000
 ROUNDS = 60
+BITS = [f"s{i}" for i in range(BINS // 64)]
+#: Standard deviations that a sketch may fall short by: about 3 pairs in 100,000 at the very threshold.
+SLACK = 4.0
 
 
 def restrict(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
@@ -45,28 +50,40 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def classes(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def possible(x: str, y: str, percent: int) -> Column:
+    """Whether rows x and y (aliases; n and the sketch bits) can have a similarity of `percent` or more."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in BITS[1:]), F.bit_count(F.col(f"{x}.{BITS[0]}").bitwiseXOR(F.col(f"{y}.{BITS[0]}"))))
+    p = (100 + percent) / 200
+    filled = 0.8 * BINS * (1 - F.exp(-F.least(nx, ny) / BINS))  # bins that count on their own, with room for borrowed ones
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (apart <= BINS * (1 - p + SLACK * F.sqrt(F.lit(p * (1 - p)) / filled)))
+
+
+def classes(keyed: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes of the ids in `keyed` (key, id: longs, one row for each bucket an id is in).
 
-    verify(pairs) takes distinct pairs (a, b), a < b, and returns those that are linked. Returns the links (a, b)
-    and (node, root) for every linked id; ids without a link are in neither. A bucket of one id makes nothing.
+    sketches: (id, n, s0 ..), the set size and sketch bits of each id. verify(pairs) takes distinct pairs (a, b),
+    a < b, and returns those that are linked. Returns the links (a, b) and (node, root) for every linked id; ids
+    without a link are in neither. A bucket of one id makes nothing.
     """
-    lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).filter("lead <> top").drop("top")
-    bucketed = written(keyed.join(lead, "key"), "buckets")
-    led = bucketed.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verify(led), "links")
+    keys = written(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "keys")
+    shared = written(restrict(keyed, keys.select("key"), "key").join(keys, "key"), "shared")
+    own = shared.groupBy("id").agg(F.sum("many").alias("met")).join(sketches, "id")
+    bucketed = written(shared.drop("many").join(own, "id"), "buckets")
+    lead = bucketed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n", *BITS)).alias("lead"))
+    lead = lead.select("key", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("n"), *(F.col(f"lead.{s}").alias(s) for s in BITS))
+    led = bucketed.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.lead")) & possible("x", "y", percent))
+    links = written(verify(led.select(F.least("x.id", "y.lead").alias("a"), F.greatest("x.id", "y.lead").alias("b")).distinct()), "links")
     roots = components(links)
 
     # Buckets that still hold more than one class: compare the members of different classes.
-    placed = bucketed.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "lead", F.coalesce("root", "id").alias("root"))
-    placed = written(placed, "placed")
+    placed = bucketed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).join(lead.select("key", "lead"), "key")
+    placed = written(placed.select("key", "id", "root", "lead", "n", *BITS), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    mixed = written(placed.join(mixed, "key", "left_semi"), "mixed")
+    mixed = written(placed.join(mixed, "key", "left_semi").filter("id <> lead"), "mixed")  # members and leaders were compared above
     x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
-    # a member and the leader of its bucket were compared above
-    across = across.filter(F.col("x.id") != F.col("y.lead")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = written(verify(across), "links")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y", percent))
+    more = written(verify(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), "links")
     if more.isEmpty():
         return links, roots
     links = links.unionByName(more)

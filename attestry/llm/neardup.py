@@ -3,7 +3,7 @@
 A document is its set of distinct 5-word shingles. Copies with equal sets collapse first. Of each remaining set
 a few *collections* (short tuples of minimum hashes) are computed; the table keys are all pairs of collections, so
 m collections of width w give m(m-1)/2 tables of 2w rows from only m*w minimum hashes, the square root of what
-independent bands would take. Candidates are confirmed on their full sets.
+independent bands would take. A 256-bit sketch keeps hopeless candidates out; the rest are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .linking import classes, restrict
+from .linking import BITS, classes, restrict
 from .scratch import written
 
 SHINGLE_WORDS = 5
@@ -28,8 +28,8 @@ COLLECTIONS, WIDTH = 12, 2
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, collections: int = COLLECTIONS, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, c0 .. c{m-1}): size and 128-bit digest of each document's shingle set, and its collections."""
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), *((f"c{i}", pa.int64()) for i in range(collections))]
+    """(doc_id, n_shingles, d1, d2, c0 .. c{m-1}, s0 ..): size and 128-bit digest of each document's shingle set, its collections and sketch bits."""
+    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), *((f"c{i}", pa.int64()) for i in range(collections)), *((s, pa.int64()) for s in BITS)]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,8 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, collections: int = C
                 d1, d2 = K.set_digest(sets, bounds)
                 least = K.minhashes(sets, bounds, collections * width, 11)
                 cells = [np.sum([least[:, i * width + j].astype(np.uint64) * f for j, f in enumerate(K.multipliers(width, 12))], axis=0, dtype=np.uint64) for i in range(collections)]
-                columns = [batch.column(0)[lo:hi], np.diff(bounds), d1, d2, *(K.mix(c).view(np.int64) for c in cells)]
+                bits = K.sketch_bits(K.one_permutation(sets, np.repeat(np.arange(hi - lo), np.diff(bounds)), hi - lo))
+                columns = [batch.column(0)[lo:hi], np.diff(bounds), d1, d2, *(K.mix(c).view(np.int64) for c in cells), *np.ascontiguousarray(bits.T)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) if isinstance(c, np.ndarray) else c for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
 
     ddl = ", ".join(f"{n} long" for n, _ in fields)
@@ -84,7 +85,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
     own = written(sketches(docs, shingle), "sketches")
     full = own.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     cells = [f"c{i}" for i in range(COLLECTIONS)]
-    same = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in cells))
+    same = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in [*cells, *BITS]))
     same = written(same, "sets")
     keys = F.array(*(F.xxhash64(F.lit(i * COLLECTIONS + j), f"c{i}", f"c{j}") for i, j in combinations(range(COLLECTIONS), 2)))
     keyed = same.select("id", F.explode(keys).alias("key"))
@@ -96,7 +97,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
         texts = written(restrict(texts, ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
         return linked(pairs, texts, shingle, percent)
 
-    _, roots = classes(keyed, verify)
+    _, roots = classes(keyed, same.select("id", "n", *BITS), verify, percent)
     groups = same.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("component_id"))
     rows = full.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     rest = own.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

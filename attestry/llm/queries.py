@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, langid, neardup, sampling, tokencount
+from . import chat, langid, linededup, neardup, sampling, tokencount
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op4_language_id": langid.op4_language_id,
     "op7_sentencepiece": sampling.op7_sentencepiece,
