@@ -25,20 +25,30 @@ BANDS, ROWS = 12, 4
 _FACTORS = K.multipliers(SHINGLE, 51)
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points, A-Z in lower case."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where((points >= 65) & (points <= 90), points + np.uint32(32), points)
+
+
+def _shingles(points: np.ndarray) -> np.ndarray:
+    """Hash of the SHINGLE characters from each position on."""
+    n = max(0, len(points) - SHINGLE + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(SHINGLE):
+        h += points[j : j + n] * _FACTORS[j]
+    return K.mix(h)
+
+
 def _line_sketches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the `\\n`-cut lines of `text` that take part: positions, 64-bit digests, set sizes (shingles) and sketches."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = _points(text)
     cuts = np.flatnonzero(points == 10)
     starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(points)]])
-    low = np.where((points >= 65) & (points <= 90), points + np.uint32(32), points).astype(np.uint64)
     takes = np.flatnonzero(ends - starts >= MIN_CHARS)
     if not len(takes):
         return takes, np.zeros(0, dtype=np.uint64), takes, np.zeros((0, K.BINS), dtype=np.uint32)
-    n = len(low) - SHINGLE + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(SHINGLE):
-        h += low[j : j + n] * _FACTORS[j]
-    h = K.mix(h)
+    h = _shingles(points)
     size = ends[takes] - starts[takes] - SHINGLE + 1
     bounds = np.concatenate([[0], np.cumsum(size)])
     at = np.arange(bounds[-1]) + np.repeat(starts[takes] - bounds[:-1], size)
@@ -80,30 +90,16 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line ids whose shingle sets are similar enough; texts: (id, text)."""
-
-    def shingles(text: str) -> set[str]:
-        low = text.translate(_LOWER)
-        return {low[i : i + SHINGLE] for i in range(len(low) - SHINGLE + 1)}
+def _line_sets(texts: DataFrame) -> DataFrame:
+    """(id, members): the shingle sets of lines (id, text), as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, x = [], None, set()
-            for a, s, t in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if a != last:
-                    x, last = shingles(s), a
-                y = shingles(t)
-                both = len(x & y)
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
+            sets = [np.unique(_shingles(_points(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["id", "members"])
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+    return texts.select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -120,16 +116,13 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     same = written(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "tkey")).alias("at"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ["n", *bands, *BITS])), "same")
     keyed = same.select("id", F.explode(F.array(*bands)).alias("key"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    def members(ids: DataFrame) -> DataFrame:
         wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
         own = restrict(docs.select(F.xxhash64("text").alias("tkey"), "text"), wanted.select("tkey"), "tkey").dropDuplicates(["tkey"])
         cut = own.join(wanted, "tkey").select("want", F.split("text", "\n").alias("cut"))
-        texts = written(cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text"), "texts")
-        return _linked(pairs, texts)
+        return _line_sets(cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text"))
 
-    _, roots = classes(keyed, same.select("id", "n", *BITS), verify, PERCENT)
+    _, roots = classes(keyed, same.select("id", "n", *BITS), members, PERCENT)
     rooted = same.select("id", F.struct("at.doc_id", "at.line").alias("at"), "last").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
     touched = written(rooted.join(groups, "root").select("id", "first"), "touched")

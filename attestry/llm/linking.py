@@ -3,7 +3,8 @@
 No step emits all pairs of a bucket up front. Every member is first compared with its bucket's leader, the one
 that meets most others over all buckets (of a group of copies, its centre), which settles buckets whose members
 really are alike. What the leaders leave apart is compared across the classes found so far, so no link inside a
-bucket is lost; a pair reaches verification only if sizes and 256-bit sketches leave its similarity possible.
+bucket is lost; a pair is made only if sizes and 512-bit sketches leave its similarity possible and, for sets of
+up to SMALL members, which travel with the rows, if it is a link.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from .scratch import written
 #: Ids that restrict() may broadcast: 2 million longs are 16 MB, 32 MB as a hash table. More are shuffled.
 BROADCAST_IDS = 2_000_000
 ROUNDS = 60
-BITS = [f"s{i}" for i in range(BINS // 64)]
-#: Standard deviations that a sketch may fall short by: about 3 pairs in 100,000 at the very threshold.
-SLACK = 4.0
+BITS = [f"s{i}" for i in range(BINS // 32)]
+#: Standard deviations that a sketch may fall short by: 5 pairs in 10,000 at the very threshold, fewer above.
+SLACK = 3.3
+#: Members (longs) of a set that is compared inside the join of a bucket's classes.
+SMALL = 1024
 
 
 def restrict(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
@@ -53,18 +56,33 @@ def components(edges: DataFrame) -> DataFrame:
 def possible(x: str, y: str, percent: int) -> Column:
     """Whether rows x and y (aliases; n and the sketch bits) can have a similarity of `percent` or more."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in BITS[1:]), F.bit_count(F.col(f"{x}.{BITS[0]}").bitwiseXOR(F.col(f"{y}.{BITS[0]}"))))
-    p = (100 + percent) / 200
+    apart = F.lit(0)
+    for s in BITS:
+        x_or = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
+        apart = apart + F.bit_count(x_or.bitwiseOR(F.shiftrightunsigned(x_or, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    p = percent / 100 + (1 - percent / 100) / 4
     filled = 0.8 * BINS * (1 - F.exp(-F.least(nx, ny) / BINS))  # bins that count on their own, with room for borrowed ones
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (apart <= BINS * (1 - p + SLACK * F.sqrt(F.lit(p * (1 - p)) / filled)))
 
 
-def classes(keyed: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union. sets: (id, members), each member (a long) once."""
+    a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"of_{c}")) for c in "ab")
+    return pairs.join(b, "b").join(a, "a").filter(_linked(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
+
+
+def _linked(a: Column, b: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union, for sets that aren't empty, with the intersection written (and so computed) once."""
+    return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
+
+
+def classes(keyed: DataFrame, sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes of the ids in `keyed` (key, id: longs, one row for each bucket an id is in).
 
-    sketches: (id, n, s0 ..), the set size and sketch bits of each id. verify(pairs) takes distinct pairs (a, b),
-    a < b, and returns those that are linked. Returns the links (a, b) and (node, root) for every linked id; ids
-    without a link are in neither. A bucket of one id makes nothing.
+    sketches: (id, n, s0 ..), the set size and sketch bits of each id. members(ids) takes a table of distinct ids
+    (id) and returns their sets (id, members), none of them empty. Returns the links (a, b), a < b, that were
+    compared and found, and (node, root) for every linked id; ids without a link are in neither. A bucket of one
+    id makes nothing.
     """
     keys = written(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "keys")
     shared = written(restrict(keyed, keys.select("key"), "key").join(keys, "key"), "shared")
@@ -73,18 +91,30 @@ def classes(keyed: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame],
     lead = bucketed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n", *BITS)).alias("lead"))
     lead = lead.select("key", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("n"), *(F.col(f"lead.{s}").alias(s) for s in BITS))
     led = bucketed.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.lead")) & possible("x", "y", percent))
-    links = written(verify(led.select(F.least("x.id", "y.lead").alias("a"), F.greatest("x.id", "y.lead").alias("b")).distinct()), "links")
+    pairs = written(led.select(F.least("x.id", "y.lead").alias("a"), F.greatest("x.id", "y.lead").alias("b")).distinct(), "pairs")
+    links = written(similar(pairs, _sets_of(pairs, members), percent), "links")
     roots = components(links)
 
     # Buckets that still hold more than one class: compare the members of different classes.
     placed = bucketed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).join(lead.select("key", "lead"), "key")
     placed = written(placed.select("key", "id", "root", "lead", "n", *BITS), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    mixed = written(placed.join(mixed, "key", "left_semi").filter("id <> lead"), "mixed")  # members and leaders were compared above
-    x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y", percent))
-    more = written(verify(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()), "links")
+    mixed = written(placed.join(mixed, "key", "left_semi").filter("id <> lead").drop("lead"), "mixed")  # members and leaders were compared above
+    small = written(members(written(mixed.filter(F.col("n") <= SMALL).select("id").distinct(), "ids")), "sets")
+    held = mixed.join(small, "id", "left")
+    x, y = held.alias("x"), held.alias("y")
+    large = F.col("x.members").isNull() | F.col("y.members").isNull()
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y", percent)
+    found = x.join(y, across & (large | _linked(F.col("x.members"), F.col("y.members"), percent))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open"))
+    found = written(found.distinct(), "pairs")
+    left = written(found.filter("open").select("a", "b"), "pairs")
+    more = written(found.filter("not open").select("a", "b").unionByName(similar(left, _sets_of(left, members), percent)), "links")
     if more.isEmpty():
         return links, roots
     links = links.unionByName(more)
     return links, components(links)
+
+
+def _sets_of(pairs: DataFrame, members: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    return written(members(ids), "sets")

@@ -3,7 +3,7 @@
 A document is its set of distinct 5-word shingles. Copies with equal sets collapse first. Of each remaining set
 a few *collections* (short tuples of minimum hashes) are computed; the table keys are all pairs of collections, so
 m collections of width w give m(m-1)/2 tables of 2w rows from only m*w minimum hashes, the square root of what
-independent bands would take. A 256-bit sketch keeps hopeless candidates out; the rest are confirmed on full sets.
+independent bands would take. A 512-bit sketch keeps hopeless candidates out; the rest are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -49,29 +49,18 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, collections: int = C
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts: (doc_id, text) of every id in the pairs."""
+def shingle_sets(texts: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, members): the whole shingle sets of texts (id, text), as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            (xd, xo), (yd, yo) = K.utf8(batch.column(2)), K.utf8(batch.column(3))
-            ids, last, a = batch.column(0).to_pylist(), None, None
-            for row in range(batch.num_rows):
-                if ids[row] != last:  # the side that repeats
-                    a, last = _set(xd, xo[row : row + 2], shingle), ids[row]
-                both, either = K.jaccard(a, _set(yd, yo[row : row + 2], shingle))
-                keep[row] = both > 0 and 100 * both >= percent * either
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
+            data, offsets = K.utf8(batch.column(1))
+            for lo, hi in K.slices(offsets):
+                h, _, _, bounds = K.words(data, offsets[lo : hi + 1], lower=True)
+                sets, bounds = K.shingle_sets(h, bounds, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))], names=["id", "members"])
 
-def _set(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    h, _, _, bounds = K.words(data, offsets, lower=True)
-    return K.shingle_sets(h, bounds, shingle)[0]
+    return texts.select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -90,14 +79,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
     keys = F.array(*(F.xxhash64(F.lit(i * COLLECTIONS + j), f"c{i}", f"c{j}") for i, j in combinations(range(COLLECTIONS), 2)))
     keyed = same.select("id", F.explode(keys).alias("key"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        texts = written(restrict(texts, ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-        return linked(pairs, texts, shingle, percent)
+    def members(ids: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+        return shingle_sets(restrict(texts, ids, "id"), shingle).dropDuplicates(["id"])
 
-    _, roots = classes(keyed, same.select("id", "n", *BITS), verify, percent)
+    _, roots = classes(keyed, same.select("id", "n", *BITS), members, percent)
     groups = same.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("component_id"))
     rows = full.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     rest = own.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
