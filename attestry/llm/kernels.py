@@ -18,6 +18,8 @@ BLOCK_BYTES = 1 << 19
 #: White space as the contracts define it: \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All of ASCII but letters and digits, for words without marks.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -77,7 +79,7 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _blocks(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of bytes that end at white space or at the end of a row."""
     lo, end = int(offsets[0]), int(offsets[-1])
     while lo < end:
@@ -85,7 +87,7 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         if hi < end:
             stop, at = int(offsets[np.searchsorted(offsets, hi)]), hi
             while at < stop:
-                found = np.flatnonzero(SPACE[data[at : min(at + 4096, stop)]])
+                found = np.flatnonzero(apart[data[at : min(at + 4096, stop)]])
                 if len(found):
                     at += int(found[0])
                     break
@@ -95,12 +97,12 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words of the rows: 64-bit hashes, starts and ends in `data`, and for each row the range of its words (n + 1 bounds)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the rows, cut at the bytes marked in `apart`: 64-bit hashes, starts and ends in `data`, and for each row the range of its words (n + 1 bounds)."""
     table, parts = _BYTE_LOWER if lower else _BYTE, []
-    for lo, hi in _blocks(data, offsets):
+    for lo, hi in _blocks(data, offsets, apart):
         block = data[lo:hi]
-        inside = ~SPACE[block]
+        inside = ~apart[block]
         before = np.empty_like(inside)
         before[0], before[1:] = False, inside[:-1]
         after = np.empty_like(inside)

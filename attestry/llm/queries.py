@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, langid, linededup, neardup, sampling, tokencount
+from . import chat, decontam, langid, linededup, neardup, quality, sampling, tokencount
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op4_language_id": langid.op4_language_id,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_decontamination": decontam.op6_decontamination,
     "op7_sentencepiece": sampling.op7_sentencepiece,
     "op9_minhash_neardup": neardup.op9_minhash_neardup,
     "op10_token_counts": tokencount.op10_token_counts,
