@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, linededup, neardup, quality, sampling, tokencount
+from . import chat, decontam, langid, linededup, neardup, quality, rulefit, sampling, tokencount, urls
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_language_id": langid.op4_language_id,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_sentencepiece": sampling.op7_sentencepiece,
+    "op8_quality_classifier": rulefit.op8_quality_classifier,
     "op9_minhash_neardup": neardup.op9_minhash_neardup,
     "op10_token_counts": tokencount.op10_token_counts,
 }
