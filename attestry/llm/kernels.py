@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 17
 #: White space as the contracts define it: \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -257,7 +257,8 @@ _PROBES = np.random.Generator(np.random.PCG64(31)).integers(0, BINS, (200, BINS)
 def one_permutation(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """One-permutation MinHash: the least hash (32 bits) in each of a row's BINS bins. Empty bins borrow by a fixed probing order, so that two rows agree in a bin with the probability of their similarity. A row without values is all EMPTY."""
     out = np.full(rows * BINS, EMPTY, dtype=np.uint32)
-    np.minimum.at(out, row * BINS + (values & np.uint64(BINS - 1)).astype(np.int64), (values >> np.uint64(32)).astype(np.uint32) >> np.uint32(1))
+    bin_ = (row * BINS) | (values & np.uint64(BINS - 1)).view(np.int64)
+    np.minimum.at(out, bin_, (values >> np.uint64(33)).astype(np.uint32))
     full = np.zeros(rows, dtype=bool)
     full[row] = True
     left = np.flatnonzero((out == EMPTY) & np.repeat(full, BINS))

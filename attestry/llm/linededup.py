@@ -20,9 +20,11 @@ from . import kernels as K
 from .linking import BITS, classes, restrict
 from .scratch import written
 
+#: SHINGLE is a power of two.
 SHINGLE, MIN_CHARS, PERCENT = 8, 24, 80
 BANDS, ROWS = 12, 4
-_FACTORS = K.multipliers(SHINGLE, 51)
+#: Bytes of text at a time: what stays in a core's cache.
+SLICE = 1 << 17
 
 
 def _points(text: str) -> np.ndarray:
@@ -33,10 +35,11 @@ def _points(text: str) -> np.ndarray:
 
 def _shingles(points: np.ndarray) -> np.ndarray:
     """Hash of the SHINGLE characters from each position on."""
-    n = max(0, len(points) - SHINGLE + 1)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(SHINGLE):
-        h += points[j : j + n] * _FACTORS[j]
+    h, reach = points.astype(np.uint64), 1
+    factor = 0x9E3779B97F4A7C15
+    while reach < SHINGLE:  # a polynomial over twice as many characters in each step
+        h = h[:-reach] * np.uint64(factor) + h[reach:] if len(h) > reach else h[:0]
+        factor, reach = factor * factor % (1 << 64), 2 * reach
     return K.mix(h)
 
 
@@ -54,8 +57,7 @@ def _line_sketches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     at = np.arange(bounds[-1]) + np.repeat(starts[takes] - bounds[:-1], size)
     own = h[at]
     row = np.repeat(np.arange(len(takes)), size)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(own ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
-    digest = K.mix((sums[bounds[1:]] - sums[bounds[:-1]]) + size.astype(np.uint64))
+    digest = K.mix(np.add.reduceat(own, bounds[:-1]) + size.astype(np.uint64))
     return takes, digest, size, K.one_permutation(own, row, len(takes))
 
 
@@ -73,7 +75,7 @@ def line_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = K.utf8(batch.column(2))
             tkeys, ids = batch.column(0), batch.column(1)
-            for lo, hi in K.slices(offsets):
+            for lo, hi in K.slices(offsets, SLICE):
                 # the slice's texts as one, each followed by a line feed
                 texts = batch.column(2)[lo:hi].to_pylist()
                 lines = np.array([t.count("\n") + 1 if t is not None else 1 for t in texts])
