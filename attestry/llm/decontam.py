@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A seed is a run of three words of a test item that is rare: its chance under the corpus's own word frequencies is
-at most RARE (an item without enough such runs brings its rarest). A leaked passage that repeats all over the corpus
+at most RARE, or so small that less than one is expected in the whole corpus (an item without enough such runs
+brings its rarest). A leaked passage that repeats all over the corpus
 doesn't make its own seeds common, as words and not runs are counted. Where a document holds seeds of an item, the
 words around them are aligned with the item; edits, insertions and gaps lower the score but don't hide the copy.
 """
@@ -58,7 +59,7 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return counts, total
 
 
-def _seeds(h: np.ndarray, bounds: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _seeds(h: np.ndarray, bounds: np.ndarray, chance: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted seed hashes, and the item and place in it of each. chance: log frequency of each word of the items."""
     grams, at = K.ngrams(h, bounds, SEED_WORDS)
     item = np.searchsorted(bounds, at, side="right") - 1
@@ -66,7 +67,7 @@ def _seeds(h: np.ndarray, bounds: np.ndarray, chance: np.ndarray) -> tuple[np.nd
     order = np.lexsort((rare, item))
     first = np.searchsorted(item[order], np.arange(len(bounds)))
     rank = np.arange(len(order)) - first[item[order]]
-    take = order[(rank < LEAST_SEEDS) | (rare[order] <= np.log(RARE))]
+    take = order[(rank < LEAST_SEEDS) | (rare[order] <= np.log(max(RARE, 1 / max(1, total))))]
     take = take[np.argsort(grams[take], kind="stable")]
     return grams[take], item[take], at[take] - bounds[item[take]]
 
@@ -158,7 +159,7 @@ def _marked(out: DataFrame, docs: DataFrame, items: list) -> DataFrame:
         return out
     counts, total = _word_counts(docs, vocabulary)
     chance = np.log((counts + 1) / (total + len(vocabulary)))
-    seeds, item, at = _seeds(h, bounds, chance[of])
+    seeds, item, at = _seeds(h, bounds, chance[of], total)
     shared = docs.sparkSession.sparkContext.broadcast({"seeds": seeds, "item": item, "at": at, "h": h, "bounds": bounds, "ids": [r["item_id"] for r in items]})
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("seeds", pa.int64())]))
 

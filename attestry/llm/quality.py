@@ -22,7 +22,7 @@ HALF, STEPS, LEAST_ROWS = 0.75, 4, 200
 CUTOFF = 51.5
 MEDIAN = 4.351
 #: Added to the variances: the spread below which a statistic isn't told apart.
-FLOORS = (0.05, 0.02, 0.05, 0.02, 0.02)
+FLOORS = (0.1, 0.05, 0.3, 0.1, 0.1)
 FINE = 16  # histogram bins for each doubling of a squared distance
 X = [f"x{i}" for i in range(5)]
 PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
