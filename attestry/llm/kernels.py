@@ -144,7 +144,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Memo:
     """Values of 64-bit keys, kept for later batches; it starts anew where it would hold more than `limit` keys."""
 
-    def __init__(self, limit: int = 1 << 20):
+    def __init__(self, limit: int = 1 << 21):
         self.limit, self.keys, self.values = limit, np.zeros(0, dtype=np.uint64), None
 
     def get(self, keys: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

@@ -23,6 +23,8 @@ from .langid import vocabulary_path
 VOCABULARY_FILE = "byte_bpe_50k.json"
 LIMIT = 512
 SLICE = 1 << 22
+#: Counts of merged pre-tokens that a worker keeps.
+KEPT = 1 << 19
 
 
 class Counter:
@@ -35,6 +37,7 @@ class Counter:
         self.specials = sorted(specials, key=len, reverse=True)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.whole = frozenset(v for v in vocabulary if self.merged(v) == 1)
+        self.seen: dict[str, int] = {}
 
     def merged(self, pretoken: str) -> int:
         """Tokens that are left once no merge applies, in O(n log n)."""
@@ -65,7 +68,17 @@ class Counter:
         for special in self.specials:
             if special in text:
                 return sum(map(self.count, parts := text.split(special))) + len(parts) - 1
-        return sum(1 if p in self.whole else self.merged(p) for p, _ in self.split(text)) if text else 0
+        return sum(1 if p in self.whole else self._rest(p) for p, _ in self.split(text)) if text else 0
+
+    def _rest(self, pretoken: str) -> int:
+        n = self.seen.get(pretoken)
+        if n is None:
+            n = self.merged(pretoken)
+            if len(pretoken) <= 64:  # so that what is kept stays under some 100 MB
+                if len(self.seen) >= KEPT:
+                    self.seen.clear()
+                self.seen[pretoken] = n
+        return n
 
 
 @lru_cache(maxsize=4)
@@ -88,7 +101,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     library does by default; nothing is added, cut off or padded. Other columns are not read.
     """
     path = path or vocabulary_path(VOCABULARY_FILE)
-    shared = docs.sparkSession.sparkContext.broadcast(counter(path).__dict__ | {"split": None})
+    shared = docs.sparkSession.sparkContext.broadcast(counter(path).__dict__ | {"split": None, "seen": {}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = _received(path, shared), K.memo(f"tokens:{path}")
