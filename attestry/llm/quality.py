@@ -3,7 +3,7 @@
 All of it is DataFrame expressions. Five statistics of each text are transformed to a vector; for each group the
 C-steps of the minimum covariance determinant run as aggregations: means and covariances of the current half, a
 Cholesky factor as column expressions, Mahalanobis distances, and the next half by a histogram of distances. A text
-goes where its squared distance, scaled so that the group's median fits the chi-squared median, is beyond CUTOFF.
+goes where its squared distance, scaled down so that the group's median doesn't exceed the chi-squared median, is beyond CUTOFF.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def outliers(stats: DataFrame, groups: list[str], steps: int = STEPS) -> DataFra
     far = _distances(vectors, F.broadcast(chosen) if _few(chosen) else chosen, ["_group"])
     middle = written(_edges(far, ["_group"], 0.5).select("_group", F.pow(2.0, (F.col("edge") + 0.5) / FINE).alias("middle")), "middle")
     scaled = far.join(F.broadcast(middle) if _few(middle) else middle, "_group")
-    return scaled.select(*rest, (F.col("d2") * MEDIAN / F.greatest("middle", F.lit(MEDIAN / 4))).alias("distance2"))
+    return scaled.select(*rest, (F.col("d2") * MEDIAN / F.greatest("middle", F.lit(MEDIAN))).alias("distance2"))
 
 
 def _few(table: DataFrame, bound: int = 50_000) -> bool:
