@@ -22,7 +22,10 @@ from .lattice import FALLBACK, RAW_MARK, SPACE_MARK, Pieces, forward, lattice, p
 
 #: A piece weighs (1 + rank) ** -STEEPNESS; a character spelled in bytes weighs BYTE_WEIGHT.
 STEEPNESS, BYTE_WEIGHT = 1.0, 1e-9
-SLICE = 1 << 22
+#: Bytes of text at a time: a megabyte of varied text makes more than a million edges.
+SLICE = 1 << 20
+#: Chances are multiples of 1 / GRAIN, exact beside any node number, so that a choice is the same wherever its string lies.
+GRAIN = 1 << 24
 
 
 def _unit_string(raw: bytes, first: bool) -> str:
@@ -30,22 +33,23 @@ def _unit_string(raw: bytes, first: bool) -> str:
     return SPACE_MARK + text if first else text
 
 
-def _widths(strings: list[str], firsts: list[bool]) -> np.ndarray:
+def _widths(strings: list[str], firsts: np.ndarray) -> np.ndarray:
     """For each node, the bytes of raw text before it in its string."""
-    out = []
-    for text, first in zip(strings, firsts, strict=True):
-        out.append(0)
-        at = 0
-        for i, c in enumerate(text):
-            at += 0 if first and i == 0 else 1 if c == SPACE_MARK else 3 if c == RAW_MARK else len(c.encode())
-            out.append(at)
-    return np.array(out, dtype=np.int64)
+    point = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
+    size = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
+    size[point == ord(SPACE_MARK)] = 1
+    length = np.array([len(s) for s in strings], dtype=np.int64)
+    begin = np.cumsum(length) - length
+    size[begin[firsts]] = 0  # the space mark before a text
+    upto = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(strings)), length + 1)
+    return upto[np.arange(len(owner)) - owner] - upto[begin[owner]]
 
 
 class _Sampler:
     """The lattices of a slice's distinct stretches, ready for backward steps."""
 
-    def __init__(self, strings: list[str], firsts: list[bool], vocabulary: Pieces):
+    def __init__(self, strings: list[str], firsts: np.ndarray, vocabulary: Pieces):
         graph = lattice(strings, vocabulary)
         weight = (1.0 + vocabulary.ranks) ** -STEEPNESS
         w = np.where(graph.piece == FALLBACK, BYTE_WEIGHT, weight[graph.piece])
@@ -54,9 +58,13 @@ class _Sampler:
         nodes = len(alpha)
         count = np.bincount(graph.target, minlength=nodes)
         self.first = np.concatenate([[0], np.cumsum(count)])
-        total = np.concatenate([[0.0], np.cumsum(share / np.bincount(graph.target, share, nodes)[graph.target])])
-        within = total[1:] - total[self.first[graph.target]]
-        self.bound = graph.target + np.minimum(within, 1.0)
+        within = share
+        at, end = self.first[:-1][count > 1] + 1, self.first[1:][count > 1]
+        while len(at):  # running sums, node by node, so that a string's bounds don't depend on its neighbours
+            within[at] += within[at - 1]
+            at, end = at[at + 1 < end] + 1, end[at + 1 < end]
+        within /= within[self.first[1:] - 1][graph.target]
+        self.bound = graph.target + np.floor(np.minimum(within, 1.0) * GRAIN) / GRAIN
         self.bound[self.first[1:][count > 0] - 1] = np.flatnonzero(count) + 1.0
         self.source, self.piece, self.base = graph.source, graph.piece, graph.base
         self.end = graph.base + graph.length
@@ -80,8 +88,9 @@ def _sampled(data: np.ndarray, rows: np.ndarray, keys: np.ndarray, vocabulary: P
         return np.zeros(0, dtype=np.int32), np.zeros(len(rows), dtype=np.int64)
     first = starts == rows[owner]
     _, at, unit = np.unique(K.mix(h + first.astype(np.uint64)), return_index=True, return_inverse=True)
-    firsts = first[at].tolist()
-    strings = [_unit_string(data[starts[i] : ends[i]].tobytes(), f) for i, f in zip(at, firsts, strict=True)]
+    firsts = first[at]
+    raw, lowest = data[rows[0] : rows[-1]].tobytes(), int(rows[0])
+    strings = [_unit_string(raw[i - lowest : j - lowest], f) for i, j, f in zip(starts[at].tolist(), ends[at].tolist(), firsts.tolist(), strict=True)]
     lattices = _Sampler(strings, firsts, vocabulary)
     slots = np.full(int(rows[-1] - rows[0]) + len(rows), -1, dtype=np.int32)  # one before each row's bytes
     node, start, row = lattices.end[unit], starts - rows[0], owner
@@ -90,7 +99,7 @@ def _sampled(data: np.ndarray, rows: np.ndarray, keys: np.ndarray, vocabulary: P
     while len(node):
         before = lattices.width[node]
         place = start + before  # byte position of the piece's end, from the slice's first byte
-        chance = (K.mix(salt[row] + (place - (rows[row] - rows[0]) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (node == floor + 1).astype(np.uint64)) >> np.uint64(11)) * 2.0**-53
+        chance = (K.mix(salt[row] + (place - (rows[row] - rows[0]) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (node == floor + 1).astype(np.uint64)) >> np.uint64(40)) / GRAIN
         edge = lattices.step(node, chance)
         piece, source = lattices.piece[edge], lattices.source[edge]
         plain = piece != FALLBACK
