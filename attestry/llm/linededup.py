@@ -4,7 +4,7 @@ A line (24 characters or more) is its set of 8-character shingles, A-Z in lower
 collapse first. Signatures come from one-permutation hashing, one hash a shingle whatever their length, and are cut
 into 12 bands of 4: at similarity 0.8 a pair shares none with probability 0.002. Candidates are confirmed by exact
 Jaccard on their shingle sets, links are joined by distributed union-find, and of each component the first line
-(by doc_id, then position) stays.
+(by doc_id, then position) stays. Shorter lines with a word can take part by their whole text: of equal ones the first stays.
 """
 
 from __future__ import annotations
@@ -43,6 +43,20 @@ def _shingles(points: np.ndarray) -> np.ndarray:
     return K.mix(h)
 
 
+def _short_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of the `\\n`-cut lines of `text` with a word and fewer than MIN_CHARS characters: positions, and 64-bit digests of the whole line."""
+    points = _points(text)
+    cuts = np.flatnonzero(points == 10)
+    starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(points)]])
+    filled = np.concatenate([[0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))])
+    takes = np.flatnonzero((ends - starts < MIN_CHARS) & (filled[ends] > filled[starts]))
+    size = ends[takes] - starts[takes]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+    own = K.mix((points[place + np.repeat(starts[takes], size)].astype(np.uint64) << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1))
+    return takes, K.mix(np.add.reduceat(own, bounds[:-1]) ^ np.uint64(0x632BE59BD9B4E019)) if len(takes) else np.zeros(0, dtype=np.uint64)
+
+
 def _line_sketches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the `\\n`-cut lines of `text` that take part: positions, 64-bit digests, set sizes (shingles) and sketches."""
     points = _points(text)
@@ -61,11 +75,12 @@ def _line_sketches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return takes, digest, size, K.one_permutation(own, row, len(takes))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
     """(tkey, doc_id, line, id, n, k0 .. k11, s0 ..): one row for each line of `docs` (doc_id, text) that takes part.
 
     tkey is the text's hash, id the digest of the line's shingles (equal for lines that have the same), k0 .. are
-    its bands, n and s0 .. its size and sketch bits.
+    its bands, n and s0 .. its size and sketch bits. With `short`, lines of fewer than MIN_CHARS characters have rows
+    too: id is the digest of the whole line, n is 0, and they have no bands and sketch bits.
     """
     fields = [("tkey", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), *((f"k{i}", pa.int64()) for i in range(BANDS)), *((s, pa.int64()) for s in BITS)]
     schema = pa.schema(fields)
@@ -87,6 +102,12 @@ def line_table(docs: DataFrame) -> DataFrame:
                 where = pa.array(row + lo)
                 columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), n, *bands, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
+                if short:
+                    take, digest = _short_lines("\n".join(t or "" for t in texts))
+                    row = np.searchsorted(first, take, side="right") - 1
+                    where = pa.array(row + lo)
+                    columns = [tkeys.take(where), ids.take(where), pa.array(take - first[row], pa.int32()), pa.array(digest.view(np.int64)), pa.array(np.zeros(len(take), np.int64)), *(pa.nulls(len(take), t) for _, t in fields[5:])]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = ", ".join(f"{n} {'int' if t == pa.int32() else 'long'}" for n, t in fields)
     return docs.select(F.xxhash64("text"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
@@ -104,19 +125,21 @@ def _line_sets(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, members array<long>")
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, line): the lines (0-based, cut at \\n) that repeat, exactly or nearly, one that stands before them.
 
     Of each component of similar lines the first by (doc_id, line) is not in the result. Lines of fewer than 24
-    characters, blank ones among them, take no part; nor do null texts and rows with a null doc_id. Rows repeated with one doc_id and
+    characters take part only with `short`: those with a word then repeat one that is equal but for A-Z and a-z. Blank
+    lines take no part; nor do null texts and rows with a null doc_id. Rows repeated with one doc_id and
     text lose the same lines. Columns other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = written(line_table(docs), "lines")
+    lines = written(line_table(docs, short), "lines")
     bands = [f"k{i}" for i in range(BANDS)]
     place = F.struct("doc_id", "line")
     same = written(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "tkey")).alias("at"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ["n", *bands, *BITS])), "same")
-    keyed = same.select("id", F.explode(F.array(*bands)).alias("key"))
+    long = same.filter("n > 0")
+    keyed = long.select("id", F.explode(F.array(*bands)).alias("key"))
 
     def members(ids: DataFrame) -> DataFrame:
         wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
@@ -124,21 +147,23 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         cut = own.join(wanted, "tkey").select("want", F.split("text", "\n").alias("cut"))
         return _line_sets(cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text"))
 
-    _, roots = classes(keyed, same.select("id", "n", *BITS), members, PERCENT)
+    _, roots = classes(keyed, long.select("id", "n", *BITS), members, PERCENT)
     rooted = same.select("id", F.struct("at.doc_id", "at.line").alias("at"), "last").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
     touched = written(rooted.join(groups, "root").select("id", "first"), "touched")
     return lines.select("doc_id", "line", "id").join(touched, "id").filter(F.col("first") != place).select("doc_id", "line")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """`docs` (doc_id, text, ...) without its duplicate lines (duplicate_lines), and n_lines, n_removed (longs).
 
+    With `short`, repeats of lines under 24 characters go as well; op1_line_dedup and the pipeline ask for them.
+
     n_lines counts the \\n-cut lines with a word before removal. Texts without duplicate lines stay as they are, null ones too (n_lines null as 0).
     All columns of the input stay, but for former ones of these two names.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = written(duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "gone")
+    gone = written(duplicate_lines(docs, short).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "gone")
     joined = docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left").drop(gone.doc_id)
     names = docs.columns
 
@@ -163,5 +188,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row for each document: its lines, how many went, and the digest of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, short=True)
     return out.select("doc_id", "n_lines", "n_removed", (F.col("n_lines") - F.col("n_removed")).alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))

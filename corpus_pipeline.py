@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without duplicate lines, n_chars counted anew; documents that lost lines and have no word left go."""
-    out = linededup.dedup_lines(_documents(docs))
+    out = linededup.dedup_lines(_documents(docs), short=True)
     left = out.filter((F.col("n_removed") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
     return _documents(left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
