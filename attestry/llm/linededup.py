@@ -1,9 +1,11 @@
 """Line dedup: fuzzy lines by MinHash.
 
-A line (24 characters or more) is its set of 8-character shingles, A-Z in lower case. Lines with equal shingles
-collapse first. Signatures come from one-permutation hashing, one hash a shingle whatever their length, and are cut
-into 12 bands of 4: at similarity 0.8 a pair shares none with probability 0.002. Candidates are confirmed by exact
-Jaccard on their shingle sets, links are joined by distributed union-find, and of each component the first line
+A line (24 characters or more) is its set of 5-character shingles, A-Z in lower case. Two lines are linked at a Jaccard
+similarity of 0.8, or of 0.6 where both have at most 128 shingles: there one word may differ, which breaks ten shingles
+or so, more than a fifth of a line of 50 characters. Lines with equal shingles collapse first. Signatures come from
+one-permutation hashing, one hash a shingle whatever their length, and are cut into bands of 4: 12 for each line (at
+similarity 0.8 a pair shares none with probability 0.002) and 28 more for one of at most 128 shingles (at 0.6, 0.004).
+Candidates are confirmed by exact Jaccard on their shingle sets, links are joined by distributed union-find, and of each component the first line
 (by doc_id, then position) stays. Shorter lines with a word can take part by their whole text: of equal ones the first stays.
 """
 
@@ -13,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linking import BITS, classes, restrict
 from .scratch import written
 
-#: SHINGLE is a power of two.
-SHINGLE, MIN_CHARS, PERCENT = 8, 24, 80
-BANDS, ROWS = 12, 4
+SHINGLE, MIN_CHARS = 5, 24
+#: Similarity that links, and that of lines with at most FEW shingles.
+PERCENT, FEW, FEW_PERCENT = 80, 128, 60
+#: Bands of each line, and of lines with at most FEW shingles.
+BANDS, FEW_BANDS, ROWS = 12, 40, 4
 #: Bytes of text at a time: what stays in a core's cache.
 SLICE = 1 << 17
 
@@ -35,14 +39,20 @@ def _points(text: str) -> np.ndarray:
 
 def _shingles(points: np.ndarray) -> np.ndarray:
     """Hash of the SHINGLE characters from each position on."""
-    h, reach = points.astype(np.uint64), 1
-    factor = 0x9E3779B97F4A7C15
-    while reach < SHINGLE:  # a polynomial over twice as many characters in each step
-        h = h[:-reach] * np.uint64(factor) + h[reach:] if len(h) > reach else h[:0]
-        factor, reach = factor * factor % (1 << 64), 2 * reach
+    wide = points.astype(np.uint64)
+    count = max(0, len(wide) - SHINGLE + 1)
+    h = wide[:count].copy()
+    for j in range(1, SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += wide[j : j + count]
     return K.mix(h)
 
 
+def _percent(larger: Column) -> Column:
+    """The similarity that links two lines, by the size of the larger set."""
+    return F.when(larger <= FEW, FEW_PERCENT).otherwise(PERCENT)
+
+
 def _short_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Of the `\\n`-cut lines of `text` with a word and fewer than MIN_CHARS characters: positions, and 64-bit digests of the whole line."""
     points = _points(text)
@@ -58,7 +68,7 @@ def _short_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _line_sketches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the `\\n`-cut lines of `text` that take part: positions, 64-bit digests, set sizes (shingles) and sketches."""
+    """Of the `\\n`-cut lines of `text` that take part: positions, 64-bit digests, set sizes (distinct shingles) and sketches."""
     points = _points(text)
     cuts = np.flatnonzero(points == 10)
     starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(points)]])
@@ -72,17 +82,22 @@ def _line_sketches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     own = h[at]
     row = np.repeat(np.arange(len(takes)), size)
     digest = K.mix(np.add.reduceat(own, bounds[:-1]) + size.astype(np.uint64))
-    return takes, digest, size, K.one_permutation(own, row, len(takes))
+    # 40 bits of a hash tell the shingles of a line apart
+    keys = np.sort((row.astype(np.uint64) << np.uint64(40)) | (own >> np.uint64(24)))
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    n = np.bincount((keys[new] >> np.uint64(40)).astype(np.int64), minlength=len(takes))
+    return takes, digest, n, K.one_permutation(own, row, len(takes))
 
 
 def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(tkey, doc_id, line, id, n, k0 .. k11, s0 ..): one row for each line of `docs` (doc_id, text) that takes part.
+    """(tkey, doc_id, line, id, n, keys, s0 ..): one row for each line of `docs` (doc_id, text) that takes part.
 
-    tkey is the text's hash, id the digest of the line's shingles (equal for lines that have the same), k0 .. are
-    its bands, n and s0 .. its size and sketch bits. With `short`, lines of fewer than MIN_CHARS characters have rows
+    tkey is the text's hash, id the digest of the line's shingles (equal for lines that have the same), keys are
+    its bands (FEW_BANDS for a line of at most FEW shingles, or BANDS), n and s0 .. its size and sketch bits. With `short`, lines of fewer than MIN_CHARS characters have rows
     too: id is the digest of the whole line, n is 0, and they have no bands and sketch bits.
     """
-    fields = [("tkey", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), *((f"k{i}", pa.int64()) for i in range(BANDS)), *((s, pa.int64()) for s in BITS)]
+    fields = [("tkey", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), *((s, pa.int64()) for s in BITS)]
     schema = pa.schema(fields)
     factors = K.multipliers(ROWS, 52)
 
@@ -97,10 +112,12 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
                 take, digest, n, sketch = _line_sketches("\n".join(t or "" for t in texts))
                 first = np.concatenate([[0], np.cumsum(lines)])
                 row = np.searchsorted(first, take, side="right") - 1
-                wide = sketch[:, : BANDS * ROWS].astype(np.uint64)
-                bands = [K.mix(sum((wide[:, b * ROWS + j] * factors[j] for j in range(1, ROWS)), wide[:, b * ROWS] * factors[0]) + np.uint64(b + 1)).view(np.int64) for b in range(BANDS)]
+                wide = sketch[:, : FEW_BANDS * ROWS].astype(np.uint64).reshape(-1, FEW_BANDS, ROWS)
+                bands = K.mix(np.sum(wide * factors, axis=2, dtype=np.uint64) + np.arange(1, FEW_BANDS + 1, dtype=np.uint64)).view(np.int64)
+                many = np.where(n <= FEW, FEW_BANDS, BANDS)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(bands[np.arange(FEW_BANDS) < many[:, None]]))
                 where = pa.array(row + lo)
-                columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), n, *bands, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
+                columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), n, keys, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
                 if short:
                     take, digest = _short_lines("\n".join(t or "" for t in texts))
@@ -109,7 +126,8 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
                     columns = [tkeys.take(where), ids.take(where), pa.array(take - first[row], pa.int32()), pa.array(digest.view(np.int64)), pa.array(np.zeros(len(take), np.int64)), *(pa.nulls(len(take), t) for _, t in fields[5:])]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    ddl = ", ".join(f"{n} {'int' if t == pa.int32() else 'long'}" for n, t in fields)
+    ddl_types = {pa.int32(): "int", pa.list_(pa.int64()): "array<long>"}
+    ddl = ", ".join(f"{n} {ddl_types.get(t, 'long')}" for n, t in fields)
     return docs.select(F.xxhash64("text"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
@@ -135,11 +153,10 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = written(line_table(docs, short), "lines")
-    bands = [f"k{i}" for i in range(BANDS)]
     place = F.struct("doc_id", "line")
-    same = written(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "tkey")).alias("at"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ["n", *bands, *BITS])), "same")
+    same = written(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "tkey")).alias("at"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ["n", "keys", *BITS])), "same")
     long = same.filter("n > 0")
-    keyed = long.select("id", F.explode(F.array(*bands)).alias("key"))
+    keyed = long.select("id", F.explode("keys").alias("key"))
 
     def members(ids: DataFrame) -> DataFrame:
         wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
@@ -147,7 +164,7 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         cut = own.join(wanted, "tkey").select("want", F.split("text", "\n").alias("cut"))
         return _line_sets(cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text"))
 
-    _, roots = classes(keyed, long.select("id", "n", *BITS), members, PERCENT)
+    _, roots = classes(keyed, long.select("id", "n", *BITS), members, _percent)
     rooted = same.select("id", F.struct("at.doc_id", "at.line").alias("at"), "last").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
     touched = written(rooted.join(groups, "root").select("id", "first"), "touched")

@@ -53,30 +53,40 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def possible(x: str, y: str, percent: int) -> Column:
+#: A similarity in percent, or one by the size of a pair's larger set.
+Percent = int | Callable[[Column], Column]
+
+
+def _least(percent: Percent, a: Column, b: Column) -> Column:
+    return percent(F.greatest(a, b)) if callable(percent) else F.lit(percent)
+
+
+def possible(x: str, y: str, percent: Percent) -> Column:
     """Whether rows x and y (aliases; n and the sketch bits) can have a similarity of `percent` or more."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = F.lit(0)
     for s in BITS:
         x_or = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
         apart = apart + F.bit_count(x_or.bitwiseOR(F.shiftrightunsigned(x_or, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    percent = _least(percent, nx, ny)
     p = percent / 100 + (1 - percent / 100) / 4
     filled = 0.8 * BINS * (1 - F.exp(-F.least(nx, ny) / BINS))  # bins that count on their own, with room for borrowed ones
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (apart <= BINS * (1 - p + SLACK * F.sqrt(F.lit(p * (1 - p)) / filled)))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (apart <= BINS * (1 - p + SLACK * F.sqrt(p * (1 - p) / filled)))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, percent: Percent) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union. sets: (id, members), each member (a long) once."""
     a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"of_{c}")) for c in "ab")
     return pairs.join(b, "b").join(a, "a").filter(_linked(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
 
 
-def _linked(a: Column, b: Column, percent: int) -> Column:
+def _linked(a: Column, b: Column, percent: Percent) -> Column:
     """100 * intersection >= percent * union, for sets that aren't empty, with the intersection written (and so computed) once."""
+    percent = _least(percent, F.size(a), F.size(b))
     return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
-def classes(keyed: DataFrame, sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+def classes(keyed: DataFrame, sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> tuple[DataFrame, DataFrame]:
     """Classes of the ids in `keyed` (key, id: longs, one row for each bucket an id is in).
 
     sketches: (id, n, s0 ..), the set size and sketch bits of each id. members(ids) takes a table of distinct ids

@@ -18,3 +18,26 @@ def test_short_lines(spark):
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs, short=True).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("Read more.\n \nmore Read", 1), 3: ("\n" + "é" * 23, 3), 4: ("", 1), 5: ("é" * 22, 0), None: ("x", 0)}
     assert {r["n_removed"] for r in linededup.dedup_lines(docs).collect()} == {0}
+
+
+def test_edits_inside_lines(spark):
+    rng = random.Random(2)
+    lines = ["Copyright 2023 Example Media Group. All rights reserved.", "Copyright 2024 Example Media Group. All rights reserved."]
+    lines += ["By Maria Kovac, staff writer, on Monday 3 May at noon", "By Maria Kovac, staff writer, on Friday 3 May at noon"]
+    for size in range(30, 82, 2):
+        line = prose(rng, 30)[:size]
+        at = rng.randrange(size // 4, 3 * size // 4)
+        word = rng.choice([w for w in line.split(" ")[1:-1] if w])
+        lines += [line, line[:at] + "#" + line[at + 1 :], line.replace(word, "".join(rng.choices("bcqwxyz", k=len(word))), 1), prose(rng, 30)[:size]]
+    rng.shuffle(lines)
+    sets = [{x.lower()[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    root = list(range(len(lines)))
+    linked = [(i, j) for i in root for j in range(i) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])]  # all have at most 128 shingles
+    for _ in lines:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    gone = {r["doc_id"] for r in linededup.dedup_lines(docs).filter("n_removed = 1").collect()}
+    assert gone == {i for i in range(len(lines)) if root[i] != i} and len(gone) > 40
+    for a, b in (("2023", "2024"), ("Monday", "Friday")):
+        assert sum(i in gone for i, x in enumerate(lines) if a in x or b in x) == 1
