@@ -22,6 +22,8 @@ SEED_WORDS, RARE, LEAST_SEEDS = 3, 1e-8, 8
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: An item leaks from this share of its full alignment score on, if at least LEAST_WORDS of its words (all, if it has fewer) are worth the score.
 SHARE, LEAST_WORDS = 0.4, 8
+#: Or, whatever its share, if so many of its words are left when each edit costs EDIT, two matches: a passage out of a long item.
+PASSAGE_WORDS, EDIT = 25, 4
 #: Items in one pass over the corpus; a larger benchmark is taken in blocks of so many.
 BLOCK_ITEMS = 20_000
 LEAKS = "array<struct<item_id:long,score:double,seeds:long>>"
@@ -72,7 +74,7 @@ def _seeds(h: np.ndarray, bounds: np.ndarray, chance: np.ndarray, total: int) ->
     return grams[take], item[take], at[take] - bounds[item[take]]
 
 
-def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+def align(items: list[np.ndarray], passages: list[np.ndarray], mismatch: int = MISMATCH, gap: int = GAP) -> np.ndarray:
     """Smith-Waterman scores of word sequences, pair by pair: the best local alignment of each item with its passage."""
     out = np.zeros(len(items), dtype=np.int64)
     order = np.argsort([len(x) * 4096 + len(y) for x, y in zip(items, passages, strict=True)])
@@ -82,13 +84,13 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
         a, b = np.zeros((len(part), m), dtype=np.uint64), np.ones((len(part), w), dtype=np.uint64)  # 0 and 1: never the same
         for k, i in enumerate(part):
             a[k, : len(items[i])], b[k, : len(passages[i])] = items[i], passages[i]
-        slope = GAP * np.arange(w, dtype=np.int32)
+        slope = gap * np.arange(w, dtype=np.int32)
         h = np.zeros((len(part), w), dtype=np.int32)
         best = np.zeros(len(part), dtype=np.int32)
         for i in range(m):
-            step = np.where(b == a[:, i : i + 1], np.int32(MATCH), np.int32(MISMATCH))
+            step = np.where(b == a[:, i : i + 1], np.int32(MATCH), np.int32(mismatch))
             step[:, 1:] += h[:, :-1]
-            np.maximum(step, h - GAP, out=step)
+            np.maximum(step, h - gap, out=step)
             np.maximum(step, 0, out=step)
             h = np.maximum.accumulate(step + slope, axis=1) - slope
             np.maximum(best, h.max(axis=1), out=best)
@@ -120,9 +122,12 @@ def _found(h: np.ndarray, bounds: np.ndarray, block: dict) -> dict[int, list[tup
     left = np.maximum(bounds[row[first]], begin[first] - slack)
     right = np.minimum(bounds[row[first] + 1], begin[last] + size[first] + slack)
     items = [block["h"][block["bounds"][i] : block["bounds"][i + 1]] for i in item[first]]
-    score = align(items, [h[x:y] for x, y in zip(left, right, strict=True)])
+    passages = [h[x:y] for x, y in zip(left, right, strict=True)]
+    score = align(items, passages)
     full = MATCH * size[first]
     leaks = (score >= SHARE * full) & (score >= np.minimum(full, MATCH * LEAST_WORDS))
+    part = np.flatnonzero(~leaks & (score >= MATCH * PASSAGE_WORDS))
+    leaks[part] = align([items[i] for i in part], [passages[i] for i in part], -EDIT, EDIT) >= MATCH * PASSAGE_WORDS
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for k in np.flatnonzero(leaks):
         key, got = (int(row[first[k]]), int(item[first[k]])), (float(score[k] / full[k]), int(last[k] - first[k] + 1))
@@ -137,7 +142,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     """`docs` (text, ...) with leaks: an array of (item_id, score, seeds), one for each test item that the text holds.
 
     benchmark: (item_id, text). Words are runs of letters and digits (and of anything beyond ASCII), A-Z in lower
-    case. score is the alignment score over that of the whole item, 0.4 to 1. Null or wordless texts hold nothing;
+    case. score is the alignment score over that of the whole item, 0.4 to 1, or less for a passage out of a
+    longer item: 25 verbatim words, and two more for each edit inside it. Null or wordless texts hold nothing;
     items of fewer than three words, null ones or ones with a null id take no part; an item of 3 to 7 words must
     occur whole. Items repeated under one id count once where their texts are the same. All columns of `docs` stay,
     but for a former leaks.

@@ -2,7 +2,7 @@
 
 import random
 
-from attestry.llm import linededup
+from attestry.llm import decontam, linededup
 
 SYLLABLES = ["ka", "lo", "mi", "ten", "ru", "sha", "vor", "pel", "dun", "gri", "os", "fa"]
 
@@ -41,3 +41,24 @@ def test_edits_inside_lines(spark):
     assert gone == {i for i in range(len(lines)) if root[i] != i} and len(gone) > 40
     for a, b in (("2023", "2024"), ("Monday", "Friday")):
         assert sum(i in gone for i, x in enumerate(lines) if a in x or b in x) == 1
+
+
+def test_passages_of_long_items(spark):
+    rng = random.Random(3)
+    items = [prose(rng, n).split(" ") for n in (200, 300, 400, 30)]
+    part = lambda i, lo, n: " ".join(items[i][lo : lo + n])
+    thinned = " ".join(w if k % 3 else "qq" for k, w in enumerate(items[2][:120]))
+    texts = [
+        (f"{prose(rng, 60)} {part(0, 100, 70)} {prose(rng, 60)}", [0]),
+        (f"{prose(rng, 10)} {part(1, 0, 100)}", [1]),
+        (part(1, 275, 25), [1]),
+        (f"{prose(rng, 60)} {part(2, 200, 14)} qq {part(2, 215, 13)} {prose(rng, 60)}", [2]),
+        (f"{prose(rng, 60)} {part(2, 200, 13)} qq {part(2, 214, 13)} {prose(rng, 60)}", []),
+        (f"{prose(rng, 60)} {part(0, 20, 24)} {prose(rng, 60)}", []),
+        (f"{thinned} {prose(rng, 60)}", []),
+        (f"{part(3, 0, 15)} {prose(rng, 60)} {part(0, 0, 30)}", [0, 3]),
+    ]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
