@@ -9,6 +9,7 @@ goes where its squared distance, scaled down so that the group's median doesn't
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
-#: Share of a group that the covariance is estimated on, steps, and rows that a group needs for estimates of its own.
-HALF, STEPS, LEAST_ROWS = 0.75, 4, 200
+#: Steps, and rows that a group needs for estimates of its own.
+STEPS, LEAST_ROWS = 4, 200
 #: Squared distance beyond which a text goes: the chi-squared quantile of 5 degrees of freedom at 1 - 1e-9.
 CUTOFF = 51.5
 MEDIAN = 4.351
@@ -95,14 +96,19 @@ def _bin() -> Column:
     return F.floor(FINE * F.log2(F.col("d2") + 1e-6)).cast("long")
 
 
-def _edges(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """(keys, edge): the histogram bin of d2 that holds each group's `share` quantile. Counts meet by (group, bin), a few hundred to a group."""
+def _half(n: Column) -> Column:
+    """Rows of a group of n that the covariance is estimated on: as few as five dimensions allow, so that almost half of a group may be junk."""
+    return F.floor((n + len(X) + 1) / 2)
+
+
+def _edges(rows: DataFrame, keys: list[str], rank: Callable[[Column], Column]) -> DataFrame:
+    """(keys, edge): the histogram bin of d2 that holds the row of that rank in each group, told from the group's rows (all of them, if fewer). Counts meet by (group, bin), a few hundred to a group."""
     from pyspark.sql import Window
 
     bins = rows.groupBy(*keys, _bin().alias("bin")).agg(F.count("*").alias("n"))
     upto, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
     running = bins.select(*keys, "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("all"))
-    return running.filter(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy(*keys).agg(F.min("bin").alias("edge"))
+    return running.filter(F.col("upto") >= F.least(rank(F.col("all")), F.col("all"))).groupBy(*keys).agg(F.min("bin").alias("edge"))
 
 
 def outliers(stats: DataFrame, groups: list[str], steps: int = STEPS) -> DataFrame:
@@ -127,13 +133,13 @@ def outliers(stats: DataFrame, groups: list[str], steps: int = STEPS) -> DataFra
     estimates = written(_moments(near.select(*keys, *X), keys), "estimates")
     for _ in range(steps):
         far = _distances(trained, F.broadcast(estimates) if _few(estimates) else estimates, keys)
-        edges = written(_edges(far, keys, HALF), "edges")
+        edges = written(_edges(far, keys, _half), "edges")
         kept = far.join(F.broadcast(edges) if _few(edges) else edges, keys).filter(_bin() <= F.col("edge"))
         estimates = written(_moments(kept, keys), "estimates")
     best = estimates.groupBy("g").agg(F.min(F.struct("det", "start")).alias("b")).select("g", F.col("b.start").alias("start"))
     chosen = written(estimates.join(best, ["g", "start"]).drop("start").withColumnRenamed("g", "_group"), "chosen")
     far = _distances(vectors, F.broadcast(chosen) if _few(chosen) else chosen, ["_group"])
-    middle = written(_edges(far, ["_group"], 0.5).select("_group", F.pow(2.0, (F.col("edge") + 0.5) / FINE).alias("middle")), "middle")
+    middle = written(_edges(far, ["_group"], lambda n: F.ceil(n / 2)).select("_group", F.pow(2.0, (F.col("edge") + 0.5) / FINE).alias("middle")), "middle")
     scaled = far.join(F.broadcast(middle) if _few(middle) else middle, "_group")
     return scaled.select(*rest, (F.col("d2") * MEDIAN / F.greatest("middle", F.lit(MEDIAN))).alias("distance2"))
 

@@ -2,7 +2,7 @@
 
 import random
 
-from attestry.llm import decontam, linededup
+from attestry.llm import decontam, linededup, quality
 
 SYLLABLES = ["ka", "lo", "mi", "ten", "ru", "sha", "vor", "pel", "dun", "gri", "os", "fa"]
 
@@ -62,3 +62,20 @@ def test_passages_of_long_items(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontam.find_leaks(docs, bench).collect()}
     assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
+def test_groups_with_much_junk(spark):
+    rng = random.Random(4)
+
+    def junk():
+        return " ".join(w + " " + "".join(rng.choices("#*$%&|", k=rng.randint(1, 4))) if rng.random() < 0.4 else w for w in prose(rng, rng.randint(60, 300)).split(" "))
+
+    rows = []
+    for source, share in (("a", 0.35), ("b", 0.45)):
+        rows += [(len(rows) + i, junk() if i < 400 * share else prose(rng, rng.randint(60, 300)), "l", source, i < 400 * share) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    for source in "ab":
+        assert not [i for i, _, _, s, bad in rows if bad and s == source and kept[i]]
+        clean = [kept[i] for i, _, _, s, bad in rows if not bad and s == source]
+        assert sum(clean) >= 0.98 * len(clean)
