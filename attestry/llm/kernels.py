@@ -6,7 +6,7 @@ bounded number of bytes, so that memory follows the longest single text and not
 
 from __future__ import annotations
 
-import hashlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,25 +21,24 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: All of ASCII but letters and digits, for words without marks.
 MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: Of eight bytes as a little-endian number, those of the first n.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    """Powers 0 to n of the base, or of its inverse modulo 2**64."""
-    got = _powers.get(which)
-    if got is None or len(got) <= n:
-        got = np.empty(max(n + 1, BLOCK_BYTES + 4096), dtype=np.uint64)
-        got[0] = 1
-        got[1:] = np.uint64(_BASE if which == "up" else _INVERSE)
-        np.multiply.accumulate(got, out=got)
-        _powers[which] = got
-    return got
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow; once a partition is done, memory that its arrays have freed goes back to the system, as workers stay for later tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -97,9 +96,67 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> Iterato
         lo = hi
 
 
+def _eights(data: np.ndarray, lower: bool) -> np.ndarray:
+    """At each byte the number that it and the seven after it make (zeros after the end), A-Z in lower case if asked for."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    if lower:
+        np.take(LOWER, data, out=padded[: len(data)])
+    else:
+        padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _further(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of eight bytes beyond the first of each stretch: the longer stretches, where each one's blocks begin, and of each block its number, place and bytes."""
+    long = np.flatnonzero(size > 8)
+    count = (size[long] - 1) // 8
+    first = np.cumsum(count) - count
+    k = np.arange(int(count.sum())) - np.repeat(first, count) + 1
+    return long, first, k, np.repeat(starts[long], count) + 8 * k, np.minimum(np.repeat(size[long], count) - 8 * k, 8)
+
+
+def _hashes(eights: np.ndarray, starts: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of bytes: each block of eight goes through mix() under a key of its place, and the sum and the length through mix() again.
+
+    mix() is one to one, so stretches of one length up to eight bytes never share a hash, and no pattern of longer ones cancels out.
+    """
+    key = lambda k: mix(np.asarray(k, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(2 * seed + 1))
+    total = mix((eights[starts] & _FIRST[np.minimum(size, 8)]) ^ key([0]))
+    long, first, k, at, left = _further(starts, size)
+    if len(long):
+        total[long] += np.add.reduceat(mix((eights[at] & _FIRST[left]) ^ key(k)), first)
+    return mix(total + size.astype(np.uint64) * np.uint64(_BASE))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches data[start:end]."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    low = int(starts.min())
+    return _hashes(_eights(data[low : int(ends.max())], False), starts - low, ends - starts)
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of rows with at most `size` bytes, each with its offsets; a longer row comes alone and in parts of about `size` bytes, cut where a word ends before white space."""
+    for lo, hi in slices(offsets, size):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        while end - begin > size and hi == lo + 1:
+            at, cut = begin + size, 0
+            while at < end and not cut:
+                apart = SPACE[data[at - 1 : min(at + 4096, end)]]
+                found = np.flatnonzero(apart[1:] & ~apart[:-1])
+                cut = at + int(found[0]) if len(found) else 0
+                at += 4096
+            if not cut:
+                break
+            yield lo, hi, np.array([begin, cut])
+            begin = cut
+        yield lo, hi, np.concatenate([[begin], offsets[lo + 1 : hi + 1]])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words of the rows, cut at the bytes marked in `apart`: 64-bit hashes, starts and ends in `data`, and for each row the range of its words (n + 1 bounds)."""
-    table, parts = _BYTE_LOWER if lower else _BYTE, []
+    parts = []
     for lo, hi in _blocks(data, offsets, apart):
         block = data[lo:hi]
         inside = ~apart[block]
@@ -111,12 +168,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.
         before[cut] = False
         after[cut - 1] = False
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        total = np.empty(len(block) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(table[block] * _power("up", len(block))[: len(block)], out=total[1:])
-        h = (total[ends] - total[starts]) * _power("down", len(block))[starts]
-        h += (ends - starts).astype(np.uint64)
-        parts.append((mix(h), starts + lo, ends + lo))
+        parts.append((_hashes(_eights(block, lower), starts, ends - starts), starts + lo, ends + lo))
     if parts:
         h, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
     else:
@@ -124,6 +176,40 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.
     return h, starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct(h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches data[start:end] told apart: the position of one of each, each stretch's place among those, and second hashes of those.
+
+    Hashes only bring equal stretches together; whether they are equal is read from their bytes (and from `also`).
+    """
+    if not len(h):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    _, at, back = np.unique(h, return_index=True, return_inverse=True)
+    low = int(starts.min())
+    eights = _eights(data[low : int(ends.max())], lower)
+    one, two, size = starts - low, starts[at][back] - low, ends - starts
+    differ = (size != size[at][back]) | ((eights[one] ^ eights[two]) & _FIRST[np.minimum(size, 8)] != 0)
+    if also is not None:
+        differ |= also != also[at][back]
+    fine = np.flatnonzero(~differ & (size > 8))
+    long, first, _, places, left = _further(one[fine], size[fine])
+    if len(long):
+        shift = np.repeat((two - one)[fine][long], np.diff(np.append(first, len(places))))
+        differ[fine[long]] |= np.add.reduceat((eights[places] ^ eights[places + shift]) & _FIRST[left] != 0, first, dtype=np.int64) > 0
+    wrong = np.flatnonzero(differ)
+    if len(wrong):  # two stretches with one hash
+        known: dict[tuple, int] = {}
+        more = []
+        for i in wrong.tolist():
+            raw = data[starts[i] : ends[i]]
+            name = (LOWER[raw] if lower else raw).tobytes(), None if also is None else also[i]
+            if name not in known:
+                known[name] = len(at) + len(more)
+                more.append(i)
+            back[i] = known[name]
+        at = np.concatenate([at, np.array(more, dtype=at.dtype)])
+    return at, back, _hashes(eights, one[at], size[at], 1)
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each word with the white space before it: hashes of both together, starts (of the white space) and ends, row bounds, and the rows that end in white space (or hold nothing else)."""
     h, starts, ends, bounds = words(data, offsets)
@@ -134,36 +220,45 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     gap = starts - begin
     code = np.zeros(len(h), dtype=np.uint64)
     code[gap == 1] = data[begin[gap == 1]]
-    for i in np.flatnonzero(gap > 1):
-        code[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : starts[i]].tobytes(), digest_size=8).digest(), "little") | 256
+    code[gap > 1] = hashes(data, begin[gap > 1], starts[gap > 1]) | np.uint64(256)
     last = offsets[:-1].copy()
     last[has] = ends[bounds[1:][has] - 1]
     return mix(h + (code + np.uint64(1)) * np.uint64(_BASE)), begin, ends, bounds, np.flatnonzero(offsets[1:] > last)
 
 
 class Memo:
-    """Values of 64-bit keys, kept for later batches; it starts anew where it would hold more than `limit` keys."""
-
-    def __init__(self, limit: int = 1 << 21):
-        self.limit, self.keys, self.values = limit, np.zeros(0, dtype=np.uint64), None
-
-    def get(self, keys: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Values of `keys`; make(positions in keys) returns those of keys not seen before, a row for each."""
-        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, own)
-        new = np.ones(len(own), dtype=bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != own[inside]
-        if new.any() or self.values is None:
-            if len(self.keys) + int(new.sum()) > self.limit:
-                self.keys, self.values, new = np.zeros(0, dtype=np.uint64), None, np.ones(len(own), dtype=bool)
-            made = make(first[new])
-            keys_ = np.concatenate([self.keys, own[new]])
-            order = np.argsort(keys_)
-            self.keys = keys_[order]
-            self.values = (made if self.values is None else np.concatenate([self.values, made]))[order]
-            at = np.searchsorted(self.keys, own)
-        return self.values[at][back]
+    """Values of pairs of 64-bit keys (two hashes of one thing), kept for later batches; it starts anew where it would take more than `limit` bytes."""
+
+    RUNS = 8
+
+    def __init__(self, limit: int = 1 << 26):
+        self.limit, self.runs = limit, []
+
+    def get(self, keys: np.ndarray, checks: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Values of the things with these keys; make(positions) returns those of things not kept, a row for each."""
+        out, left = None, np.arange(len(keys))
+        for own, second, values in self.runs:
+            at = np.minimum(np.searchsorted(own, keys[left]), len(own) - 1)
+            hit = (own[at] == keys[left]) & (second[at] == checks[left])
+            if out is None:
+                out = np.empty((len(keys), *values.shape[1:]), dtype=values.dtype)
+            out[left[hit]] = values[at[hit]]
+            left = left[~hit]
+        if not len(left) and out is not None:
+            return out
+        made = make(left)
+        if out is None:
+            out = np.empty((len(keys), *made.shape[1:]), dtype=made.dtype)
+        out[left] = made
+        own, first = np.unique(keys[left], return_index=True)
+        self.runs.append((own, checks[left][first], made[first]))
+        if sum(r.nbytes for run in self.runs for r in run) > self.limit:
+            self.runs.clear()
+        elif len(self.runs) > self.RUNS:
+            own, second, values = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+            own, first = np.unique(own, return_index=True)
+            self.runs = [(own, second[first], values[first])]
+        return out
 
 
 _memos: dict[str, Memo] = {}

@@ -24,6 +24,8 @@ TRAIN_ROWS = 4_000
 ROUNDS = 2
 #: Added to each piece's expected count.
 PRIOR_COUNT = 0.05
+#: Words in one lattice.
+PART = 5_000
 UNDECIDED = "und"
 MODEL_FILE = "piece_bpe_32k.model"
 
@@ -58,8 +60,8 @@ def word_scores(strings: list[str], vocabulary: Pieces, probability: np.ndarray)
     """Log probability of each string in each language; zeros for an empty one."""
     out = np.zeros((len(strings), probability.shape[1]))
     at = [i for i, s in enumerate(strings) if s]
-    for lo in range(0, len(at), 20_000):
-        part = at[lo : lo + 20_000]
+    for lo in range(0, len(at), PART):
+        part = at[lo : lo + PART]
         graph = lattice([strings[i] for i in part], vocabulary)
         alpha, scale = forward(graph, _edge_weights(graph, probability))
         end = graph.base + graph.length
@@ -99,7 +101,7 @@ def _word_counts(sample: DataFrame, languages: list[str]) -> DataFrame:
                     found[key] = found.get(key, 0) + c
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["k", "word", "n"])
 
-    return sample.select("lang", "text").mapInArrow(run, "k int, word string, n long").filter("word <> ''").groupBy("k", "word").agg(F.sum("n").alias("n"))
+    return sample.select("lang", "text").mapInArrow(K.task(run), "k int, word string, n long").filter("word <> ''").groupBy("k", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, path: str | None = None, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -141,7 +143,7 @@ def _e_step(words: DataFrame, path: str, probability: np.ndarray) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(k, pa.int64()), pa.array(total[piece, k])], names=["piece", "k", "uses"])
 
     # a fixed number of decimals keeps the sums independent of the order in which tasks end
-    return words.mapInArrow(run, "piece long, k long, uses double").groupBy("piece", "k").agg(F.sum(F.col("uses").cast("decimal(28,6)")).cast("double").alias("uses"))
+    return words.mapInArrow(K.task(run), "piece long, k long, uses double").groupBy("piece", "k").agg(F.sum(F.col("uses").cast("decimal(28,6)")).cast("double").alias("uses"))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], path: str | None = None) -> DataFrame:
@@ -167,7 +169,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
                 h, starts, ends, bounds = K.words(data, own, lower=True)
                 sums = np.zeros((hi - lo, len(languages)))
                 if len(h):
-                    sums = K.row_sums(memo.get(h, lambda at: word_scores([_string(data[starts[i] : ends[i]].tobytes()) for i in at], vocabulary, shared.value)), bounds)  # noqa: B023
+                    at, back, second = K.distinct(h, data, starts, ends, lower=True)
+                    found = memo.get(h[at], second, lambda new: word_scores([_string(data[starts[i] : ends[i]].tobytes()) for i in at[new]], vocabulary, shared.value))  # noqa: B023
+                    sums = K.row_sums(found[back], bounds)
                 sums = sums + priors
                 best = sums.argmax(axis=1)
                 score = 1.0 / np.exp(sums - sums[np.arange(len(sums)), best][:, None]).sum(axis=1)
@@ -181,7 +185,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*part.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(K.task(run), f"{schema}, lang_pred string, score double")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -22,9 +22,10 @@ from .lattice import FALLBACK, RAW_MARK, SPACE_MARK, Pieces, forward, lattice, p
 
 #: A piece weighs (1 + rank) ** -STEEPNESS; a character spelled in bytes weighs BYTE_WEIGHT.
 STEEPNESS, BYTE_WEIGHT = 1.0, 1e-9
-#: Bytes of text at a time: a megabyte of varied text makes more than a million edges.
-SLICE = 1 << 20
-#: Chances are multiples of 1 / GRAIN, exact beside any node number, so that a choice is the same wherever its string lies.
+#: Bytes of text at a time: so much varied text makes more than as many edges, at some 100 bytes each.
+SLICE = 1 << 18
+#: Chances are multiples of 1 / GRAIN, exact beside any node number, so that a choice is the same wherever its string lies: what is likelier
+#: by less than that may be drawn as another, and a cut with a chance below it never is.
 GRAIN = 1 << 24
 
 
@@ -76,18 +77,17 @@ class _Sampler:
         return np.clip(edge, self.first[node], self.first[node + 1] - 1)
 
 
-def _sampled(data: np.ndarray, rows: np.ndarray, keys: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows' sampled pieces, one row after the other, and row bounds."""
+def _sampled(data: np.ndarray, rows: np.ndarray, origin: np.ndarray, keys: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows' sampled pieces, one row after the other, and row bounds. origin: where each row's whole text begins."""
     h, starts, ends, bounds, trailing = K.units(data, rows)
     owner = np.repeat(np.arange(len(rows) - 1), np.diff(bounds))
     if len(trailing):  # white space at the end of a row is a stretch of its own
         begin = np.array([ends[bounds[i + 1] - 1] if bounds[i + 1] > bounds[i] else rows[i] for i in trailing])
-        tail = np.array([hash(data[b : rows[i + 1]].tobytes()) for b, i in zip(begin, trailing, strict=True)], dtype=np.int64).view(np.uint64)
-        h, starts, ends, owner = np.concatenate([h, K.mix(tail)]), np.concatenate([starts, begin]), np.concatenate([ends, rows[trailing + 1]]), np.concatenate([owner, trailing])
+        h, starts, ends, owner = np.concatenate([h, K.hashes(data, begin, rows[trailing + 1])]), np.concatenate([starts, begin]), np.concatenate([ends, rows[trailing + 1]]), np.concatenate([owner, trailing])
     if not len(h):
         return np.zeros(0, dtype=np.int32), np.zeros(len(rows), dtype=np.int64)
-    first = starts == rows[owner]
-    _, at, unit = np.unique(K.mix(h + first.astype(np.uint64)), return_index=True, return_inverse=True)
+    first = starts == origin[owner]
+    at, unit, _ = K.distinct(K.mix(h + first.astype(np.uint64)), data, starts, ends, also=first)
     firsts = first[at]
     raw, lowest = data[rows[0] : rows[-1]].tobytes(), int(rows[0])
     strings = [_unit_string(raw[i - lowest : j - lowest], f) for i, j, f in zip(starts[at].tolist(), ends[at].tolist(), firsts.tolist(), strict=True)]
@@ -96,10 +96,11 @@ def _sampled(data: np.ndarray, rows: np.ndarray, keys: np.ndarray, vocabulary: P
     node, start, row = lattices.end[unit], starts - rows[0], owner
     floor = lattices.base[unit]
     salt = K.mix(keys ^ np.uint64(0x5851F42D4C957F2D))
+    passed = rows[0] - origin  # from a text's begin to the slice's
     while len(node):
         before = lattices.width[node]
         place = start + before  # byte position of the piece's end, from the slice's first byte
-        chance = (K.mix(salt[row] + (place - (rows[row] - rows[0]) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (node == floor + 1).astype(np.uint64)) >> np.uint64(40)) / GRAIN
+        chance = (K.mix(salt[row] + (place + passed[row] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (node == floor + 1).astype(np.uint64)) >> np.uint64(40)) / GRAIN
         edge = lattices.step(node, chance)
         piece, source = lattices.piece[edge], lattices.source[edge]
         plain = piece != FALLBACK
@@ -133,13 +134,20 @@ def encode(docs: DataFrame, key: Column, path: str | None = None) -> DataFrame:
             texts = batch.column("text")
             data, offsets = K.utf8(texts)
             seeds = batch.column(batch.num_columns - 1).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, hi in K.slices(offsets, SLICE):
-                ids, bounds = _sampled(data, offsets[lo : hi + 1], seeds[lo:hi], vocabulary)
+            parts: list[np.ndarray] = []
+            for lo, hi, rows in K.segments(data, offsets, SLICE):
+                ids, bounds = _sampled(data, rows, offsets[lo:hi], seeds[lo:hi], vocabulary)
+                if rows[-1] < offsets[hi]:
+                    parts.append(ids)
+                    continue
+                if parts:
+                    ids, parts = np.concatenate([*parts, ids]), []
+                    bounds = np.array([0, len(ids)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=texts[lo:hi].is_null())
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], lists], names=[*rest, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", key.cast("long").alias("_seed")).mapInArrow(run, f"{schema}, ids array<int>")
+    return docs.select("*", key.cast("long").alias("_seed")).mapInArrow(K.task(run), f"{schema}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -173,7 +181,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
-    return coded.mapInArrow(run, f"{schema}, decoded string")
+    return coded.mapInArrow(K.task(run), f"{schema}, decoded string")
 
 
 def _spellings(path: str) -> tuple[np.ndarray, np.ndarray]:

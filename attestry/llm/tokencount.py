@@ -110,13 +110,14 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             for lo, hi in K.slices(offsets, SLICE):
                 rows = offsets[lo : hi + 1]
                 h, starts, ends, bounds, trailing = K.units(data, rows)
+                own_at, back, second = K.distinct(h, data, starts, ends)
 
-                def make(at: np.ndarray) -> np.ndarray:
-                    texts = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in at]  # noqa: B023
+                def make(new: np.ndarray) -> np.ndarray:
+                    texts = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in own_at[new]]  # noqa: B023
                     words = [t.lstrip(" \t\n\x0b\x0c\r") for t in texts]
                     return np.array([-(1 << 40) if _spaced(w) else own.count(t) for t, w in zip(texts, words, strict=True)], dtype=np.int64)
 
-                n = K.row_sums(memo.get(h, make), bounds) if len(h) else np.zeros(hi - lo, dtype=np.int64)
+                n = K.row_sums(memo.get(h[own_at], second, make)[back], bounds) if len(h) else np.zeros(hi - lo, dtype=np.int64)
                 for i in np.flatnonzero(n < 0):  # white space beyond ASCII at a cut: the whole text at once
                     n[i] = own.count(data[rows[i] : rows[i + 1]].tobytes().decode("utf-8", "replace"))
                     trailing = trailing[trailing != i]
@@ -125,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                     n[i] += own.count(data[end : rows[i + 1]].tobytes().decode())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(rows)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.task(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 _rebuilt: dict[str, Counter] = {}
