@@ -53,7 +53,7 @@ def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
 
     counts = np.zeros(len(vocabulary), dtype=np.int64)
     total = 0
-    for r in docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(K.task(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         if r["word"] < 0:
             total = r["n"]
         else:
@@ -184,7 +184,7 @@ def _marked(out: DataFrame, docs: DataFrame, items: list) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], names=batch.schema.names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(K.task(run), schema)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

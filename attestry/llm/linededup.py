@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linking import BITS, classes, restrict
-from .scratch import written
+from .scratch import drop, written
 
 SHINGLE, MIN_CHARS = 5, 24
 #: Similarity that links, and that of lines with at most FEW shingles.
@@ -29,6 +29,10 @@ PERCENT, FEW, FEW_PERCENT = 80, 128, 60
 BANDS, FEW_BANDS, ROWS = 12, 40, 4
 #: Bytes of text at a time: what stays in a core's cache.
 SLICE = 1 << 17
+#: Lines sketched at a time (a kilobyte each), however many a text has.
+LINES = 1 << 13
+#: Removed lines whose positions dedup_lines() may broadcast: some 20 MB as a hash table. More are shuffled.
+BROADCAST_LINES = 500_000
 
 
 def _points(text: str) -> np.ndarray:
@@ -67,27 +71,28 @@ def _short_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return takes, K.mix(np.add.reduceat(own, bounds[:-1]) ^ np.uint64(0x632BE59BD9B4E019)) if len(takes) else np.zeros(0, dtype=np.uint64)
 
 
-def _line_sketches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the `\\n`-cut lines of `text` that take part: positions, 64-bit digests, set sizes (distinct shingles) and sketches."""
+def _line_sketches(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the `\\n`-cut lines of `text` that take part, some thousands at a time: positions, 64-bit digests of their shingle sets, set sizes and sketches."""
     points = _points(text)
     cuts = np.flatnonzero(points == 10)
     starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(points)]])
     takes = np.flatnonzero(ends - starts >= MIN_CHARS)
-    if not len(takes):
-        return takes, np.zeros(0, dtype=np.uint64), takes, np.zeros((0, K.BINS), dtype=np.uint32)
-    h = _shingles(points)
-    size = ends[takes] - starts[takes] - SHINGLE + 1
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(bounds[-1]) + np.repeat(starts[takes] - bounds[:-1], size)
-    own = h[at]
-    row = np.repeat(np.arange(len(takes)), size)
-    digest = K.mix(np.add.reduceat(own, bounds[:-1]) + size.astype(np.uint64))
-    # 40 bits of a hash tell the shingles of a line apart
-    keys = np.sort((row.astype(np.uint64) << np.uint64(40)) | (own >> np.uint64(24)))
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    n = np.bincount((keys[new] >> np.uint64(40)).astype(np.int64), minlength=len(takes))
-    return takes, digest, n, K.one_permutation(own, row, len(takes))
+    for lo in range(0, len(takes), LINES):
+        part = takes[lo : lo + LINES]
+        first = int(starts[part[0]])
+        h = _shingles(points[first : ends[part[-1]]])
+        size = ends[part] - starts[part] - SHINGLE + 1
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        own = h[np.arange(bounds[-1]) + np.repeat(starts[part] - first - bounds[:-1], size)]
+        row = np.repeat(np.arange(len(part)), size)
+        # each shingle once: 40 bits of a hash tell the shingles of a line apart
+        keys = np.sort((row.astype(np.uint64) << np.uint64(40)) | (own >> np.uint64(24)))
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        keys = keys[new]
+        n = np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=len(part))
+        digest = K.mix(np.add.reduceat(K.mix(keys & np.uint64((1 << 40) - 1)), np.cumsum(n) - n) + n.astype(np.uint64))
+        yield part, digest, n, K.one_permutation(own, row, len(part))
 
 
 def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
@@ -109,18 +114,19 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
                 # the slice's texts as one, each followed by a line feed
                 texts = batch.column(2)[lo:hi].to_pylist()
                 lines = np.array([t.count("\n") + 1 if t is not None else 1 for t in texts])
-                take, digest, n, sketch = _line_sketches("\n".join(t or "" for t in texts))
+                whole = "\n".join(t or "" for t in texts)
                 first = np.concatenate([[0], np.cumsum(lines)])
-                row = np.searchsorted(first, take, side="right") - 1
-                wide = sketch[:, : FEW_BANDS * ROWS].astype(np.uint64).reshape(-1, FEW_BANDS, ROWS)
-                bands = K.mix(np.sum(wide * factors, axis=2, dtype=np.uint64) + np.arange(1, FEW_BANDS + 1, dtype=np.uint64)).view(np.int64)
-                many = np.where(n <= FEW, FEW_BANDS, BANDS)
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(bands[np.arange(FEW_BANDS) < many[:, None]]))
-                where = pa.array(row + lo)
-                columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), n, keys, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
+                for take, digest, n, sketch in _line_sketches(whole):
+                    row = np.searchsorted(first, take, side="right") - 1
+                    wide = sketch[:, : FEW_BANDS * ROWS].astype(np.uint64).reshape(-1, FEW_BANDS, ROWS)
+                    bands = K.mix(np.sum(wide * factors, axis=2, dtype=np.uint64) + np.arange(1, FEW_BANDS + 1, dtype=np.uint64)).view(np.int64)
+                    many = np.where(n <= FEW, FEW_BANDS, BANDS)
+                    keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(bands[np.arange(FEW_BANDS) < many[:, None]]))
+                    where = pa.array(row + lo)
+                    columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), n, keys, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
                 if short:
-                    take, digest = _short_lines("\n".join(t or "" for t in texts))
+                    take, digest = _short_lines(whole)
                     row = np.searchsorted(first, take, side="right") - 1
                     where = pa.array(row + lo)
                     columns = [tkeys.take(where), ids.take(where), pa.array(take - first[row], pa.int32()), pa.array(digest.view(np.int64)), pa.array(np.zeros(len(take), np.int64)), *(pa.nulls(len(take), t) for _, t in fields[5:])]
@@ -128,7 +134,7 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
 
     ddl_types = {pa.int32(): "int", pa.list_(pa.int64()): "array<long>"}
     ddl = ", ".join(f"{n} {ddl_types.get(t, 'long')}" for n, t in fields)
-    return docs.select(F.xxhash64("text"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return docs.select(F.xxhash64("text"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.task(run), ddl)
 
 
 def _line_sets(texts: DataFrame) -> DataFrame:
@@ -140,23 +146,23 @@ def _line_sets(texts: DataFrame) -> DataFrame:
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["id", "members"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, members array<long>")
+    return texts.select("id", "text").mapInArrow(K.task(run), "id long, members array<long>")
 
 
 def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line): the lines (0-based, cut at \\n) that repeat, exactly or nearly, one that stands before them.
+    """(doc_id, tkey, line): the lines (0-based, cut at \\n) that repeat, exactly or nearly, one that stands before them.
 
-    Of each component of similar lines the first by (doc_id, line) is not in the result. Lines of fewer than 24
-    characters take part only with `short`: those with a word then repeat one that is equal but for A-Z and a-z. Blank
-    lines take no part; nor do null texts and rows with a null doc_id. Rows repeated with one doc_id and
-    text lose the same lines. Columns other than doc_id and text are not read.
+    tkey is xxhash64 of the text that the line is in. Of each component of similar lines the first by (doc_id, line,
+    tkey) is not in the result, so texts that share a doc_id are told apart. Lines of fewer than 24 characters take part
+    only with `short`: those with a word then repeat one that is equal but for A-Z and a-z. Blank lines take no part; nor
+    do null texts and rows with a null doc_id. Rows repeated with one doc_id and text lose the same lines. Columns
+    other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = written(line_table(docs, short), "lines")
-    place = F.struct("doc_id", "line")
-    same = written(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line", "tkey")).alias("at"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ["n", "keys", *BITS])), "same")
-    long = same.filter("n > 0")
-    keyed = long.select("id", F.explode("keys").alias("key"))
+    place = F.struct("doc_id", "line", "tkey")
+    same = written(lines.groupBy("id").agg(F.min(place).alias("at"), F.max(place).alias("last")), "same")
+    sketched = lines.filter("n > 0")
 
     def members(ids: DataFrame) -> DataFrame:
         wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
@@ -164,11 +170,13 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         cut = own.join(wanted, "tkey").select("want", F.split("text", "\n").alias("cut"))
         return _line_sets(cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text"))
 
-    _, roots = classes(keyed, long.select("id", "n", *BITS), members, _percent)
-    rooted = same.select("id", F.struct("at.doc_id", "at.line").alias("at"), "last").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    _, roots = classes(sketched.select("id", F.explode("keys").alias("key")), sketched.select("id", "n", *BITS), members, _percent)
+    rooted = same.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
-    touched = written(rooted.join(groups, "root").select("id", "first"), "touched")
-    return lines.select("doc_id", "line", "id").join(touched, "id").filter(F.col("first") != place).select("doc_id", "line")
+    touched = written(rooted.select("id", "root").join(groups, "root").select("id", "first"), "touched")
+    gone = written(lines.select("doc_id", "tkey", "line", "id").join(touched, "id").filter(F.col("first") != place).select("doc_id", "tkey", "line").distinct(), "gone")
+    drop(lines, same, touched)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
@@ -180,26 +188,19 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     All columns of the input stay, but for former ones of these two names.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = written(duplicate_lines(docs, short).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "gone")
-    joined = docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left").drop(gone.doc_id)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, removed = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                cut = text.split("\n") if text is not None else []
-                lines.append(sum(1 for x in cut if x.strip(" \t\n\x0b\x0c\r")))
-                removed.append(len(gone or ()))
-                if gone:
-                    drop = set(gone)
-                    text = "\n".join(x for i, x in enumerate(cut) if i not in drop)
-                texts.append(text)
-            own = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([*own.values(), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*own, "n_lines", "n_removed"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{schema}, n_lines long, n_removed long")
+    gone = duplicate_lines(docs, short)
+    few = gone.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    by_text = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).agg(F.collect_list("line").alias("_gone"))
+    of = (docs.doc_id.cast("long") == F.col("_doc")) & (F.xxhash64(docs.text.cast("string")) == F.col("_tkey"))
+    joined = docs.join(F.broadcast(by_text) if few else by_text, of, "left")
+    cut = F.split("text", "\n")
+    left = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    worded = F.size(F.filter(cut, lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return joined.select(
+        *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns),
+        F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+    )
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

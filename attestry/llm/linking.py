@@ -4,7 +4,9 @@ No step emits all pairs of a bucket up front. Every member is first compared wit
 that meets most others over all buckets (of a group of copies, its centre), which settles buckets whose members
 really are alike. What the leaders leave apart is compared across the classes found so far, so no link inside a
 bucket is lost; a pair is made only if sizes and 512-bit sketches leave its similarity possible and, for sets of
-up to SMALL members, which travel with the rows, if it is a link.
+up to SMALL members, which travel with the rows, if it is a link. A large bucket is cut into blocks whose pairs are
+keys of their own, so that a task holds two blocks of it; comparing k members of different classes still takes k * k / 2
+comparisons of sketches.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BINS
-from .scratch import written
+from .scratch import drop, written
 
 #: Ids that restrict() may broadcast: 2 million longs are 16 MB, 32 MB as a hash table. More are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -25,6 +27,8 @@ BITS = [f"s{i}" for i in range(BINS // 32)]
 SLACK = 3.3
 #: Members (longs) of a set that is compared inside the join of a bucket's classes.
 SMALL = 1024
+#: Members of a bucket that meet as one block.
+BLOCK = 2048
 
 
 def restrict(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
@@ -42,13 +46,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    before = roots
     for _ in range(ROUNDS):
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
         after = written(hooked.join(up, "root", "left").select("node", "old", F.least("root", "above").alias("root")), "roots")
-        roots = after.select("node", "root")
+        drop(before)
+        before, roots = after, after.select("node", "root")
         if after.filter("root <> old").isEmpty():
+            drop(both)
             return roots
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
@@ -86,45 +93,81 @@ def _linked(a: Column, b: Column, percent: Percent) -> Column:
     return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
+def _met(x: DataFrame, y: DataFrame, how: str, also: Column) -> DataFrame:
+    """Rows of x joined with those of y (aliases "x" and "y") in one bucket and block pair, of different classes, that may be similar enough."""
+    keys = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    once = (F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block"))  # members of one block meet in its own pair alone
+    return x.join(y, keys & once & (F.col("x.root") != F.col("y.root")) & also, how)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """`rows` (key, id, many, ...) once for each pair of blocks (low, high) of their bucket that they take part in: a bucket has a block for every BLOCK members."""
+    count = F.ceil(F.col("many") / BLOCK)
+    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), count))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other", "many")
+
+
 def classes(keyed: DataFrame, sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> tuple[DataFrame, DataFrame]:
-    """Classes of the ids in `keyed` (key, id: longs, one row for each bucket an id is in).
+    """Classes of the ids in `keyed` (key, id: longs, a row for each bucket an id is in; repeated rows count once).
 
-    sketches: (id, n, s0 ..), the set size and sketch bits of each id. members(ids) takes a table of distinct ids
-    (id) and returns their sets (id, members), none of them empty. Returns the links (a, b), a < b, that were
-    compared and found, and (node, root) for every linked id; ids without a link are in neither. A bucket of one
-    id makes nothing.
+    sketches: (id, n, s0 ..), the set size and sketch bits of each id (equal rows may repeat). members(ids) takes a
+    table of distinct ids (id) and returns their sets (id, members), none of them empty. Returns the links (a, b),
+    a < b, that were compared and found, and (node, root) for every linked id; ids without a link are in neither. A
+    bucket of one id makes nothing.
     """
-    keys = written(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "keys")
-    shared = written(restrict(keyed, keys.select("key"), "key").join(keys, "key"), "shared")
-    own = shared.groupBy("id").agg(F.sum("many").alias("met")).join(sketches, "id")
-    bucketed = written(shared.drop("many").join(own, "id"), "buckets")
-    lead = bucketed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n", *BITS)).alias("lead"))
-    lead = lead.select("key", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("n"), *(F.col(f"lead.{s}").alias(s) for s in BITS))
+    keys = written(keyed.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).filter("one <> two").select("key"), "keys")
+    shared = written(restrict(keyed, keys, "key").distinct(), "shared")
+    many = shared.groupBy("key").agg(F.count("*").alias("many"))
+    met = written(shared.join(many, "key").groupBy("id").agg(F.sum("many").alias("met")), "met")
+    known = written(restrict(sketches, met.select("id"), "id").dropDuplicates(["id"]).join(met, "id"), "known")
+    drop(keys, met)
+    bucketed = written(shared.join(known, "id"), "buckets")
+    lead = bucketed.groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("met", (-F.col("id")).alias("minus"), "n", *BITS)).alias("lead"))
+    lead = lead.select("key", "many", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("n"), *(F.col(f"lead.{s}").alias(s) for s in BITS))
+    lead = written(lead, "leaders")
     led = bucketed.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.lead")) & possible("x", "y", percent))
     pairs = written(led.select(F.least("x.id", "y.lead").alias("a"), F.greatest("x.id", "y.lead").alias("b")).distinct(), "pairs")
-    links = written(similar(pairs, _sets_of(pairs, members), percent), "links")
+    drop(bucketed)
+    links = _confirmed(pairs, members, percent)
+    drop(pairs)
     roots = components(links)
 
-    # Buckets that still hold more than one class: compare the members of different classes.
-    placed = bucketed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).join(lead.select("key", "lead"), "key")
-    placed = written(placed.select("key", "id", "root", "lead", "n", *BITS), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    mixed = written(placed.join(mixed, "key", "left_semi").filter("id <> lead").drop("lead"), "mixed")  # members and leaders were compared above
-    small = written(members(written(mixed.filter(F.col("n") <= SMALL).select("id").distinct(), "ids")), "sets")
-    held = mixed.join(small, "id", "left")
-    x, y = held.alias("x"), held.alias("y")
+    # Buckets that still hold more than one class: compare the members of different classes. Members and leaders were compared above.
+    placed = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = written(placed.join(lead.filter("many > 2").select("key", "many", "lead"), "key"), "placed")
+    drop(shared, lead)
+    mixed = written(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"), "mixed-keys")
+    mixed_rows = written(restrict(placed, mixed, "key").filter("id <> lead").drop("lead").join(known.drop("met"), "id"), "mixed")
+    drop(placed, mixed, known)
+    # first the ids that any other may be similar to, a row at most for each row here; their sets, if small, travel with them to the second comparison
+    near = written(_met(_blocks(mixed_rows).alias("x"), _blocks(mixed_rows).alias("y"), "left_semi", possible("x", "y", percent)).select("id").distinct(), "near")
+    rows = written(restrict(mixed_rows, near, "id"), "near-rows")
+    drop(mixed_rows, near)
+    ids = written(rows.filter(F.col("n") <= SMALL).select("id").distinct(), "ids")
+    small = written(members(ids), "sets")
+    held = _blocks(rows).join(small, "id", "left")
     large = F.col("x.members").isNull() | F.col("y.members").isNull()
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y", percent)
-    found = x.join(y, across & (large | _linked(F.col("x.members"), F.col("y.members"), percent))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open"))
-    found = written(found.distinct(), "pairs")
-    left = written(found.filter("open").select("a", "b"), "pairs")
-    more = written(found.filter("not open").select("a", "b").unionByName(similar(left, _sets_of(left, members), percent)), "links")
+    found = _met(held.alias("x"), held.alias("y"), "inner", (F.col("x.id") < F.col("y.id")) & possible("x", "y", percent) & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
+    found = written(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open")).distinct(), "pairs")
+    drop(rows, ids, small)
+    open_links = _confirmed(found.filter("open").select("a", "b"), members, percent)
+    more = written(found.filter("not open").select("a", "b").unionByName(open_links), "links")
+    drop(found, open_links)
     if more.isEmpty():
         return links, roots
-    links = links.unionByName(more)
-    return links, components(links)
+    # the classes found so far are the nodes of a second, small graph
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    above = components(between.filter("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    nodes = roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    merged = written(nodes.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+    return links.unionByName(more), merged
 
 
-def _sets_of(pairs: DataFrame, members: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _confirmed(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar, written."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    return written(members(ids), "sets")
+    sets = written(members(ids), "sets")
+    out = written(similar(pairs, sets, percent), "links")
+    drop(ids, sets)
+    return out

@@ -46,7 +46,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE_WORDS, collections: int = C
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) if isinstance(c, np.ndarray) else c for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
 
     ddl = ", ".join(f"{n} long" for n, _ in fields)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.task(run), ddl)
 
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -60,7 +60,7 @@ def shingle_sets(texts: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
                 sets, bounds = K.shingle_sets(h, bounds, shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))], names=["id", "members"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, members array<long>")
+    return texts.select("id", "text").mapInArrow(K.task(run), "id long, members array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

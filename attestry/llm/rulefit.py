@@ -64,7 +64,7 @@ def text_features(docs: DataFrame) -> DataFrame:
                 columns = [np.log1p(n), per(chars, n), *(per(kind[:, k + 1], size) for k in range(kinds - 1)), per(long, n), per(distinct(h, bounds), n), per(n_grams - distinct(grams, gram_bounds), n_grams), per(n_lines - distinct(lines, line_bounds), n_lines), np.log1p(per(n, n_lines))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(np.asarray(c, dtype=float)) for c in columns)], names=["doc_id", *STATISTICS])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.task(run), "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
