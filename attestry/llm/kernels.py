@@ -51,6 +51,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def stir(h: np.ndarray) -> np.ndarray:
+    """A shorter mix() for what is hashed already: sums of its values tell sets apart, and its low and high bits are both fit for use."""
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def multipliers(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit numbers."""
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
@@ -346,35 +355,48 @@ def minhashes(values: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.n
 
 #: Bins of a one-permutation sketch; the value of an empty one; bins that an empty one looks into, in order.
 BINS, EMPTY = 256, np.uint32(0xFFFFFFFF)
-_PROBES = np.random.Generator(np.random.PCG64(31)).integers(0, BINS, (200, BINS))
+_PROBES = np.random.Generator(np.random.PCG64(31)).integers(0, BINS, (12, BINS))
 
 
 def one_permutation(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """One-permutation MinHash: the least hash (32 bits) in each of a row's BINS bins. Empty bins borrow by a fixed probing order, so that two rows agree in a bin with the probability of their similarity. A row without values is all EMPTY."""
-    out = np.full(rows * BINS, EMPTY, dtype=np.uint32)
-    bin_ = (row * BINS) | (values & np.uint64(BINS - 1)).view(np.int64)
-    np.minimum.at(out, bin_, (values >> np.uint64(33)).astype(np.uint32))
+    """One-permutation MinHash, BINS x rows: the least hash (32 bits) in each of a row's BINS bins. Empty bins borrow by a fixed probing order, so that two rows agree in a bin with the probability of their similarity. A row without values is all EMPTY."""
+    out = np.full(BINS * rows, EMPTY, dtype=np.uint32)
+    np.minimum.at(out, (values & np.uint64(BINS - 1)).view(np.int64) * rows + row, (values >> np.uint64(33)).astype(np.uint32))
     full = np.zeros(rows, dtype=bool)
     full[row] = True
-    left = np.flatnonzero((out == EMPTY) & np.repeat(full, BINS))
     own = out.copy()
+    square, grid = out.reshape(BINS, rows), own.reshape(BINS, rows)
     for probe in _PROBES:
-        if not len(left):
-            break
-        got = own[left // BINS * BINS + probe[left % BINS]]
-        hit = got != EMPTY
-        out[left[hit]] = got[hit]
-        left = left[~hit]
-    if len(left):
-        out[left] = own.reshape(rows, BINS).min(axis=1)[left // BINS]
-    return out.reshape(rows, BINS)
+        np.copyto(square, grid[probe], where=square == EMPTY)
+    left = np.flatnonzero((square == EMPTY).any(axis=0) & full)
+    if len(left):  # what is empty then takes the next full bin below it
+        some = grid[:, left]
+        below = np.where(some != EMPTY, np.arange(BINS, dtype=np.int16)[:, None], np.int16(-1))
+        np.maximum.accumulate(below, axis=0, out=below)
+        below = np.where(below < 0, below[-1], below)
+        mine = square[:, left]
+        square[:, left] = np.where(mine == EMPTY, np.take_along_axis(some, below.astype(np.intp), axis=0), mine)
+    return square
 
 
 def sketch_bits(sketch: np.ndarray) -> np.ndarray:
     """Two bits of each bin, packed into BINS / 32 longs a row; two rows agree in both with probability similarity + (1 - similarity) / 4."""
     two = ((sketch * np.uint32(0x9E3779B1) ^ sketch >> np.uint32(15)) * np.uint32(0x85EBCA77) >> np.uint32(30)).astype(np.uint8)
-    four = two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
-    return np.ascontiguousarray(four).view(np.int64)
+    four = two[0::4] | two[1::4] << 2 | two[2::4] << 4 | two[3::4] << 6
+    return np.ascontiguousarray(four.T).view(np.int64)
+
+
+def worded_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each row the number of its \\n-cut lines with a word."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    if lo == hi:
+        return np.zeros(len(offsets) - 1, dtype=np.int64)
+    block = data[lo:hi]
+    begins = np.unique(np.concatenate([offsets[:-1][offsets[1:] > offsets[:-1]] - lo, np.flatnonzero(block[:-1] == 10) + 1]))
+    filled = np.logical_or.reduceat(~SPACE[block], begins)
+    upto = np.concatenate([[0], np.cumsum(filled)])
+    at = np.searchsorted(begins, offsets - lo)
+    return upto[at[1:]] - upto[at[:-1]]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ PERCENT, FEW, FEW_PERCENT = 80, 128, 60
 #: Bands of each line, and of lines with at most FEW shingles.
 BANDS, FEW_BANDS, ROWS = 12, 40, 4
 #: Bytes of text at a time: what stays in a core's cache.
-SLICE = 1 << 17
+SLICE = 1 << 16
 #: Lines sketched at a time (a kilobyte each), however many a text has.
 LINES = 1 << 13
 #: Removed lines whose positions dedup_lines() may broadcast: some 20 MB as a hash table. More are shuffled.
@@ -49,7 +50,7 @@ def _shingles(points: np.ndarray) -> np.ndarray:
     for j in range(1, SHINGLE):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += wide[j : j + count]
-    return K.mix(h)
+    return K.stir(h)
 
 
 def _percent(larger: Column) -> Column:
@@ -91,7 +92,7 @@ def _line_sketches(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         new[1:] = keys[1:] != keys[:-1]
         keys = keys[new]
         n = np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=len(part))
-        digest = K.mix(np.add.reduceat(K.mix(keys & np.uint64((1 << 40) - 1)), np.cumsum(n) - n) + n.astype(np.uint64))
+        digest = K.mix(np.add.reduceat(K.stir(keys & np.uint64((1 << 40) - 1)), np.cumsum(n) - n) + n.astype(np.uint64))
         yield part, digest, n, K.one_permutation(own, row, len(part))
 
 
@@ -118,10 +119,15 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(lines)])
                 for take, digest, n, sketch in _line_sketches(whole):
                     row = np.searchsorted(first, take, side="right") - 1
-                    wide = sketch[:, : FEW_BANDS * ROWS].astype(np.uint64).reshape(-1, FEW_BANDS, ROWS)
-                    bands = K.mix(np.sum(wide * factors, axis=2, dtype=np.uint64) + np.arange(1, FEW_BANDS + 1, dtype=np.uint64)).view(np.int64)
                     many = np.where(n <= FEW, FEW_BANDS, BANDS)
-                    keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(bands[np.arange(FEW_BANDS) < many[:, None]]))
+                    bounds = np.concatenate([[0], np.cumsum(many)])
+                    bands = np.empty(bounds[-1], dtype=np.int64)
+                    for count in (FEW_BANDS, BANDS):
+                        own = np.flatnonzero(many == count)
+                        wide = sketch[: count * ROWS, own].astype(np.uint64)
+                        key = sum(wide[j::ROWS] * factors[j] for j in range(ROWS)) + np.arange(1, count + 1, dtype=np.uint64)[:, None]
+                        bands[bounds[own] + np.arange(count)[:, None]] = K.mix(key).view(np.int64)
+                    keys = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bands))
                     where = pa.array(row + lo)
                     columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), n, keys, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
@@ -165,12 +171,14 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     sketched = lines.filter("n > 0")
 
     def members(ids: DataFrame) -> DataFrame:
-        wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
-        own = restrict(docs.select(F.xxhash64("text").alias("tkey"), "text"), wanted.select("tkey"), "tkey").dropDuplicates(["tkey"])
-        cut = own.join(wanted, "tkey").select("want", F.split("text", "\n").alias("cut"))
-        return _line_sets(cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text"))
-
-    _, roots = classes(sketched.select("id", F.explode("keys").alias("key")), sketched.select("id", "n", *BITS), members, _percent)
+        wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
+        few = ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+        own = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").join(F.broadcast(wanted) if few else wanted, ["doc_id", "tkey"])
+        cut = own.select("want", F.split("text", "\n").alias("cut"))
+        texts = cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text")
+        return _line_sets(texts.dropDuplicates(["id"]))
+
+    _, roots = classes(sketched, members, _percent)
     rooted = same.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
     touched = written(rooted.select("id", "root").join(groups, "root").select("id", "first"), "touched")
@@ -193,14 +201,27 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     by_text = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).agg(F.collect_list("line").alias("_gone"))
     of = (docs.doc_id.cast("long") == F.col("_doc")) & (F.xxhash64(docs.text.cast("string")) == F.col("_tkey"))
     joined = docs.join(F.broadcast(by_text) if few else by_text, of, "left")
-    cut = F.split("text", "\n")
-    left = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    worded = F.size(F.filter(cut, lambda x: F.ltrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return joined.select(
-        *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else docs[c] for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    joined = joined.select(*docs.columns, "_gone")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column("text"), batch.column("_gone")
+            data, offsets = K.utf8(texts)
+            lines = np.concatenate([K.worded_lines(data, offsets[lo : hi + 1]) for lo, hi in K.slices(offsets)]) if batch.num_rows else np.zeros(0, dtype=np.int64)
+            removed = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+            touched = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                left = []
+                for text, lost in zip(texts.take(pa.array(touched)).to_pylist(), gone.take(pa.array(touched)).to_pylist(), strict=True):
+                    drop = set(lost)
+                    left.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+                texts = pc.replace_with_mask(texts, gone.is_valid(), pa.array(left, texts.type))
+            own = {n: batch.column(n) for n in names} | {"text": texts}
+            yield pa.RecordBatch.from_arrays([*own.values(), pa.array(lines), removed], names=[*own, "n_lines", "n_removed"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return joined.mapInArrow(K.task(run), f"{schema}, n_lines long, n_removed long")
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,11 +11,14 @@ comparisons of sketches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .kernels import BINS
 from .scratch import drop, written
 
@@ -29,6 +32,8 @@ SLACK = 3.3
 SMALL = 1024
 #: Members of a bucket that meet as one block.
 BLOCK = 2048
+#: Pairs of key and id that a task packs at a time, and that meet in a partition (16 bytes each, some three times that while sorted).
+BATCH_PAIRS, PART_PAIRS = 1 << 20, 1 << 22
 
 
 def restrict(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
@@ -93,6 +98,87 @@ def _linked(a: Column, b: Column, percent: Percent) -> Column:
     return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, id, many): the keys of `keyed` (id: a long, keys: an array of distinct longs) that two ids or more have, and how many have them in what was seen together.
+
+    Rows repeated under one id count once. A batch of rows sends each of its keys to the key's place once, packed with
+    those of the same place; where the batch itself has a key twice, its ids are known to share it and need no meeting.
+    So a key that very many ids have costs a place one entry a batch, and memory follows the number of places. Of a key
+    the highest 32 bits below its place's are kept: a place holds half a million, so about one in ten thousand is taken
+    for another, which makes candidates and no links.
+    """
+    pairs = keyed.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-pairs // PART_PAIRS))
+    bits = max(1, (8 * parts - 1).bit_length())
+    low = np.uint64((1 << (32 - min(bits, 31))) - 1)
+
+    def packed(ids: np.ndarray, keys: np.ndarray, sizes: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+        _, at = np.unique(ids, return_index=True)
+        once = np.zeros(len(ids), dtype=bool)
+        once[at] = True
+        keys, ids = keys[np.repeat(once, sizes)] & ~low, np.repeat(ids[once], sizes[once])
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        many = np.diff(np.append(first, len(keys)))
+        twice = np.repeat(many > 1, many)
+        for own, of, count, sure in ((keys[first], ids[first], many, False), (keys[twice], ids[twice], np.repeat(many, many)[twice], True)):
+            place = (own >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(own) else np.zeros(0, dtype=np.int64)
+            ends = np.append(cuts, len(own)).astype(np.int32)
+            blobs = [pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))]) for x in (own, of, np.minimum(count, 1 << 30).astype(np.int32))]
+            # what is sure needs no meeting, so it goes anywhere
+            where = K.mix(place[cuts].astype(np.uint64) + np.uint64(turn << 32)).astype(np.int64) & ((1 << bits) - 1) if sure else place[cuts]
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(np.full(len(cuts), sure)), *blobs], names=["place", "sure", "keys", "ids", "many"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        total = turn = 0
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ids, keys = batch.column(0).to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for lo, hi in K.slices(offsets, BATCH_PAIRS):
+                held.append((ids[lo:hi], keys[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])))
+                total += int(offsets[hi] - offsets[lo])
+                if total >= BATCH_PAIRS:
+                    yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)), turn)
+                    held, total, turn = [], 0, turn + 1
+        if total:
+            yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)), turn)
+
+    def met(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids, many = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(keys)
+        keys, ids, many = keys[order], ids[order], many[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(first, len(keys)))
+        total = np.add.reduceat(many, first)
+        shared = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(many, first) > 1)
+        out = np.repeat(shared, size) & (many == 1)
+        return pa.RecordBatch.from_arrays([pa.array(keys[out].view(np.int64)), pa.array(ids[out]), pa.array(np.repeat(total, size)[out].astype(np.int64))], names=["key", "id", "many"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        now = None
+        for batch in batches:
+            for place, sure, keys, ids, many in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns)), strict=True):
+                row = tuple(np.frombuffer(x.as_buffer(), dtype=t) for x, t in ((keys, np.uint64), (ids, np.int64), (many, np.int32)))
+                if sure:
+                    yield pa.RecordBatch.from_arrays([pa.array(row[0].view(np.int64)), pa.array(row[1]), pa.array(row[2].astype(np.int64))], names=["key", "id", "many"])
+                    continue
+                if place != now and rows:
+                    yield met(rows)
+                    rows = []
+                now = place
+                rows.append(row)
+        if rows:
+            yield met(rows)
+
+    sent = keyed.select("id", "keys").mapInArrow(K.task(send), "place int, sure boolean, keys binary, ids binary, many binary")
+    return sent.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(K.task(meet), "key long, id long, many long").groupBy("key", "id").agg(F.max("many").alias("many"))
+
+
 def _met(x: DataFrame, y: DataFrame, how: str, also: Column) -> DataFrame:
     """Rows of x joined with those of y (aliases "x" and "y") in one bucket and block pair, of different classes, that may be similar enough."""
     keys = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
@@ -107,37 +193,34 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other", "many")
 
 
-def classes(keyed: DataFrame, sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> tuple[DataFrame, DataFrame]:
-    """Classes of the ids in `keyed` (key, id: longs, a row for each bucket an id is in; repeated rows count once).
+def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> tuple[DataFrame, DataFrame]:
+    """Classes of ids that share a key: links and components.
 
-    sketches: (id, n, s0 ..), the set size and sketch bits of each id (equal rows may repeat). members(ids) takes a
-    table of distinct ids (id) and returns their sets (id, members), none of them empty. Returns the links (a, b),
-    a < b, that were compared and found, and (node, root) for every linked id; ids without a link are in neither. A
-    bucket of one id makes nothing.
+    sketches: a written table (id, keys: the buckets that the id is in, n, s0 ..: the set size and sketch bits); equal
+    rows may repeat. members(ids) takes a table of distinct ids (id) and returns their sets (id, members), none of them
+    empty. Returns the links (a, b), a < b, that were compared and found, and (node, root) for every linked id; ids
+    without a link are in neither. A bucket of one id makes nothing.
     """
-    keys = written(keyed.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).filter("one <> two").select("key"), "keys")
-    shared = written(restrict(keyed, keys, "key").distinct(), "shared")
-    many = shared.groupBy("key").agg(F.count("*").alias("many"))
-    met = written(shared.join(many, "key").groupBy("id").agg(F.sum("many").alias("met")), "met")
-    known = written(restrict(sketches, met.select("id"), "id").dropDuplicates(["id"]).join(met, "id"), "known")
-    drop(keys, met)
-    bucketed = written(shared.join(known, "id"), "buckets")
-    lead = bucketed.groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("met", (-F.col("id")).alias("minus"), "n", *BITS)).alias("lead"))
-    lead = lead.select("key", "many", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("n"), *(F.col(f"lead.{s}").alias(s) for s in BITS))
-    lead = written(lead, "leaders")
-    led = bucketed.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.lead")) & possible("x", "y", percent))
-    pairs = written(led.select(F.least("x.id", "y.lead").alias("a"), F.greatest("x.id", "y.lead").alias("b")).distinct(), "pairs")
-    drop(bucketed)
+    shared = written(shared_keys(sketches.select("id", "keys")), "shared")
+    met = written(shared.groupBy("id").agg(F.sum("many").alias("met")), "met")
+    known = written(restrict(sketches.select("id", "n", *BITS), met.select("id"), "id").dropDuplicates(["id"]), "known")
+    lead = shared.select("key", "id").join(met, "id").groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"))
+    lead = written(lead.select("key", "many", (-F.col("lead.minus")).alias("lead")), "leaders")
+    drop(met)
+    led = shared.join(lead, "key").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    x, y = known.alias("x"), known.alias("y")
+    pairs = led.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & possible("x", "y", percent))
+    pairs = written(pairs.select("a", "b"), "pairs")
     links = _confirmed(pairs, members, percent)
     drop(pairs)
     roots = components(links)
 
     # Buckets that still hold more than one class: compare the members of different classes. Members and leaders were compared above.
-    placed = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    placed = written(placed.join(lead.filter("many > 2").select("key", "many", "lead"), "key"), "placed")
+    placed = shared.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = written(placed.join(lead.filter("many > 2"), "key"), "placed")
     drop(shared, lead)
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"), "mixed-keys")
-    mixed_rows = written(restrict(placed, mixed, "key").filter("id <> lead").drop("lead").join(known.drop("met"), "id"), "mixed")
+    mixed_rows = written(restrict(placed, mixed, "key").filter("id <> lead").drop("lead").join(known, "id"), "mixed")
     drop(placed, mixed, known)
     # first the ids that any other may be similar to, a row at most for each row here; their sets, if small, travel with them to the second comparison
     near = written(_met(_blocks(mixed_rows).alias("x"), _blocks(mixed_rows).alias("y"), "left_semi", possible("x", "y", percent)).select("id").distinct(), "near")

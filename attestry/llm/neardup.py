@@ -77,13 +77,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
     same = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in [*cells, *BITS]))
     same = written(same, "sets")
     keys = F.array(*(F.xxhash64(F.lit(i * COLLECTIONS + j), f"c{i}", f"c{j}") for i, j in combinations(range(COLLECTIONS), 2)))
-    keyed = same.select("id", F.explode(keys).alias("key"))
 
     def members(ids: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
         return shingle_sets(restrict(texts, ids, "id"), shingle).dropDuplicates(["id"])
 
-    _, roots = classes(keyed, same.select("id", "n", *BITS), members, percent)
+    _, roots = classes(same.select("id", keys.alias("keys"), "n", *BITS), members, percent)
     groups = same.join(roots.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("component_id"))
     rows = full.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     rest = own.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
