@@ -155,6 +155,25 @@ def _line_sets(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(K.task(run), "id long, members array<long>")
 
 
+def _similar_lines(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines (of_a, of_b) are similar enough, by their whole shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[str, np.ndarray] = {}
+            linked = []
+            for one, two in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True):
+                for text in (one, two):
+                    if text not in sets:
+                        sets[text] = np.unique(_shingles(_points(text)))
+                both, either = K.jaccard(sets[one], sets[two])
+                percent = FEW_PERCENT if max(len(sets[one]), len(sets[two])) <= FEW else PERCENT
+                linked.append(100 * both >= percent * either)
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return pairs.mapInArrow(K.task(run), "a long, b long")
+
+
 def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, tkey, line): the lines (0-based, cut at \\n) that repeat, exactly or nearly, one that stands before them.
 
@@ -165,20 +184,25 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = written(line_table(docs, short), "lines")
+    sketched = written(line_table(docs, short), "sketches")
+    lines = written(sketched.select("tkey", "doc_id", "line", "id"), "lines")
     place = F.struct("doc_id", "line", "tkey")
     same = written(lines.groupBy("id").agg(F.min(place).alias("at"), F.max(place).alias("last")), "same")
-    sketched = lines.filter("n > 0")
 
-    def members(ids: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame) -> DataFrame:
         wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
         few = ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
         own = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").join(F.broadcast(wanted) if few else wanted, ["doc_id", "tkey"])
         cut = own.select("want", F.split("text", "\n").alias("cut"))
-        texts = cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text")
-        return _line_sets(texts.dropDuplicates(["id"]))
+        return cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text").dropDuplicates(["id"])
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        texts = written(texts_of(ids), "texts")
+        a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"of_{c}")) for c in "ab")
+        return _similar_lines(pairs.join(b, "b").join(a, "a"))
 
-    _, roots = classes(sketched, members, _percent)
+    _, roots = classes(sketched.filter("n > 0"), lambda ids: _line_sets(texts_of(ids)), _percent, confirm, (sketched,))
     rooted = same.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
     touched = written(rooted.select("id", "root").join(groups, "root").select("id", "first"), "touched")

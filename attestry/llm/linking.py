@@ -32,6 +32,8 @@ SLACK = 3.3
 SMALL = 1024
 #: Members of a bucket that meet as one block.
 BLOCK = 2048
+#: Members up to which a bucket's pairs are made before their sets are compared.
+FEW_LEFT = 64
 #: Pairs of key and id that a task packs at a time, and that meet in a partition (16 bytes each, some three times that while sorted).
 BATCH_PAIRS, PART_PAIRS = 1 << 20, 1 << 22
 
@@ -193,17 +195,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other", "many")
 
 
-def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> tuple[DataFrame, DataFrame]:
+def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent, confirm: Callable[[DataFrame], DataFrame] | None = None, spent: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Classes of ids that share a key: links and components.
 
     sketches: a written table (id, keys: the buckets that the id is in, n, s0 ..: the set size and sketch bits); equal
-    rows may repeat. members(ids) takes a table of distinct ids (id) and returns their sets (id, members), none of them
+    rows may repeat. `spent` are tables to delete once the sketches have been read. confirm(pairs) returns those of
+    (a, b) that are links, by default told from their members. members(ids) takes a table of distinct ids (id) and returns their sets (id, members), none of them
     empty. Returns the links (a, b), a < b, that were compared and found, and (node, root) for every linked id; ids
     without a link are in neither. A bucket of one id makes nothing.
     """
     shared = written(shared_keys(sketches.select("id", "keys")), "shared")
     met = written(shared.groupBy("id").agg(F.sum("many").alias("met")), "met")
     known = written(restrict(sketches.select("id", "n", *BITS), met.select("id"), "id").dropDuplicates(["id"]), "known")
+    drop(*spent)
+    confirm = confirm or (lambda pairs: _confirmed(pairs, members, percent))
     lead = shared.select("key", "id").join(met, "id").groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"))
     lead = written(lead.select("key", "many", (-F.col("lead.minus")).alias("lead")), "leaders")
     drop(met)
@@ -211,7 +216,7 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
     x, y = known.alias("x"), known.alias("y")
     pairs = led.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & possible("x", "y", percent))
     pairs = written(pairs.select("a", "b"), "pairs")
-    links = _confirmed(pairs, members, percent)
+    links = written(confirm(pairs), "links")
     drop(pairs)
     roots = components(links)
 
@@ -222,20 +227,25 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"), "mixed-keys")
     mixed_rows = written(restrict(placed, mixed, "key").filter("id <> lead").drop("lead").join(known, "id"), "mixed")
     drop(placed, mixed, known)
-    # first the ids that any other may be similar to, a row at most for each row here; their sets, if small, travel with them to the second comparison
+    # first the ids that any other may be similar to, a row at most for each row here; in crowded buckets their sets, if small, travel with them to the second comparison
     near = written(_met(_blocks(mixed_rows).alias("x"), _blocks(mixed_rows).alias("y"), "left_semi", possible("x", "y", percent)).select("id").distinct(), "near")
-    rows = written(restrict(mixed_rows, near, "id"), "near-rows")
+    rows = restrict(mixed_rows, near, "id")
+    rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("now")), "key"), "near-rows")
     drop(mixed_rows, near)
+    # where few are left in a bucket their pairs are no more than FEW_LEFT / 2 for each of them
+    few = _blocks(rows.filter(F.col("now") <= FEW_LEFT))
+    later = (F.col("x.id") < F.col("y.id")) & possible("x", "y", percent)
+    told = written(_met(few.alias("x"), few.alias("y"), "inner", later).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    rows = rows.filter(F.col("now") > FEW_LEFT)
     ids = written(rows.filter(F.col("n") <= SMALL).select("id").distinct(), "ids")
     small = written(members(ids), "sets")
     held = _blocks(rows).join(small, "id", "left")
     large = F.col("x.members").isNull() | F.col("y.members").isNull()
-    found = _met(held.alias("x"), held.alias("y"), "inner", (F.col("x.id") < F.col("y.id")) & possible("x", "y", percent) & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
+    found = _met(held.alias("x"), held.alias("y"), "inner", later & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
     found = written(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open")).distinct(), "pairs")
-    drop(rows, ids, small)
-    open_links = _confirmed(found.filter("open").select("a", "b"), members, percent)
-    more = written(found.filter("not open").select("a", "b").unionByName(open_links), "links")
-    drop(found, open_links)
+    drop(ids, small)
+    more = written(found.filter("not open").select("a", "b").unionByName(confirm(found.filter("open").select("a", "b").unionByName(told).distinct())).distinct(), "links")
+    drop(found, told)
     if more.isEmpty():
         return links, roots
     # the classes found so far are the nodes of a second, small graph
@@ -248,9 +258,6 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
 
 
 def _confirmed(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar, written."""
+    """The pairs (a, b) whose whole sets are similar."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = written(members(ids), "sets")
-    out = written(similar(pairs, sets, percent), "links")
-    drop(ids, sets)
-    return out
+    return similar(pairs, written(members(ids), "sets"), percent)
