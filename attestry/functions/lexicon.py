@@ -112,3 +112,56 @@ NEGATIVE = "terminated|canceled|declined|failed|rejected|delayed|suspended|decre
 POSITIVE = "completed|approved|surpassed|finalized|increased|achieved|expanded"
 #: Variance (in percent, two decimals) up to which values corroborate, and token similarity that generic metrics need.
 TOLERANCE, TOKEN_SIMILARITY = 1.0, 0.75
+
+#: Metrics that lines of text are searched for, tried in order: display name, phrases (any white space or none between their words). Fixed values.
+METRICS = [
+    ("Total Revenue", "revenue from operations|total consolidated revenue|total revenue|net revenue|revenues|turnover|sales"),
+    ("Cloud Platform Revenue", "cloud platform revenue|cloud segment revenue|cloud revenue"),
+    ("Subscription Revenue", "subscription revenue|subscription and support revenue"),
+    ("Services Revenue", "services revenue|service revenue"),
+    ("Product Revenue", "products revenue|product revenue|hardware revenue"),
+    ("Commercial Revenue", "commercial revenue|commercial segment revenue"),
+    ("Retail Revenue", "retail revenue|retail segment revenue"),
+    ("Enterprise Software Revenue", "enterprise software revenue|enterprise software division revenue"),
+    ("Gross Profit", "gross profit"),
+    ("Gross Margin", "gross margin"),
+    ("Non-GAAP Operating Income", "non-gaap operating income|adjusted operating income"),
+    ("Operating Income", "operating income|operating profit|ebit"),
+    ("Operating Margin", "operating margin"),
+    ("Adjusted EBITDA", "adjusted ebitda|service ebitda|operating ebitda"),
+    ("EBITDA", "ebitda"),
+    ("Net Income", "net income|net profit|profit after tax|pat"),
+    ("Profit Before Tax", "profit before tax|pbt"),
+    ("Diluted EPS", "diluted earnings per share|diluted eps"),
+    ("Basic EPS", "basic earnings per share|basic eps"),
+    ("Operating Cash Flow", "operating cash flow|cash provided by operating activities|cash from operating activities"),
+    ("Free Cash Flow", "free cash flow|fcf"),
+    ("Capital Expenditures", "capital expenditure|capital expenditures|capex"),
+    ("Research and Development Expense", "research and development|r&d"),
+    ("Cash and Cash Equivalents", "cash and cash equivalents|cash reserves"),
+    ("Total Debt", "total debt|borrowings"),
+    ("Total Assets", "total assets"),
+    ("Headcount", "headcount|full-time employees|total employees|workforce"),
+    ("Contractual Backlog", "backlog|remaining performance obligations|rpo"),
+    ("Scope 1 GHG Emissions", "scope 1"),
+    ("Scope 2 GHG Emissions", "scope 2"),
+    ("Scope 3 GHG Emissions", "scope 3"),
+]
+#: What amounts in a line begin and end with, and what is counted. Fixed values.
+AMOUNT_SYMBOLS = "$€£¥₹"
+AMOUNT_CODES = "USD|EUR|GBP|INR|CAD|AUD"
+AMOUNT_SCALES = r"trillion|billion|million|thousand|crores|crore|cr\.|cr|lakhs|lakh|lacs|lac|B|M|k"
+COUNTED = "full-time equivalent employees|employees|headcount|workers|staff|metric tons|tons|tonnes|subscribers|users|active users|units|shares|customers|packages|shipments"
+#: Words at the end of a company's name, verbs that follow one, and words of file names that aren't part of one. Fixed values.
+LEGAL_ENDINGS = "Inc|Corp|Corporation|LLC|Ltd|Limited|Group|Holdings|Technologies|Company|PLC|NV|SE|SA"
+REPORTING_VERBS = "Reports|Announces|Releases|Files|Provides"
+REPORT_WORDS = r"annual|report|quarterly|release|earnings|form|10k|10-k|10q|10-q|press|investor|deck|presentation|slides|overview|summary|fy\d{2,4}|q[1-4]"
+UNKNOWN_ENTITY, UNKNOWN_PERIOD = "Reporting Entity", "Unspecified Period"
+#: Words before "segment" or "division" that name none.
+NO_SEGMENT = ["each", "every", "operating", "reportable", "the", "our", "this"]
+#: Qualifiers of a figure: how they are named, and the words that tell them.
+QUALIFIERS = [("Net of tax", "net of tax"), ("Constant FX", "constant currency|constant fx"), ("Annualized", "annualized"), ("Pro forma", "pro forma"), ("Diluted", "diluted"), ("Basic", "basic")]
+#: What makes a page worth a model's time, and how many pages and characters it is given.
+DATA_WORDS = r"[$€£¥₹%]|revenue|income|profit|ebitda|margin|debt|assets|capex|growth|cr|crore|lakh|sales|earnings|cash|headcount|\d{2,}"
+MODEL_PAGES, MODEL_CHARS = 15, 2500
+FACT_CATEGORIES = ["financial", "operational", "workforce", "environmental", "strategic", "general"]

@@ -1,12 +1,12 @@
 """Cross-document comparison: candidate pairs, semantic gate, comparability and classification.
 
-Pairs come from equi joins on (unit type, concept family, entity); facts whose entity is the wildcard are joined on
-the first two alone, in joins of their own. No pair is made twice, and the heavy keys are as narrow as the entity.
+Pairs come from one equi join on (unit type, concept family, entity); facts whose entity is the wildcard meet all others
+under keys of their own. No pair is made twice, and the heavy keys are as narrow as the entity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -15,6 +15,8 @@ from ..functions.period import normalize_period
 from ..functions.text import first_match, round2
 from ..functions.value import normalize_value
 
+#: What is told of a fact besides; columns that are missing count as null.
+TOLD = {"document_name": "string", "page_number": "int", "entity": "string", "raw_value": "string", "evidence": "string"}
 CONTEXT = {"basis": "string", "scope": "string", "scope_detail": "string", "operations": "string", "audit_status": "string", "geography": "string", "is_estimate": "boolean", "gross_or_net": "string"}
 
 
@@ -24,9 +26,9 @@ def normalize_facts(facts: DataFrame) -> DataFrame:
     Context columns that are missing count as null. Facts with a null or empty fact_id or a null doc_pos are left out.
     """
     facts = facts.filter((F.coalesce("fact_id", F.lit("")) != "") & F.col("doc_pos").isNotNull())
-    facts = facts.withColumns({c: F.lit(None).cast(t) for c, t in CONTEXT.items() if c not in facts.columns})
+    facts = facts.withColumns({c: F.lit(None).cast(t) for c, t in (CONTEXT | TOLD).items() if c not in facts.columns})
     own = facts.select(
-        "fact_id", "doc_pos", "fact_no", "metric", "statement", *CONTEXT,
+        "fact_id", "doc_pos", "fact_no", "metric", "statement", *CONTEXT, *TOLD,
         canonical_entity("entity").alias("entity_key"),
         normalize_value(F.col("raw_value"), F.col("evidence")).alias("v"),
         normalize_period(F.col("period")).alias("p"),
@@ -34,58 +36,73 @@ def normalize_facts(facts: DataFrame) -> DataFrame:
         classify_concept(F.col("metric"), F.lit(None).cast("string")).concept_id.alias("canonical_metric"),
         metric_tokens(F.coalesce("metric", F.lit(""))).alias("tokens"),
     )
-    return own.select("*", F.col("v.unit_type").alias("unit_type"), F.col("c.concept_family").alias("family"))
+    standard = F.concat_ws("::", "entity_key", "canonical_metric", "p.key")
+    return own.select("*", F.col("v.unit_type").alias("unit_type"), F.col("c.concept_family").alias("family"), standard.alias("standard_key"))
 
 
 def candidate_pairs(facts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of normalised facts, structs, of different documents (the earlier is a) that pass both gates."""
-    rows = facts.select("unit_type", "family", "entity_key", F.struct(*facts.columns).alias("f"))
-    side = lambda name: rows.select("unit_type", "family", "entity_key", F.col("f").alias(name))
-    a, b, wild = side("a"), side("b"), F.col("entity_key") == L.WILDCARD_ENTITY
-    keys = ["unit_type", "family"]
-    pairs = a.join(b, [*keys, "entity_key"]).select("a", "b")
-    pairs = pairs.unionByName(a.filter(wild).drop("entity_key").join(b.filter(~wild), keys).select("a", "b")).unionByName(a.filter(~wild).join(b.filter(wild).drop("entity_key"), keys).select("a", "b"))
-    pairs = pairs.filter("a.doc_pos < b.doc_pos")
+    """Pairs (a, b) of normalised facts, structs, of different documents (the earlier is a) that pass both gates.
+
+    One join: an entity's facts meet under its key, and wildcard ones meet all others under a key of their own, so that
+    each pair meets under one key only.
+    """
+    wild = F.col("entity_key") == L.WILDCARD_ENTITY
+
+    def side(name: str, own: str, other: str) -> DataFrame:
+        keys = F.when(wild, F.array(F.lit("**"), F.lit(own))).otherwise(F.array(F.concat(F.lit("="), "entity_key"), F.lit(other)))
+        return facts.select("unit_type", "family", F.explode(keys).alias("meets"), F.struct(*facts.columns).alias(name))
+
+    pairs = side("a", "*=", "=*").join(side("b", "=*", "*="), ["unit_type", "family", "meets"]).select("a", "b").filter("a.doc_pos < b.doc_pos")
     segments = F.col("a.c.is_segment") & F.col("b.c.is_segment") & (F.lower("a.scope_detail") != F.lower("b.scope_detail"))
     far = F.col("a.family").startswith("domain_") & (token_similarity(F.col("a.tokens"), F.col("b.tokens")) < L.TOKEN_SIMILARITY) & (F.col("a.canonical_metric") != F.col("b.canonical_metric"))
     return pairs.filter(~F.coalesce(segments, F.lit(False)) & ~F.coalesce(far, F.lit(False)))
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs with the same two fact ids the first by the facts' places: for facts whose ids repeat."""
+    ids = Window.partitionBy(F.least("a.fact_id", "b.fact_id"), F.greatest("a.fact_id", "b.fact_id")).orderBy("a.doc_pos", "a.fact_no", "b.doc_pos", "b.fact_no")
+    return pairs.withColumn("_n", F.row_number().over(ids)).filter("_n = 1").drop("_n")
+
+
 def _either(test, a: Column, b: Column) -> tuple[Column, Column]:
     return F.coalesce(test(a), F.lit(False)), F.coalesce(test(b), F.lit(False))
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """Adds reconciling (array of the dimensions that explain a difference), reasons (array of those that forbid comparison) and comparable."""
+    """Adds told (a flag for each way in which the facts differ), period_case, reconciling (the dimensions that explain a difference), reasons (those that forbid comparison), numeric and comparable."""
     col = lambda side, name: F.col(f"{side}.{name}")
     low = lambda side, name, default: F.lower(F.coalesce(F.nullif(col(side, name), F.lit("")), F.lit(default)))
-    currency = (col("a", "unit_type") == "currency") & (col("a", "v.currency") != col("b", "v.currency"))
-    unit = (col("a", "unit_type") != "currency") & (col("a", "v.unit") != col("b", "v.unit"))
+    differ = lambda name: F.coalesce(col("a", name) != col("b", name), F.lit(False))
+    money = col("a", "unit_type") == "currency"
     key_a, key_b = col("a", "p.key"), col("b", "p.key")
     same_period = (key_a == key_b) & (key_a != "unspecified")
     undated = (key_a == "unspecified") | (key_b == "unspecified")
     part = lambda x, y: col(x, "p.type").isin("quarter", "half_year", "nine_months") & (col(y, "p.type") == "full_year")
     interim = ~same_period & ~undated & F.coalesce((col("a", "p.fiscal_year") == col("b", "p.fiscal_year")) & (part("a", "b") | part("b", "a")), F.lit(False))
+    period = first_match([(same_period, F.lit("exact")), (undated, F.lit("undated")), (interim, F.lit("interim")), (differ("p.fiscal_year"), F.lit("fiscal_year")), (differ("p.quarter"), F.lit("quarter"))], F.lit("timeframe"))
     scope = {s: low(s, "scope", "Consolidated") for s in "ab"}
     whole_a, whole_b = _either(lambda s: s.contains("consolidated") | s.contains("group"), scope["a"], scope["b"])
     alone_a, alone_b = _either(lambda s: s.contains("standalone") | s.contains("parent"), scope["a"], scope["b"])
     seg = {s: scope[s].contains("segment") | scope[s].contains("division") | (F.coalesce(col(s, "scope_detail"), F.lit("")) != "") | col(s, "c.is_segment") for s in "ab"}
     entity_scope = (whole_a & alone_b) | (alone_a & whole_b)
-    segment_scope = ~entity_scope & (seg["a"] != seg["b"])
     basis = {s: low(s, "basis", "Standard") for s in "ab"}
     own = {s: basis[s].contains("non-gaap") | basis[s].contains("adj") | col(s, "c.is_adjusted") for s in "ab"}
     constant = {s: basis[s].contains("constant currency") | basis[s].contains("fx-neutral") for s in "ab"}
     adjusted = own["a"] != own["b"]
-    fixed = ~adjusted & (constant["a"] != constant["b"])
     ops = {s: low(s, "operations", "Total") for s in "ab"}
-    operations = (ops["a"] != ops["b"]) & (ops["a"].contains("continuing") | ops["b"].contains("continuing"))
-    audit = low("a", "audit_status", "-").contains("restated") != low("b", "audit_status", "-").contains("restated")
-    differ = lambda name: F.coalesce(col("a", name) != col("b", name), F.lit(False))
     gross = differ("gross_or_net") & ~F.coalesce(col("a", "gross_or_net").isin("unspecified") | col("b", "gross_or_net").isin("unspecified"), F.lit(False))
-    explains = [("period", interim), ("scope", entity_scope), ("segment", segment_scope), ("basis", adjusted), ("constant_currency", fixed), ("operations", operations), ("audit", audit), ("geography", differ("geography")), ("estimate", differ("is_estimate")), ("gross_net", gross)]
-    forbids = [("currency", F.coalesce(currency, F.lit(False))), ("unit", F.coalesce(unit, F.lit(False))), ("period", ~same_period)]
-    listed = lambda rules: F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))
-    out = pairs.select("*", listed(explains).alias("reconciling"), listed(forbids).alias("reasons"), same_period.alias("same_period"))
+    flags = {
+        "period": interim, "scope": entity_scope, "segment": ~entity_scope & (seg["a"] != seg["b"]),
+        "basis": adjusted, "constant_currency": ~adjusted & (constant["a"] != constant["b"]),
+        "operations": (ops["a"] != ops["b"]) & (ops["a"].contains("continuing") | ops["b"].contains("continuing")),
+        "audit": low("a", "audit_status", "-").contains("restated") != low("b", "audit_status", "-").contains("restated"),
+        "geography": differ("geography"), "estimate": differ("is_estimate"), "gross_net": gross,
+        "currency": money & differ("v.currency"), "unit": ~money & differ("v.unit"),
+    }
+    out = pairs.select("a", "b", F.struct(*(c.alias(n) for n, c in flags.items())).alias("told"), period.alias("period_case"))
+    listed = lambda names: F.array_compact(F.array(*names))
+    forbids = [F.when(F.col("told.currency"), F.lit("currency")), F.when(F.col("told.unit"), F.lit("unit")), F.when(F.col("period_case") != "exact", F.lit("period"))]
+    out = out.select("*", listed([F.when(F.col(f"told.{n}"), F.lit(n)) for n in list(flags)[:10]]).alias("reconciling"), listed(forbids).alias("reasons"))
     numeric = F.col("a.v.base_value").isNotNull() & F.col("b.v.base_value").isNotNull()
     return out.select("*", numeric.alias("numeric"), ((F.size("reconciling") == 0) & (F.size("reasons") == 0) & numeric).alias("comparable"))
 
@@ -102,7 +119,7 @@ def polarity(statement: Column, words: str) -> Column:
 
 
 def classify(compared: DataFrame) -> DataFrame:
-    """Relationships: rel_id, type, confidence, priority, both fact ids, positions, variance_percent, difference, reconciling, reasons, periods."""
+    """Relationships: all of `compared`, and rel_id, type, confidence, priority, both fact ids, entity, concept_id, places, variance_percent, difference, period_label."""
     a, b = F.col("a.v.base_value"), F.col("b.v.base_value")
     percent = F.when(F.col("comparable"), variance(a, b))
     said = ~F.col("numeric") & (F.col("a.p.key") == F.col("b.p.key")) & (F.col("a.p.key") != "unspecified")
@@ -110,7 +127,7 @@ def classify(compared: DataFrame) -> DataFrame:
     case = lambda kind, sure, rank: F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"), F.lit(rank).alias("priority"))
     verdict = first_match(
         [
-            (F.col("comparable") & (percent <= L.TOLERANCE), case("CORROBORATED", 0.98, 3)),
+            (F.col("comparable") & (F.col("variance_percent") <= L.TOLERANCE), case("CORROBORATED", 0.98, 3)),
             (F.col("comparable"), case("CONTRADICTED", 0.95, 1)),
             (F.size("reconciling") > 0, case("RECONCILED BY CONTEXT", 0.92, 2)),
             (said & opposed, case("CONTRADICTED", 0.88, 1)),
@@ -119,20 +136,21 @@ def classify(compared: DataFrame) -> DataFrame:
         case("UNCERTAIN", 0.65, 4),
     )
     label = F.when(F.col("a.p.key") == F.col("b.p.key"), F.col("a.p.label")).otherwise(F.concat(F.col("a.p.label"), F.lit(" vs "), F.col("b.p.label")))
-    own = compared.select("*", verdict.alias("r"))
+    own = compared.select("*", percent.alias("variance_percent")).select("*", verdict.alias("r"))
     return own.select(
         F.concat_ws("_", F.lit("rel"), "a.fact_id", "b.fact_id").alias("rel_id"),
         "r.type", "r.confidence", "r.priority",
-        F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"),
+        F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), F.col("a.entity").alias("entity"),
         F.struct("a.doc_pos", "a.fact_no", F.col("b.doc_pos").alias("b_doc_pos"), F.col("b.fact_no").alias("b_fact_no")).alias("place"),
         F.col("a.c.concept_id").alias("concept_id"), label.alias("period_label"),
-        percent.alias("variance_percent"), F.when(F.col("comparable"), F.abs(a - b)).alias("difference"), "reconciling", "reasons",
+        "variance_percent", F.when(F.col("comparable"), F.abs(a - b)).alias("difference"), "reconciling", "reasons", "told", "period_case", "numeric", "comparable", "a", "b",
     )
 
 
-def relate(facts: DataFrame) -> DataFrame:
-    """All relationships between facts of different documents, unsorted; ranked() gives the reading order."""
-    return classify(compare(candidate_pairs(normalize_facts(facts))))
+def relate(facts: DataFrame, repeated_ids: bool = False) -> DataFrame:
+    """All relationships between facts of different documents, unsorted; ranked() gives the reading order. With `repeated_ids`, two facts' ids are related once."""
+    pairs = candidate_pairs(normalize_facts(facts))
+    return classify(compare(distinct_pairs(pairs) if repeated_ids else pairs))
 
 
 def ranked(relationships: DataFrame) -> DataFrame:
@@ -140,11 +158,11 @@ def ranked(relationships: DataFrame) -> DataFrame:
     return relationships.orderBy("priority", "place")
 
 
+TYPES = ["CONTRADICTED", "RECONCILED BY CONTEXT", "CORROBORATED", "UNCERTAIN"]
+
+
 def summary(relationships: DataFrame) -> DataFrame:
-    """(type, n, percent) of all four types, zeros included."""
-    spark = relationships.sparkSession
-    kinds = spark.createDataFrame([("CONTRADICTED", 1), ("RECONCILED BY CONTEXT", 2), ("CORROBORATED", 3), ("UNCERTAIN", 4)], "type string, priority int")
-    counts = relationships.groupBy("type").agg(F.count("*").alias("n"))
-    both = kinds.join(counts, "type", "left").select("type", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    total = both.agg(F.sum("n").alias("total"))
-    return both.join(F.broadcast(total)).select("type", "n", F.coalesce(F.floor(100 * F.col("n") / F.nullif(F.col("total"), F.lit(0)) + 0.5), F.lit(0)).cast("long").alias("percent"))
+    """(type, n, percent) of all four types, zeros included, from one pass."""
+    counts = relationships.agg(F.count("*").alias("total"), *(F.count_if(F.col("type") == t).alias(f"n{i}") for i, t in enumerate(TYPES)))
+    rows = counts.select("total", F.explode(F.array(*(F.struct(F.lit(t).alias("type"), F.col(f"n{i}").alias("n")) for i, t in enumerate(TYPES)))).alias("r"))
+    return rows.select("r.type", "r.n", F.coalesce(F.floor(100 * F.col("r.n") / F.nullif(F.col("total"), F.lit(0)) + 0.5), F.lit(0)).cast("long").alias("percent"))

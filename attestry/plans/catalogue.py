@@ -44,9 +44,9 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
 
 
-def _amount(raw: Column, evidence: Column) -> list[Column]:
-    v = normalize_value(raw, evidence)
-    return [raw.alias("raw_value"), *(v[f].alias(f) for f in ("numeric_value", "unit", "currency", "unit_type", "scale", "base_value"))]
+def _amounts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, raw_value, ...) of `rows` (key, r): one struct for each value, then its fields."""
+    return rows.select(key, F.col("r").alias("raw_value"), normalize_value(F.col("r"), F.lit("")).alias("v")).select(key, "raw_value", "v.*")
 
 
 def normalize_money(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def normalize_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_custkey").cast("string")
     raw = F.when(m == 0, F.concat(F.lit("$"), n, F.lit(" million"))).when(m == 1, F.concat(F.lit("€"), n, F.lit("bn"))).when(m == 2, F.concat(F.lit("Rs "), n, F.lit(" Cr"))).when(m == 3, F.concat(F.lit("(£"), n, F.lit(")"))).when(m == 4, F.concat(n, F.lit(" bps"))).otherwise(F.concat(n, F.lit(" employees")))
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("r"))
-    return rows.select("o_orderkey", *_amount(F.col("r"), F.lit("")))
+    return _amounts(rows, "o_orderkey")
 
 
 def normalize_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def normalize_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.expr("cast(abs(cast(c_acctbal * 100 as bigint)) div 100 as string)"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     raw = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("("), text, F.lit(")"))).otherwise(text)
     rows = _table(spark, sf_dir, "customer").select("c_custkey", raw.alias("r"))
-    return rows.select("c_custkey", *_amount(F.col("r"), F.lit("")))
+    return _amounts(rows, "c_custkey")
 
 
 def normalize_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,7 @@ def normalize_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     y, q, k = y.cast("string"), q.cast("string"), F.col("o_orderkey") % 8
     text = F.when(k == 0, F.concat(F.lit("Q"), q, F.lit(" FY"), y)).when(k == 1, F.concat(F.when(m <= 6, "H1 ").otherwise("H2 "), y)).when(k == 2, F.concat(F.lit("nine months ended "), y)).when(k == 3, F.concat(F.lit("TTM "), y)).when(k == 4, F.concat(F.lit("Fiscal Year "), y)).when(k == 5, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 6, F.concat(F.lit("March 5, "), y)).otherwise(F.concat(F.lit("since "), y))
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("period"))
-    p = normalize_period(F.col("period"))
-    return rows.select("o_orderkey", "period", p.type.alias("type"), p.key.alias("key"), p.label.alias("label"), p.fiscal_year.alias("fiscal_year"))
+    return rows.select("o_orderkey", "period", normalize_period(F.col("period")).alias("p")).select("o_orderkey", "period", "p.type", "p.key", "p.label", "p.fiscal_year")
 
 
 #: Metric names that part keys are dealt over.
