@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import concept as C
 from ..functions import find
 from ..functions import lexicon as L
+from ..functions.text import let
 
 #: Pages whose text may name the document's period, and lines of the first page that may name its entity.
 PERIOD_PAGES, ENTITY_LINES, LEAST_CHARS = 3, 15, 8
@@ -36,10 +37,10 @@ def extract_facts(pages: DataFrame) -> DataFrame:
     fact_no (1-based in the document), document_name, page_number, entity, metric, category, raw_value,
     period, scope, basis, operations, audit_status, evidence, statement, confidence. Pages without text have none.
     """
-    found = lines(pages).withColumn("metric", find.metric_in(F.col("line"))).filter(F.col("metric").isNotNull())
-    found = found.withColumn("category", C.category(F.col("metric")))
-    found = found.withColumn("raw_value", find.value_in(F.col("line"), F.col("metric"), F.col("category"))).filter(F.col("raw_value").isNotNull())
-    found = found.withColumn("line_period", find.find_period(F.col("line"))).join(documents(pages), "doc_id").withColumn("period", F.coalesce("line_period", "doc_period"))
+    # one expression a line, so that no rule is tried twice: where its metric is found, the rest is looked for
+    told = let({"metric": find.metric_in(F.col("line"))}, lambda m: F.when(m.metric.isNotNull(), let({"metric": m.metric, "category": C.category(m.metric)}, _told)))
+    found = lines(pages).select("*", F.explode(F.filter(F.array(told), lambda f: f.raw_value.isNotNull())).alias("f")).select("doc_id", "page_ord", "page_number", "line_no", "line", "f.*")
+    found = found.join(documents(pages), "doc_id").withColumn("period", F.coalesce("line_period", "doc_period"))
     key = ["doc_id", "page_number", "metric", "period"]
     rest = ["page_ord", "line_no", "line", "category", "raw_value", "doc_pos", "document_name", "entity"]
     first = found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("f")).select(*key, "f.*")
@@ -52,6 +53,11 @@ def extract_facts(pages: DataFrame) -> DataFrame:
     )
 
 
+def _told(x: Column) -> Column:
+    line = F.col("line")
+    return F.struct(x.metric.alias("metric"), x.category.alias("category"), find.value_in(line, x.metric, x.category).alias("raw_value"), find.find_period(line).alias("line_period"))
+
+
 def _statement() -> Column:
     basis = F.when(F.col("c.basis").isNotNull(), F.concat(F.lit(" on a "), F.col("c.basis"), F.lit(" basis"))).otherwise(F.lit(""))
     return F.concat("entity", F.lit(" reported "), "metric", F.lit(" of "), "raw_value", F.lit(" for "), "period", basis, F.lit("."))

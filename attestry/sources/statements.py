@@ -31,3 +31,24 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         metric.alias("metric"), raw.alias("raw_value"), period.alias("period"),
         F.concat(metric, F.lit(" was "), raw).alias("evidence"), F.lit("").alias("statement"),
     )
+
+
+#: Years are shifted so that they are ones that a bare number may stand for.
+SHIFT = 20
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same statements as text: each nation's three documents, two pages each (years up to 2017, and later ones), a sentence a year.
+
+    The first page begins with the company's name. In even years the sentence comes twice; a line without an amount,
+    one of employees without a period and short ones stand between.
+    """
+    said = statements(spark, sf_dir).withColumn("y", F.col("fact_no") + SHIFT)
+    period = F.concat(F.when(F.col("period").startswith("Q4"), "Q4 FY ").otherwise("FY "), F.col("y").cast("string"))
+    line = F.concat(F.lit("- "), "metric", F.lit(" for "), period, F.lit(" was "), "raw_value", F.lit("."))
+    told = said.select("doc_pos", "entity", F.when(F.col("y") <= 2017, 0).otherwise(1).alias("page_ord"), "y", F.when(F.col("y") % 2 == 0, F.concat(line, F.lit("\n  "), line)).otherwise(line).alias("line"))
+    page = told.groupBy("doc_pos", "entity", "page_ord").agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: x.line), "\n")
+    head = F.concat("entity", F.lit("\nsmall\nAn overview of gross profit\n"))
+    text = F.when(F.col("page_ord") == 0, F.concat(head, body)).otherwise(F.concat(body, F.lit("\nHeadcount: "), (F.col("doc_pos") + 1000).cast("string"), F.lit(" employees")))
+    return page.select(F.concat(F.lit("doc_"), F.col("doc_pos").cast("string")).alias("doc_id"), "doc_pos", F.concat(F.lit("report_"), F.col("doc_pos").cast("string"), F.lit(".pdf")).alias("document_name"), "page_ord", (F.col("page_ord") + 1).alias("page_number"), text.alias("text"))
