@@ -240,7 +240,7 @@ class Memo:
 
     RUNS = 8
 
-    def __init__(self, limit: int = 1 << 26):
+    def __init__(self, limit: int = 1 << 25):
         self.limit, self.runs = limit, []
 
     def get(self, keys: np.ndarray, checks: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

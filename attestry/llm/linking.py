@@ -22,8 +22,8 @@ from . import kernels as K
 from .kernels import BINS
 from .scratch import drop, written
 
-#: Ids that restrict() may broadcast: 2 million longs are 16 MB, 32 MB as a hash table. More are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Ids that restrict() may broadcast: half a million longs are some 30 MB as a hash table. More are shuffled.
+BROADCAST_IDS = 500_000
 ROUNDS = 60
 BITS = [f"s{i}" for i in range(BINS // 32)]
 #: Standard deviations that a sketch may fall short by: 5 pairs in 10,000 at the very threshold, fewer above.

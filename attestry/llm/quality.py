@@ -129,7 +129,8 @@ def outliers(stats: DataFrame, groups: list[str], steps: int = STEPS) -> DataFra
     keys = ["g", "start"]
     # the second start leaves out what is far from the centre in any one statistic
     centre = trained.groupBy(*keys).agg(*(F.avg(x).alias(f"c{x}") for x in X), *(F.stddev_pop(x).alias(f"d{x}") for x in X))
-    near = trained.join(centre, keys).filter((F.col("start") == 0) | F.forall(F.array(*(F.abs(F.col(x) - F.col(f"c{x}")) <= F.greatest(F.col(f"d{x}"), F.lit(1e-9)) for x in X)), lambda v: v))
+    centre = written(centre, "centre")
+    near = trained.join(F.broadcast(centre) if _few(centre) else centre, keys).filter((F.col("start") == 0) | F.forall(F.array(*(F.abs(F.col(x) - F.col(f"c{x}")) <= F.greatest(F.col(f"d{x}"), F.lit(1e-9)) for x in X)), lambda v: v))
     estimates = written(_moments(near.select(*keys, *X), keys), "estimates")
     for _ in range(steps):
         far = _distances(trained, F.broadcast(estimates) if _few(estimates) else estimates, keys)

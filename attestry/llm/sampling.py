@@ -8,7 +8,7 @@ its bytes, and one space mark stands before the text; decoding undoes exactly th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,9 @@ SLICE = 1 << 18
 GRAIN = 1 << 24
 
 
+Runner = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 def _unit_string(raw: bytes, first: bool) -> str:
     text = raw.decode("utf-8", "replace").replace(SPACE_MARK, RAW_MARK).replace(" ", SPACE_MARK)
     return SPACE_MARK + text if first else text
@@ -118,15 +121,8 @@ def _sampled(data: np.ndarray, rows: np.ndarray, origin: np.ndarray, keys: np.nd
     return slots[marked], cuts[rows - rows[0] + np.arange(len(rows))]
 
 
-def encode(docs: DataFrame, key: Column, path: str | None = None) -> DataFrame:
-    """`docs` (text, ...) with ids, the array of a sampled segmentation's piece ids, seeded by `key` (a long; null counts as 0).
-
-    A null text has null ids, an empty one none. Equal texts under equal keys get equal ids. All columns of the
-    input stay, but for a former ids.
-    """
-    path = path or vocabulary_path(MODEL_FILE)
-    docs = docs.drop("ids")
-    rest = docs.columns
+def _encoder(path: str, rest: list[str]) -> Runner:
+    """Batches of the columns `rest` (text among them) and a seed to batches of `rest` and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
@@ -146,14 +142,11 @@ def encode(docs: DataFrame, key: Column, path: str | None = None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=texts[lo:hi].is_null())
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], lists], names=[*rest, "ids"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", key.cast("long").alias("_seed")).mapInArrow(K.task(run), f"{schema}, ids array<int>")
+    return run
 
 
-def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """`coded` (ids, ...) with decoded, the text that the piece ids spell; null ids decode to null. A former decoded goes."""
-    path = path or vocabulary_path(MODEL_FILE)
-    coded = coded.drop("decoded")
+def _decoder(path: str) -> Runner:
+    """Batches with ids to batches with decoded besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = _spellings(path)
@@ -180,8 +173,35 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
                 decoded = pc.if_else(lists.is_valid(), decoded, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
-    return coded.mapInArrow(K.task(run), f"{schema}, decoded string")
+    return run
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def encode(docs: DataFrame, key: Column, path: str | None = None) -> DataFrame:
+    """`docs` (text, ...) with ids, the array of a sampled segmentation's piece ids, seeded by `key` (a long; null counts as 0).
+
+    A null text has null ids, an empty one none. Equal texts under equal keys get equal ids. All columns of the
+    input stay, but for a former ids.
+    """
+    docs = docs.drop("ids")
+    run = _encoder(path or vocabulary_path(MODEL_FILE), docs.columns)
+    return docs.select("*", key.cast("long").alias("_seed")).mapInArrow(K.task(run), f"{_ddl(docs)}, ids array<int>")
+
+
+def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """`coded` (ids, ...) with decoded, the text that the piece ids spell; null ids decode to null. A former decoded goes."""
+    coded = coded.drop("decoded")
+    return coded.mapInArrow(K.task(_decoder(path or vocabulary_path(MODEL_FILE))), f"{_ddl(coded)}, decoded string")
+
+
+def encode_and_decode(docs: DataFrame, key: Column, path: str | None = None) -> DataFrame:
+    """decode(encode(docs, key)) in one worker for each task."""
+    path, docs = path or vocabulary_path(MODEL_FILE), docs.drop("ids", "decoded")
+    forth, back = _encoder(path, docs.columns), _decoder(path)
+    return docs.select("*", key.cast("long").alias("_seed")).mapInArrow(K.task(lambda batches: back(forth(batches))), f"{_ddl(docs)}, ids array<int>, decoded string")
 
 
 def _spellings(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +218,7 @@ _spelled: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    back = decode(encode(docs, F.col("doc_id")))
+    back = encode_and_decode(docs, F.col("doc_id"))
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
