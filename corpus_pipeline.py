@@ -48,7 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces, ids, and whether the ids decode to the very text."""
-    back = sampling.decode(sampling.encode(_documents(docs), F.col("doc_id")))
+    back = sampling.encode_and_decode(_documents(docs), F.col("doc_id"))
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
 
