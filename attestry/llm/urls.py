@@ -74,26 +74,50 @@ def lexical(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(run, f"{schema}, " + ", ".join(f"{f} double" for f in LEXICAL))
 
 
-def _statistics(urls: DataFrame, by: str, name: str) -> DataFrame:
-    """Log count and (smoothed) block share of each suffix; combined on the map side, so that a common one isn't gathered."""
-    own = urls.groupBy(by).agg(F.count("*").alias("n"), F.sum("labelled").alias("b"))
-    return own.select(by, F.log1p("n").alias(f"{name}_count"), ((F.col("b") + 1) / (F.col("n") + 2)).alias(f"{name}_block_share"))
+def _with_statistics(urls: DataFrame) -> DataFrame:
+    """`urls` with the SUFFIX features: log count and (smoothed) block share of its suffix and domain over all other hosts, so that no label of a host reaches its own rows.
+
+    Counts are combined by host first and joined to the hosts, so that a common suffix meets one row for each host.
+    """
+    hosts = written(urls.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum("labelled").alias("b")), "hosts")
+    out = hosts
+    for by in ("suffix", "domain"):
+        whole = hosts.groupBy(by).agg(F.sum("n").alias(f"{by}_n"), F.sum("b").alias(f"{by}_b"))
+        out = out.join(whole, by)
+        out = out.withColumn(f"{by}_count", F.log1p(F.col(f"{by}_n") - F.col("n"))).withColumn(f"{by}_block_share", (F.col(f"{by}_b") - F.col("b") + 1) / (F.col(f"{by}_n") - F.col("n") + 2))
+    return urls.join(out.select("host", *SUFFIX), "host")
+
+
+def held_out(host: Column) -> Column:
+    """A fifth of the hosts, none of whose URLs the trees are trained on."""
+    return F.pmod(F.xxhash64(F.lit("held"), host), F.lit(5)) == 0
+
+
+def held_out_quality(scored: DataFrame) -> DataFrame:
+    """(blocks, found, blocked) of filter_urls()'s rows on held-out hosts without a rule: those labelled block, those among them that the trees block, and all that the trees block."""
+    own = scored.filter(held_out(F.col("host")) & F.col("rule").isNull()).select(_listed().alias("label"), (F.col("score") >= THRESHOLD).alias("blocked"))
+    return own.agg(F.count_if("label").alias("blocks"), F.count_if(F.col("label") & F.col("blocked")).alias("found"), F.count_if("blocked").alias("blocked"))
+
+
+def _listed() -> Column:
+    return F.exists(F.array(*map(F.lit, TERMS)), lambda t: F.contains(F.col("host"), t))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, rows: int = TRAIN_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of pages (page_id, url, ...), one row for each input row.
 
-    score is the trees' block probability; the verdict is the rule's, else block from THRESHOLD on. A null URL or one without `://` has an empty
+    score is the trees' block probability; a fifth of the hosts (held_out) teach nothing. The verdict is the rule's, else block from THRESHOLD on. A null URL or one without `://` has an empty
     host and path; the trees judge it as any other. Without any URL labelled block all scores are 0. Other columns aren't read.
     """
     named = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     which, verdict = rule(F.col("host"), F.col("path"), rules)
-    listed = F.exists(F.array(*map(F.lit, TERMS)), lambda t: F.contains(F.col("host"), t))
+    listed = _listed()
     urls = named.select("*", which.alias("rule"), verdict.alias("says"), F.substring_index("host", ".", -1).alias("suffix"), F.substring_index("host", ".", -2).alias("domain"))
     urls = written(lexical(urls.withColumn("labelled", (F.coalesce(F.col("says") == "block", F.lit(False)) | (F.col("says").isNull() & listed)).cast("int"))), "urls")
-    full = urls.join(_statistics(urls, "suffix", "suffix"), "suffix").join(_statistics(urls, "domain", "domain"), "domain")
-    n = urls.count()
-    sample = full if n <= rows else full.filter(F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    full = _with_statistics(urls)
+    taught = full.filter(~held_out(F.col("host")))
+    n = taught.count()
+    sample = taught if n <= rows else taught.filter(F.pmod(F.xxhash64(F.lit("urls"), "url", "page_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
     names = LEXICAL + SUFFIX
     got = sample.orderBy("url", "page_id").select(*names, "labelled").toPandas().to_numpy(dtype=float)
     score = F.lit(0.0)
