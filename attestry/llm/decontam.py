@@ -26,6 +26,10 @@ SHARE, LEAST_WORDS = 0.4, 8
 PASSAGE_WORDS, EDIT = 25, 4
 #: Items in one pass over the corpus; a larger benchmark is taken in blocks of so many.
 BLOCK_ITEMS = 20_000
+#: And characters of items in one pass (one item at least); what is broadcast takes some four bytes for each.
+BLOCK_CHARS = 16 << 20
+#: Cells of the alignments that are made side by side.
+CELLS = 1 << 21
 LEAKS = "array<struct<item_id:long,score:double,seeds:long>>"
 
 
@@ -78,8 +82,11 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], mismatch: int = M
     """Smith-Waterman scores of word sequences, pair by pair: the best local alignment of each item with its passage."""
     out = np.zeros(len(items), dtype=np.int64)
     order = np.argsort([len(x) * 4096 + len(y) for x, y in zip(items, passages, strict=True)])
-    for lo in range(0, len(order), 256):
-        part = order[lo : lo + 256]
+    lo = 0
+    while lo < len(order):
+        widest = max(len(passages[i]) for i in order[lo : lo + 256])
+        part = order[lo : lo + min(256, max(1, CELLS // max(1, widest)))]
+        lo += len(part)
         m, w = max(len(items[i]) for i in part), max(len(passages[i]) for i in part)
         a, b = np.zeros((len(part), m), dtype=np.uint64), np.ones((len(part), w), dtype=np.uint64)  # 0 and 1: never the same
         for k, i in enumerate(part):
@@ -134,7 +141,7 @@ def _found(h: np.ndarray, bounds: np.ndarray, block: dict) -> dict[int, list[tup
         best[key] = max(best.get(key, (0.0, 0)), got)
     out: dict[int, list[tuple[int, float, int]]] = {}
     for (r, i), (s, n) in sorted(best.items()):
-        out.setdefault(r, []).append((block["ids"][i], s, n))
+        out.setdefault(r, []).extend((item_id, s, n) for item_id in block["ids"][i])
     return out
 
 
@@ -149,12 +156,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     but for a former leaks.
     """
     out = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAKS))
-    told = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
+    told = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    # items of one text are aligned once
+    told = told.groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids")).orderBy(F.get("ids", F.lit(0)), "text")
     block: list = []
+    chars = 0
     for r in told.toLocalIterator():
+        if block and (len(block) == block_items or chars + len(r["text"]) > BLOCK_CHARS):
+            out, block, chars = _marked(out, docs, block), [], 0
         block.append(r)
-        if len(block) == block_items:
-            out, block = _marked(out, docs, block), []
+        chars += len(r["text"])
     return _marked(out, docs, block) if block else out
 
 
@@ -166,7 +177,7 @@ def _marked(out: DataFrame, docs: DataFrame, items: list) -> DataFrame:
     counts, total = _word_counts(docs, vocabulary)
     chance = np.log((counts + 1) / (total + len(vocabulary)))
     seeds, item, at = _seeds(h, bounds, chance[of], total)
-    shared = docs.sparkSession.sparkContext.broadcast({"seeds": seeds, "item": item, "at": at, "h": h, "bounds": bounds, "ids": [r["item_id"] for r in items]})
+    shared = docs.sparkSession.sparkContext.broadcast({"seeds": seeds, "item": item, "at": at, "h": h, "bounds": bounds, "ids": [r["ids"] for r in items]})
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("seeds", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
