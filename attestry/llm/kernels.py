@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 21
 BLOCK_BYTES = 1 << 17
@@ -28,8 +29,19 @@ _BASE = 0x9E3779B97F4A7C15
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
+#: Bytes of a batch that goes to a worker, instead of Spark's 64 MB.
+BATCH_BYTES = 1 << 23
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run` for mapInArrow; once a partition is done, memory that its arrays have freed goes back to the system, as workers stay for later tasks."""
+    """`run` for mapInArrow; once a partition is done, memory that its arrays have freed goes back to the system, as workers stay for later tasks.
+
+    Lowers the session's bound on a batch's bytes to BATCH_BYTES, if it is above: rows of whole texts are wide.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and int(session.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        session.conf.set(_BATCH, str(BATCH_BYTES))
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
