@@ -60,7 +60,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece_encoding),
 ]
 
-#: Language ID, the MinHash candidates and the sampled segmentations have no SQL form. Tests hold operators behind the stages against brute force, but not the stages.
+#: Language ID, the MinHash candidates and the sampled segmentations have no SQL form. tests/llm/test_words.py runs each stage and run() on a small table with a known result.
 ORACLE_SQL = None
 
 
