@@ -105,14 +105,32 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], mismatch: int = M
     return out
 
 
+def _short(h: np.ndarray, bounds: np.ndarray, ids: list[list[int]]) -> dict[tuple[int, ...], list[int]]:
+    """Ids of the items that have words, but too few for a seed, by their words."""
+    out: dict[tuple[int, ...], list[int]] = {}
+    size = np.diff(bounds)
+    for i in np.flatnonzero((size > 0) & (size < SEED_WORDS)).tolist():
+        out.setdefault(tuple(h[bounds[i] : bounds[i + 1]].tolist()), []).extend(ids[i])
+    return out
+
+
+def _equal(h: np.ndarray, bounds: np.ndarray, short: dict[tuple[int, ...], list[int]]) -> dict[int, list[tuple[int, float, int]]]:
+    """For each row that has the very words of a short item, its (item_id, 1, 0)."""
+    size = np.diff(bounds)
+    rows = np.flatnonzero((size > 0) & (size < SEED_WORDS)).tolist() if short else []
+    words = {r: tuple(h[bounds[r] : bounds[r + 1]].tolist()) for r in rows}
+    return {r: [(i, 1.0, 0) for i in sorted(set(short[w]))] for r, w in words.items() if w in short}
+
+
 def _found(h: np.ndarray, bounds: np.ndarray, block: dict) -> dict[int, list[tuple[int, float, int]]]:
     """For each row that leaks, its (item_id, score, seeds)."""
+    out = _equal(h, bounds, block["short"])
     grams, at = K.ngrams(h, bounds, SEED_WORDS)
     seeds = block["seeds"]
     lo, hi = np.searchsorted(seeds, grams), np.searchsorted(seeds, grams, side="right")
     hits = np.flatnonzero(hi > lo)
     if not len(hits):
-        return {}
+        return out
     many = hi[hits] - lo[hits]
     place = np.repeat(at[hits], many)
     seed = np.repeat(lo[hits] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
@@ -139,7 +157,6 @@ def _found(h: np.ndarray, bounds: np.ndarray, block: dict) -> dict[int, list[tup
     for k in np.flatnonzero(leaks):
         key, got = (int(row[first[k]]), int(item[first[k]])), (float(score[k] / full[k]), int(last[k] - first[k] + 1))
         best[key] = max(best.get(key, (0.0, 0)), got)
-    out: dict[int, list[tuple[int, float, int]]] = {}
     for (r, i), (s, n) in sorted(best.items()):
         out.setdefault(r, []).extend((item_id, s, n) for item_id in block["ids"][i])
     return out
@@ -151,7 +168,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     benchmark: (item_id, text). Words are runs of letters and digits (and of anything beyond ASCII), A-Z in lower
     case. score is the alignment score over that of the whole item, 0.4 to 1, or less for a passage out of a
     longer item: 25 verbatim words, and two more for each edit inside it. Null or wordless texts hold nothing;
-    items of fewer than three words, null ones or ones with a null id take no part; an item of 3 to 7 words must
+    null items and ones with a null id take no part; an item of one or two words leaks only into a text that has
+    no other words (score 1, no seeds), as ordinary texts hold such words by the way; one of 3 to 7 words must
     occur whole. Items repeated under one id count once where their texts are the same. All columns of `docs` stay,
     but for a former leaks.
     """
@@ -177,7 +195,7 @@ def _marked(out: DataFrame, docs: DataFrame, items: list) -> DataFrame:
     counts, total = _word_counts(docs, vocabulary)
     chance = np.log((counts + 1) / (total + len(vocabulary)))
     seeds, item, at = _seeds(h, bounds, chance[of], total)
-    shared = docs.sparkSession.sparkContext.broadcast({"seeds": seeds, "item": item, "at": at, "h": h, "bounds": bounds, "ids": [r["ids"] for r in items]})
+    shared = docs.sparkSession.sparkContext.broadcast({"seeds": seeds, "item": item, "at": at, "h": h, "bounds": bounds, "ids": [r["ids"] for r in items], "short": _short(h, bounds, [r["ids"] for r in items])})
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("seeds", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
