@@ -21,6 +21,8 @@ from .scratch import written
 
 #: Labelled rows that the model is fitted on: beyond this number a hash of doc_id draws about so many.
 TRAIN_ROWS = 4_000
+#: Of these, rows of each language at least (all, if it has fewer), so that a rare language is learned in a large table too.
+LEAST_ROWS = 200
 ROUNDS = 2
 #: Added to each piece's expected count.
 PRIOR_COUNT = 0.05
@@ -107,8 +109,8 @@ def _word_counts(sample: DataFrame, languages: list[str]) -> DataFrame:
 def train(docs: DataFrame, path: str | None = None, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, piece probabilities (pieces + 1, languages) and log priors from labelled documents (doc_id, text, lang).
 
-    Fitted on about `rows` of them (all if there are fewer): those whose doc_id has a small hash. What reaches the
-    driver is one number for each piece of the vocabulary and language.
+    Fitted on about `rows` of them (all if there are fewer) and LEAST_ROWS of each language: those whose doc_id has
+    a small hash. What reaches the driver is one number for each piece of the vocabulary and language.
     """
     path = path or vocabulary_path(MODEL_FILE)
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
@@ -117,8 +119,11 @@ def train(docs: DataFrame, path: str | None = None, rows: int = TRAIN_ROWS, roun
     if not languages:
         return [], np.zeros((0, 0)), np.zeros(0)
     priors = np.log(np.array([r["count"] for r in by_lang]) / n)
-    share = min(1.0, rows / n)
-    sample = labelled if share == 1 else labelled.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = labelled
+    if n > rows:
+        bounds = [(r["lang"], int(min(1.0, max(rows / n, LEAST_ROWS / r["count"])) * (1 << 30))) for r in by_lang]
+        bound = F.element_at(F.create_map(*(F.lit(x) for pair in bounds for x in pair)), F.col("lang"))
+        sample = labelled.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < bound)
     words = written(_word_counts(sample, languages).repartition(docs.sparkSession.sparkContext.defaultParallelism), "langid-words")
     size = len(pieces(path).names)
     probability = np.full((size + 1, len(languages)), 1.0 / size)
