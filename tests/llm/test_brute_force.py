@@ -57,6 +57,16 @@ def test_word_scores_sum_all_segmentations(spark):
             assert r["lang_pred"] == "abc"[int(sums.argmax())] and math.isclose(r["score"], share.max(), abs_tol=1e-6)
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(11)
+    words = {"aa": ["the", "house", "river"], "bb": ["das", "haus", "wasser"], "cc": ["maison", "fleuve", "ville"]}
+    many = ["aa", "bb"] * 2000 + ["cc"] * 5
+    rows = [(i, " ".join(rng.choices(words[k], k=8)), k) for i, k in enumerate(many)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=200)
+    got = langid.identify(spark.createDataFrame([(1, "ville fleuve"), (2, "haus"), (3, "river")], "doc_id long, text string"), model)
+    assert model[0] == ["aa", "bb", "cc"] and [r["lang_pred"] for r in got.orderBy("doc_id").collect()] == ["cc", "bb", "aa"]
+
+
 def test_segmentations_are_drawn_by_their_weights(spark):
     own, ids = vocabulary()
     weight = lambda cut: math.prod(sampling.BYTE_WEIGHT if i is None else (1.0 + own.ranks[i]) ** -sampling.STEEPNESS for _, i in cut)
