@@ -378,8 +378,13 @@ def one_permutation(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarra
     full[row] = True
     own = out.copy()
     square, grid = out.reshape(BINS, rows), own.reshape(BINS, rows)
-    for probe in _PROBES:
-        np.copyto(square, grid[probe], where=square == EMPTY)
+    signed, lent, empty = square.view(np.int32), np.empty((BINS, rows), dtype=np.int32), np.empty((BINS, rows), dtype=np.int32)
+    for probe in _PROBES:  # hashes have 31 bits, so the sign tells which bins are empty
+        np.right_shift(signed, 31, out=empty)
+        np.take(grid.view(np.int32), probe, axis=0, out=lent, mode="clip")
+        lent ^= signed
+        lent &= empty
+        signed ^= lent
     left = np.flatnonzero((square == EMPTY).any(axis=0) & full)
     if len(left):  # what is empty then takes the next full bin below it
         some = grid[:, left]
