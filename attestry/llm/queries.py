@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, linededup, neardup, quality, rulefit, sampling, tokencount, urls
+from . import chat, decontam, hardneg, langid, linededup, neardup, quality, rulefit, sampling, tokencount, urls, whitening
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_quality_classifier": rulefit.op8_quality_classifier,
     "op9_minhash_neardup": neardup.op9_minhash_neardup,
     "op10_token_counts": tokencount.op10_token_counts,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.OP2_SQL,
+    "op11_hard_negatives": hardneg.OP11_SQL,
 }
