@@ -157,7 +157,8 @@ def _of_block(candidates: DataFrame, block: tuple[np.ndarray, np.ndarray, np.nda
     shape = (positives, len(block[0]))
     named, lowest, highest = np.zeros(shape, np.int64), np.full(shape, 1), np.zeros(shape, np.int64)  # an empty window
     named[turn, place] = positive_id
-    lowest[turn, place], highest[turn, place] = -(-low * positive_score // 100), high * positive_score // 100
+    exact = positive_score.astype(object)  # a hundred times a score may not fit 64 bits
+    lowest[turn, place], highest[turn, place] = -(-low * exact // 100), high * exact // 100
     windows = context.broadcast((named, lowest, highest))
 
     def hard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, hardneg, langid, linededup, neardup, quality, rulefit, sampling, tokencount, urls, whitening
+from . import chat, decontam, hardneg, langid, linededup, neardup, quality, rulefit, sampling, substring, tokencount, urls, whitening
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash_neardup": neardup.op9_minhash_neardup,
     "op10_token_counts": tokencount.op10_token_counts,
     "op11_hard_negatives": hardneg.op11_hard_negatives,
+    "op12_substring_dedup": substring.op12_substring_dedup,
     "op13_whitening": whitening.op13_whitening,
 }
 

@@ -102,11 +102,11 @@ def whiten(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
     over all rows. Components beyond the rank (constant dimensions, repeated rows alone) have no whitened values and no rows.
 
     A repeated row counts and is returned as often as it stands; a null vec_id is returned as null. Rows whose
-    length isn't the commonest (of equals the greater) or whose x is null take no part. An empty table gives an empty one. Other columns are not read.
+    length isn't the commonest (of equals the greater) or whose x is null or holds null (in the query also: a number beyond a long) take no part. An empty table gives an empty one. Other columns are not read.
     """
     spark = rows.sparkSession
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "x").filter(F.col("x").isNotNull())
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "x").filter(F.coalesce(F.forall("x", lambda c: c.isNotNull()), F.lit(False)))
     d, n, sums, most = exact_sums(rows)
     if not n:
         return spark.createDataFrame([], schema)
@@ -173,5 +173,6 @@ def whiten(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
 
 def op13_whitening(spark, sf_dir: str) -> DataFrame:
     """All of `embeddings` with whole vectors, components as whole 64ths moved up by a million, on the first 32 components."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(finite(F.col("embedding")))
-    return whiten(rows.select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * 64) + 1_000_000).alias("x")))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = F.transform("embedding", lambda c: F.try_add(F.floor(c.cast("double") * 64), F.lit(1_000_000)))
+    return whiten(rows.select("vec_id", F.when(finite(F.col("embedding")), x).alias("x")))
