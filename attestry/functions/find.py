@@ -1,4 +1,9 @@
-"""What a line, a page or a file name says: periods, entities, metrics and amounts. Column in, Column out; null where nothing is found."""
+"""What a line, a page or a file name says: periods, entities, metrics and amounts. Column in, Column out; null where nothing is found.
+
+Texts are cut into tokens (words, numbers, blanks, marks). Periods are sequences of token kinds: each token gets a letter
+for its kind, and what is looked for is a short run of such letters. Amounts begin at a mark or code and are then
+read group by group; company names and labels are stretches of allowed characters up to a telling word or mark.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import first_match, grab, has, has_word, let, pattern
+from .text import first_match, grab, has, has_word, let
 
-NUMBER = r"\d{1,3}(?:,\d{3})*(?:\.\d+)?"
 _BLANK = r"[\s\x{A0}\x{FEFF}]"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def trimmed(text: Column) -> Column:
@@ -17,51 +22,107 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+\z", "")
 
 
+#: Kinds of words in periods. Letters and digits stand for words and numbers, so that \w tells whether a neighbour touches.
+_WORD_KINDS = {"q": "Q", "quarter": "R", "fy": "F", "fiscal": "f", "year": "y", "fiscalyear": "G", "h": "H", "nine": "N", "months": "m", "ended": "e", "m": "M", "ninemonthsended": "K", "_": "_"}
+_WORD_KINDS |= {m: "J" for m in L.MONTHS} | {o: "O" for o in L.ORDINALS} | {f"{o}quarter": "P" for o in L.ORDINALS}
+#: Runs of kinds, in the order in which they are tried: Y is a year of this century, X one of the last, 2 two digits.
+_RUNS = {
+    "quarter": r"(?:Q[13](?: ?R)?|O(?: ?R)?|P)[ ,]+(?:F ?)?[YX]",
+    "short": r"(?:(?:[13]Q|Q[13]) ?F? ?2|Q[56])",
+    "half": r"(?:(?:1H|H1) ?F? ?[Y2]|H[57])",
+    "nine": r"(?:9M|N ?m ?e|K) ?F? ?[Y2]",
+    "fiscal": r"(?:F|f ?y|G) ?'?[Y2]",
+    "date": r"J [139d2],? Y",
+    "year": "Y",
+}
+
+
+def _tokens(text: Column) -> Column:
+    """Words of ASCII letters (`fy` apart from what it is glued to), numbers, blanks and single marks, in order; joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z]+?(?=[fF][yY](?![A-Za-z]))|[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]"), F.lit(0))
+
+
+def _kind(token: Column) -> Column:
+    low, first, size = F.lower(token), F.substring(token, 1, 1), F.length(token)
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in _WORD_KINDS.items() for x in kv)), low)
+    small, fourth = first.isin("1", "2"), first.isin("1", "2", "3", "4")
+    number = (
+        F.when(size == 1, F.when(small, "1").when(fourth, "3").when(first == "9", "9").otherwise("d"))
+        .when(size == 2, "2").when(size == 3, F.when(small, "5").when(fourth, "6").otherwise("n"))
+        .when(size == 4, F.when(token.startswith("20"), "Y").when(token.startswith("19"), "X").otherwise("n"))
+        .when((size == 5) & small & (F.substring(token, 2, 2) == "20"), "7").otherwise("n")
+    )
+    return F.when(first.between("0", "9"), number).when(F.trim(token, F.lit(BLANKS)) == "", " ").when(first == ",", ",").when(first.isin("'", "’"), "'").when(named.isNotNull(), named).when(low.between("a", "{"), "x").otherwise(".")
+
+
 def find_period(text: Column) -> Column:
     """The period that a text names, in one way of writing. Kinds are tried in a fixed order, whichever stands first."""
-    year = r"(?:20\d\d|\d{2})"
-    found = {
-        "quarter": rf"\b(?:q[1-4]|{'|'.join(L.ORDINALS)})(?:\s*quarter)?[\s,]+(?:fy\s*)?(?:19|20)\d\d\b",
-        "short": r"\b(?:[1-4]q|q[1-4])\s*(?:fy)?\s*\d{2}\b",
-        "half": rf"\b(?:[12]h|h[12])\s*(?:fy)?\s*{year}\b",
-        "nine": rf"\b(?:9m|nine\s*months\s*ended)\s*(?:fy)?\s*{year}\b",
-        "fiscal": rf"\b(?:fy|fiscal\s*year)\s*['’]?{year}\b",
-        "date": rf"\b(?:{'|'.join(L.MONTHS)})\s+\d{{1,2}},?\s+20\d\d\b",
-        "year": r"\b20\d\d\b",
-    }
-    return let({k: grab(text, p, 0) for k, p in found.items()}, _period)
+    return let({"t": _tokens(text)}, lambda x: let({"t": x.t, "k": F.array_join(F.transform(x.t, _kind), "")}, _period))
 
 
 def _period(x: Column) -> Column:
-    of = lambda c, p: F.regexp_extract(c, p, 1)
-    last = lambda c: F.when(of(c, r"(\d{4})\z") != "", of(c, r"(\d{4})\z")).otherwise(F.concat(F.lit("20"), of(c, r"(\d\d)\z")))
-    numbered = F.coalesce(F.nullif(of(x.quarter, r"(?i)^q(\d)"), F.lit("")), F.array_position(F.array(*map(F.lit, L.ORDINALS)), F.lower(of(x.quarter, r"^([A-Za-z]+)"))).cast("string"))
-    n = lambda c: F.regexp_extract(c, r"\d", 0)
-    return first_match(
-        [
-            (x.quarter.isNotNull(), F.concat(F.lit("Q"), numbered, F.lit(" FY"), last(x.quarter))),
-            (x.short.isNotNull(), F.concat(F.lit("Q"), n(x.short), F.lit(" FY"), last(x.short))),
-            (x.half.isNotNull(), F.concat(F.lit("H"), n(x.half), F.lit(" FY"), last(x.half))),
-            (x.nine.isNotNull(), F.concat(F.lit("9M FY"), last(x.nine))),
-            (x.fiscal.isNotNull(), F.concat(F.lit("FY "), last(x.fiscal))),
-            (x.date.isNotNull(), F.concat(of(x.date, r"^(\w+)"), F.lit(" "), of(x.date, r"\s(\d+)"), F.lit(", "), last(x.date))),
-            (x.year.isNotNull(), F.concat(F.lit("FY "), x.year)),
-        ]
-    )
+    def said(name: str) -> Column:
+        run = rf"(?<!\w){_RUNS[name]}(?!\w)"
+        return F.array_join(F.slice(x.t, F.regexp_instr(x.k, F.lit(run)), F.length(F.regexp_extract(x.k, run, 0))), "")
+
+    def year(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"\d+\z", 0)
+        return F.when(F.length(digits) >= 4, F.right(digits, F.lit(4))).otherwise(F.concat(F.lit("20"), F.right(digits, F.lit(2))))
+
+    ordinal = lambda piece: F.greatest(*(F.when(F.lower(piece).startswith(o), i) for i, o in enumerate(L.ORDINALS, 1)))
+    number = lambda piece: F.coalesce(ordinal(piece).cast("string"), F.regexp_extract(piece, r"\d", 0))
+    written = {
+        "quarter": lambda p: F.concat(F.lit("Q"), number(p), F.lit(" FY"), year(p)),
+        "short": lambda p: F.concat(F.lit("Q"), number(p), F.lit(" FY"), year(p)),
+        "half": lambda p: F.concat(F.lit("H"), number(p), F.lit(" FY"), year(p)),
+        "nine": lambda p: F.concat(F.lit("9M FY"), year(p)),
+        "fiscal": lambda p: F.concat(F.lit("FY "), year(p)),
+        "date": lambda p: F.concat(F.regexp_extract(p, r"^\w+", 0), F.lit(" "), F.regexp_extract(p, r"\d+", 0), F.lit(", "), year(p)),
+        "year": lambda p: F.concat(F.lit("FY "), p),
+    }
+    return first_match([(F.regexp_instr(x.k, F.lit(rf"(?<!\w){_RUNS[n]}(?!\w)")) > 0, how(said(n))) for n, how in written.items()])
+
+
+def _name_before(line: Column, marks: str, words: str, most: int, inclusive: bool) -> Column:
+    """What a line begins with, up to the last of `words` (included if asked for): letters, digits, blanks and `marks` alone, at most `most` characters before that word and three at least."""
+    tokens = F.regexp_extract_all(F.substring(line, 1, 200), F.lit(r"[A-Za-z0-9_]+|\s+|[^A-Za-z0-9_\s]"), F.lit(0))
+
+    def until(x: Column) -> Column:
+        before = lambda i: F.array_join(F.slice(x.t, 1, i), "")
+        fine = lambda t: (F.translate(F.lower(t), L.LETTERS + L.DIGITS + BLANKS + marks, "") == "")
+
+        def ends(i: Column) -> Column:
+            head = before(i)
+            return F.lower(F.get(x.t, i)).isin(*words.lower().split("|")) & (F.trim(F.get(x.t, i - 1), F.lit(BLANKS)) == "") & fine(head) & (F.length(head) > 3) & (F.length(F.rtrim(head, F.lit(BLANKS))) <= most)
+
+        at = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x.t) - 1)), ends))
+        return F.when(F.translate(F.lower(F.substring(line, 1, 1)), L.LETTERS + L.DIGITS, "") == "", before(at + 1 if inclusive else at))
+
+    return F.when(has(line, rf"\s(?:{words})"), F.nullif(let({"t": tokens}, until), F.lit("")))
 
 
 def entity_in_line(line: Column) -> Column:
     """The company that a line begins with: a name with a legal ending, or what reports, announces, releases, files or provides."""
-    legal = grab(line, rf"^([a-z0-9][a-z0-9\s&,.'-]{{2,45}}\s+(?:{L.LEGAL_ENDINGS}))\b")
-    said = grab(line, rf"^([a-z0-9][a-z0-9\s&.'-]{{2,35}})\s+(?:{L.REPORTING_VERBS})\b")
-    return F.coalesce(F.regexp_replace(trimmed(legal), r",\s*\z", ""), trimmed(said))
+    legal = _name_before(line, "&,.'-", L.LEGAL_ENDINGS, 46, True)
+    return F.coalesce(trimmed(legal), trimmed(_name_before(line, "&.'-", L.REPORTING_VERBS, 36, False)))
 
 
 def entity_of_file(name: Column) -> Column:
     """An entity out of a file name, without ending, leading number and words of reports; a fixed name if under two characters are left."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^/.]+\z", ""), r"^\s*\d+[-_\s]+", "")
-    bare = trimmed(F.regexp_replace(F.regexp_replace(bare, "[-_]+", " "), pattern(rf"\b(?:{L.REPORT_WORDS})\b"), ""))
-    return F.when(F.length(bare) >= 2, titled(F.regexp_replace(bare, r"\s+", " "))).otherwise(F.lit(L.UNKNOWN_ENTITY))
+    name = F.coalesce(name, F.lit(""))
+    ending = F.substring_index(name, ".", -1)
+    stem = F.when(name.contains(".") & (ending != "") & ~ending.contains("/"), F.left(name, F.length(name) - F.length(ending) - 1)).otherwise(name)
+
+    def named(x: Column) -> Column:
+        numbered = (F.size(x.parts) > 1) & (F.get(x.parts, F.lit(0)) != "") & (F.translate(F.get(x.parts, F.lit(0)), L.DIGITS, "") == "")
+        own = F.array_join(F.when(numbered, F.slice(x.parts, 2, F.greatest(F.lit(1), F.size(x.parts) - 1))).otherwise(x.parts), " ")
+        words = F.regexp_extract_all(own, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+        year = lambda w: w.startswith("fy") & F.length(w).between(4, 6) & (F.translate(F.substr(w, F.lit(3)), L.DIGITS, "") == "")
+        left = F.filter(words, lambda w: ~F.lower(w).isin(*L.REPORT_WORDS.split("|")) & ~year(F.lower(w)))
+        return F.regexp_replace(trimmed(F.array_join(left, "")), r"\s+", " ")
+
+    bare = let({"parts": F.split(F.ltrim(stem, F.lit(BLANKS)), r"[-_\s]+")}, named)
+    return F.when(F.length(bare) >= 2, titled(bare)).otherwise(F.lit(L.UNKNOWN_ENTITY))
 
 
 def titled(text: Column) -> Column:
@@ -69,20 +130,111 @@ def titled(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
 
 
+def _label(line: Column) -> Column:
+    """The label of a row like `Label:: 12`: the longest beginning of 3 to 36 letters, digits, blanks and marks, in upper case first, that two separators and an amount follow."""
+
+    def ends(n: Column) -> Column:
+        rest = F.substr(line, n + 1)
+        after = F.ltrim(rest, F.lit(L.LABEL_SEPARATORS))
+        amount = F.substring(F.ltrim(after, F.lit(BLANKS)), 1, 1)
+        return (F.length(rest) - F.length(after) >= 2) & (amount != "") & (F.translate(amount, L.AMOUNT_SYMBOLS + L.DIGITS, "") == "") & (F.translate(F.lower(F.left(line, n)), L.LETTERS + L.DIGITS + BLANKS + L.LABEL_MARKS, "") == "")
+
+    most = F.least(F.lit(36), F.length(line) - 3)
+    capital = F.translate(F.substring(line, 1, 1), L.LETTERS.upper(), "") == ""
+    longest = F.array_max(F.filter(F.sequence(F.lit(3), most), ends))
+    return F.when((most >= 3) & capital & F.rlike(line, F.lit(f"[{L.LABEL_SEPARATORS}]{{2}}")), F.left(line, longest))
+
+
 def metric_in(line: Column) -> Column:
-    """The first metric of the lexicon found; else the label of a row like `Label: 12`, with two separators at least."""
+    """The first metric of the lexicon found; else the label of a row like `Label:: 12`, with two separators at least."""
     known = first_match([(has_word(line, words.replace(" ", r"\s*")), F.lit(name)) for name, words in L.METRICS])
-    label = F.nullif(F.regexp_extract(line, rf"^([A-Z][a-zA-Z0-9\s&()/-]{{2,35}})[:\t.-]{{2,}}\s*[{L.AMOUNT_SYMBOLS}0-9]", 1), F.lit(""))
-    return F.coalesce(known, trimmed(label))
+    return F.coalesce(known, trimmed(_label(line)))
+
+
+def _prefix(text: Column, words: list[str]) -> Column:
+    """The first of `words` that a text begins with, in any case; empty if none."""
+    low = F.lower(text)
+    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.startswith(low, w)), F.lit(0)), F.lit(""))
+
+
+def grouped(run: Column) -> Column:
+    """Of digits with commas and points the number at the front: up to three digits, groups of three after commas, and decimals if all groups are whole."""
+
+    def read(x: Column) -> Column:
+        size = lambda i: F.length(F.get(x.parts, i))
+        # groups end before the first short one, or with the first long one, of which three digits count
+        short = F.filter(F.sequence(F.lit(1), F.size(x.parts)), lambda i: F.coalesce(size(i) < 3, F.lit(True)))
+        long = F.filter(F.sequence(F.lit(0), F.size(x.parts) - 1), lambda i: size(i) > 3)
+        upto = F.least(F.get(short, F.lit(0)), F.coalesce(F.get(long, F.lit(0)) + 1, F.size(x.parts)))
+        whole = F.array_join(F.transform(F.slice(x.parts, 1, upto), lambda p: F.left(p, F.lit(3))), ",")
+        decimals = F.regexp_extract(F.substr(run, F.length(whole) + 1), r"^\.\d+", 0)
+        return F.concat(whole, decimals)
+
+    return let({"parts": F.split(F.substring_index(run, ".", 1), ",")}, read)
+
+
+def _money(line: Column) -> Column:
+    opener = rf"(?i)(?:[{L.AMOUNT_SYMBOLS}]|(?:{L.AMOUNT_CODES}|rs\.?)\s*)(?=\d)"
+
+    def read(x: Column) -> Column:
+        number = grouped(F.regexp_extract(x.rest, r"^\d[\d,.]*", 0))
+        return let({"rest": x.rest, "open": x.open, "number": number}, scaled)
+
+    def scaled(x: Column) -> Column:
+        tail = F.substr(x.rest, F.length(x.number) + 1)
+        bare = F.ltrim(tail, F.lit(BLANKS))
+        return let({"open": x.open, "number": x.number, "tail": tail, "bare": bare, "scale": _prefix(bare, L.AMOUNT_SCALES)}, shared)
+
+    def shared(x: Column) -> Column:
+        gap = F.length(x.tail) - F.length(x.bare)
+        after = F.substr(x.bare, F.length(x.scale) + 1)
+        share = F.ltrim(after, F.lit(BLANKS))
+        per = F.length(_prefix(share, L.PER_SHARE_ENDINGS))
+        upto = gap + F.length(x.scale) + F.when(per > 0, F.length(after) - F.length(share) + per).otherwise(0)
+        return F.concat(x.open, x.number, F.left(x.tail, upto))
+
+    found = F.regexp_instr(line, F.lit(opener))
+    start = let({"open": F.regexp_extract(line, opener, 0)}, lambda x: let({"open": x.open, "rest": F.substr(line, found + F.length(x.open))}, read))
+    return F.when(found > 0, trimmed(start))
+
+
+def _percent(line: Column) -> Column:
+    """A number before the first percent sign that has one, with the blanks between."""
+    at = r"\d\s*%"
+
+    def read(x: Column) -> Column:
+        parts = F.split(F.regexp_extract(x.before, r"[\d.]+\z", 0), r"\.")
+        many = F.size(parts)
+        lead = F.coalesce(F.nullif(F.try_element_at(parts, many - 1), F.lit("")), F.lit(""))
+        return F.concat(F.when((many > 1) & (lead != ""), F.concat(lead, F.lit("."))).otherwise(""), F.element_at(parts, -1), F.substr(x.sign, F.lit(2)))
+
+    found = F.regexp_instr(line, F.lit(at))
+    return F.when(found > 0, let({"before": F.left(line, found), "sign": F.regexp_extract(line, at, 0)}, read))
+
+
+def _count(line: Column) -> Column:
+    """A number, whole or in groups of three, before the first counted noun that has one."""
+    at = rf"(?i)\d\s*(?:{'|'.join(L.COUNTED)})"
+
+    def read(x: Column) -> Column:
+        parts = F.split(F.regexp_extract(x.before, r"[\d,]+\z", 0), ",")
+        many = F.size(parts)
+        # groups of three from the end, and up to three digits before them
+        broken = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), many - 1), lambda i: F.length(F.get(parts, i)) != 3)), F.lit(-1))
+        lead = F.when(broken < 0, F.lit("")).otherwise(F.right(F.coalesce(F.get(parts, broken), F.lit("")), F.lit(3)))
+        groups = F.slice(parts, broken + 2, F.greatest(F.lit(0), many - 1 - broken))
+        number = F.when(broken == many - 1, F.element_at(parts, -1)).otherwise(F.array_join(F.when(lead == "", groups).otherwise(F.concat(F.array(lead), groups)), ","))
+        return F.concat(number, F.substr(x.noun, F.lit(2)))
+
+    found = F.regexp_instr(line, F.lit(at))
+    return F.when(found > 0, let({"before": F.left(line, found), "noun": F.regexp_extract(line, at, 0)}, read))
 
 
 def value_in(line: Column, metric: Column, category: Column) -> Column:
     """The line's first amount of the kind that suits the metric: people are counted, margins and rates are percentages, then money, percentages, counts."""
-    money = trimmed(grab(line, rf"(?:[{L.AMOUNT_SYMBOLS}]|(?:{L.AMOUNT_CODES})\s*|Rs\.?\s*){NUMBER}\s*(?:{L.AMOUNT_SCALES})?(?:\s*(?:per share|/share))?", 0))
-    percent = grab(line, r"\d+(?:\.\d+)?\s*%", 0)
-    count = grab(line, rf"(?:\d{{1,3}}(?:,\d{{3}})+|\d+)\s*(?:{L.COUNTED})", 0)
     share = F.contains(metric, F.lit("Margin")) | F.contains(metric, F.lit("Rate")) | F.contains(metric, F.lit("Percentage"))
-    return F.coalesce(F.when(category == "workforce", count).when(share, percent), money, percent, count)
+    found = {"money": _money(line), "percent": _percent(line), "count": _count(line)}
+    return let(found, lambda x: F.coalesce(F.when(category == "workforce", x["count"]).when(share, x.percent), x.money, x.percent, x["count"]))
 
 
 def scope_detail(text: Column) -> Column:

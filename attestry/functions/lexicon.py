@@ -147,15 +147,19 @@ METRICS = [
     ("Scope 2 GHG Emissions", "scope 2"),
     ("Scope 3 GHG Emissions", "scope 3"),
 ]
-#: What amounts in a line begin and end with, and what is counted. Fixed values.
+#: What amounts in a line begin and end with, and what is counted; where several fit, the first counts. Fixed values.
 AMOUNT_SYMBOLS = "$€£¥₹"
 AMOUNT_CODES = "USD|EUR|GBP|INR|CAD|AUD"
-AMOUNT_SCALES = r"trillion|billion|million|thousand|crores|crore|cr\.|cr|lakhs|lakh|lacs|lac|B|M|k"
-COUNTED = "full-time equivalent employees|employees|headcount|workers|staff|metric tons|tons|tonnes|subscribers|users|active users|units|shares|customers|packages|shipments"
+AMOUNT_SCALES = ["trillion", "billion", "million", "thousand", "crores", "crore", "cr.", "cr", "lakhs", "lakh", "lacs", "lac", "b", "m", "k"]
+PER_SHARE_ENDINGS = ["per share", "/share"]
+COUNTED = ["full-time equivalent employees", "employees", "headcount", "workers", "staff", "metric tons", "tons", "tonnes", "subscribers", "users", "active users", "units", "shares", "customers", "packages", "shipments"]
+#: What separates a row's label from its amount, and the marks that a label may hold. Fixed values.
+LABEL_SEPARATORS, LABEL_MARKS = ":\t.-", "&()/-"
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Words at the end of a company's name, verbs that follow one, and words of file names that aren't part of one. Fixed values.
 LEGAL_ENDINGS = "Inc|Corp|Corporation|LLC|Ltd|Limited|Group|Holdings|Technologies|Company|PLC|NV|SE|SA"
 REPORTING_VERBS = "Reports|Announces|Releases|Files|Provides"
-REPORT_WORDS = r"annual|report|quarterly|release|earnings|form|10k|10-k|10q|10-q|press|investor|deck|presentation|slides|overview|summary|fy\d{2,4}|q[1-4]"
+REPORT_WORDS = "annual|report|quarterly|release|earnings|form|10k|10q|press|investor|deck|presentation|slides|overview|summary|q1|q2|q3|q4"
 UNKNOWN_ENTITY, UNKNOWN_PERIOD = "Reporting Entity", "Unspecified Period"
 #: Words before "segment" or "division" that name none.
 NO_SEGMENT = ["each", "every", "operating", "reportable", "the", "our", "this"]
