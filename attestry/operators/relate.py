@@ -1,7 +1,8 @@
 """Cross-document comparison: candidate pairs, semantic gate, comparability and classification.
 
 Pairs come from one equi join on (unit type, concept family, entity); facts whose entity is the wildcard meet all others
-under keys of their own. No pair is made twice, and the heavy keys are as narrow as the entity.
+under keys of their own. No pair is made twice, and a key of many facts is cut into the cells of a grid. Facts are
+normalised once and written before they are joined with each other.
 """
 
 from __future__ import annotations
@@ -14,23 +15,27 @@ from ..functions.concept import canonical_entity, classify_concept, metric_token
 from ..functions.period import normalize_period
 from ..functions.text import first_match, round2
 from ..functions.value import normalize_value
+from ..scratch import written
 
 #: What is told of a fact besides; columns that are missing count as null.
 TOLD = {"document_name": "string", "page_number": "int", "entity": "string", "raw_value": "string", "evidence": "string"}
+#: What a caller knows of an amount besides; a unit may be a currency's term.
+KNOWN = {"known_currency": "string", "known_unit": "string"}
 CONTEXT = {"basis": "string", "scope": "string", "scope_detail": "string", "operations": "string", "audit_status": "string", "geography": "string", "is_estimate": "boolean", "gross_or_net": "string"}
 
 
 def normalize_facts(facts: DataFrame) -> DataFrame:
     """Facts (fact_id, doc_pos, fact_no, entity, metric, raw_value, period, evidence, statement, context columns) with all that pairs are compared by.
 
-    Context columns that are missing count as null. Facts with a null or empty fact_id or a null doc_pos are left out.
+    known_currency and known_unit count where the raw value names no currency. Columns that are missing count as null. Facts with a null or empty fact_id or a null doc_pos are left out.
     """
+    known = any(c in facts.columns for c in KNOWN)
     facts = facts.filter((F.coalesce("fact_id", F.lit("")) != "") & F.col("doc_pos").isNotNull())
-    facts = facts.withColumns({c: F.lit(None).cast(t) for c, t in (CONTEXT | TOLD).items() if c not in facts.columns})
+    facts = facts.withColumns({c: F.lit(None).cast(t) for c, t in (CONTEXT | TOLD | KNOWN).items() if c not in facts.columns})
     own = facts.select(
         "fact_id", "doc_pos", "fact_no", "metric", "statement", *CONTEXT, *TOLD,
         canonical_entity("entity").alias("entity_key"),
-        normalize_value(F.col("raw_value"), F.col("evidence")).alias("v"),
+        (normalize_value(F.col("raw_value"), F.col("evidence"), *map(F.col, KNOWN)) if known else normalize_value(F.col("raw_value"), F.col("evidence"))).alias("v"),
         normalize_period(F.col("period")).alias("p"),
         classify_concept(F.col("metric"), F.col("evidence"), F.col("basis"), F.col("scope_detail")).alias("c"),
         classify_concept(F.col("metric"), F.lit(None).cast("string")).concept_id.alias("canonical_metric"),
@@ -40,19 +45,49 @@ def normalize_facts(facts: DataFrame) -> DataFrame:
     return own.select("*", F.col("v.unit_type").alias("unit_type"), F.col("c.concept_family").alias("family"), standard.alias("standard_key"))
 
 
-def candidate_pairs(facts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of normalised facts, structs, of different documents (the earlier is a) that pass both gates.
+#: Facts of either side that a cell of a large key holds, on average.
+CELL = 512
+
+
+def _meetings(x: DataFrame, y: DataFrame, cell: int) -> DataFrame:
+    """Pairs (x, y), structs, of normalised facts of one unit type and family whose entities are equal, or one of them the wildcard.
 
-    One join: an entity's facts meet under its key, and wildcard ones meet all others under a key of their own, so that
-    each pair meets under one key only.
+    One equi join: an entity's facts meet under its key, and wildcard ones meet all others under a key of their own, so that
+    each pair meets under one key only. A key with more than `cell` facts on a side is laid out as a grid: each fact of x
+    belongs to one row and goes to all columns, each of y to one column and all rows, and a cell is a key of the join.
     """
+    keys = ["unit_type", "family", "meets"]
     wild = F.col("entity_key") == L.WILDCARD_ENTITY
 
-    def side(name: str, own: str, other: str) -> DataFrame:
-        keys = F.when(wild, F.array(F.lit("**"), F.lit(own))).otherwise(F.array(F.concat(F.lit("="), "entity_key"), F.lit(other)))
-        return facts.select("unit_type", "family", F.explode(keys).alias("meets"), F.struct(*facts.columns).alias(name))
+    def side(facts: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        meets = F.when(wild, F.array(F.lit("**"), F.lit(own))).otherwise(F.array(F.concat(F.lit("="), "entity_key"), F.lit(other)))
+        return facts.select("unit_type", "family", F.explode(meets).alias("meets"), F.xxhash64("fact_id", "doc_pos", "fact_no").alias("_h"), F.struct(*facts.columns).alias(name))
+
+    one, two = side(x, "x", "*=", "=*"), side(y, "y", "=*", "*=")
+    sizes = [d.groupBy(*keys).agg(F.count("*").alias(n)) for d, n in ((one, "_rows"), (two, "_columns"))]
+    parts = lambda n: F.ceil(F.col(n) / cell)
+    large = sizes[0].join(sizes[1], keys).filter((F.col("_rows") > cell) | (F.col("_columns") > cell)).select(*keys, parts("_rows").alias("_rows"), parts("_columns").alias("_columns"))
+
+    def laid(rows: DataFrame, own: str, other: str) -> DataFrame:
+        placed = rows.join(large, keys, "left").withColumns({n: F.coalesce(n, F.lit(1)).cast("long") for n in ("_rows", "_columns")})
+        return placed.select(*keys, rows.columns[-1], F.pmod("_h", f"_{own}s").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}s") - 1)).alias(other))
+
+    return laid(one, "row", "column").join(laid(two, "column", "row"), [*keys, "row", "column"]).select("x", "y")
 
-    pairs = side("a", "*=", "=*").join(side("b", "=*", "*="), ["unit_type", "family", "meets"]).select("a", "b").filter("a.doc_pos < b.doc_pos")
+
+def candidate_pairs(facts: DataFrame, kept: DataFrame | None = None, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of normalised facts, structs, of different documents (the earlier is a) that pass both gates.
+
+    With `kept`, normalised facts that are related to each other already, the pairs that have a fact of `facts` at least.
+    Both tables are read more than once: pass written ones, as relate() does.
+    """
+    if kept is None:
+        pairs = _meetings(facts, facts, cell).filter("x.doc_pos < y.doc_pos").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    else:
+        every = facts.withColumn("_kept", F.lit(False)).unionByName(kept.select(*facts.columns).withColumn("_kept", F.lit(True)))
+        met = _meetings(facts, every, cell).filter("x.doc_pos < y.doc_pos OR (y._kept AND x.doc_pos <> y.doc_pos)").select("x", F.struct(*(F.col(f"y.{c}") for c in facts.columns)).alias("y"))
+        first = F.col("x.doc_pos") < F.col("y.doc_pos")
+        pairs = met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
     segments = F.col("a.c.is_segment") & F.col("b.c.is_segment") & (F.lower("a.scope_detail") != F.lower("b.scope_detail"))
     far = F.col("a.family").startswith("domain_") & (token_similarity(F.col("a.tokens"), F.col("b.tokens")) < L.TOKEN_SIMILARITY) & (F.col("a.canonical_metric") != F.col("b.canonical_metric"))
     return pairs.filter(~F.coalesce(segments, F.lit(False)) & ~F.coalesce(far, F.lit(False)))
@@ -148,8 +183,11 @@ def classify(compared: DataFrame) -> DataFrame:
 
 
 def relate(facts: DataFrame, repeated_ids: bool = False) -> DataFrame:
-    """All relationships between facts of different documents, unsorted; ranked() gives the reading order. With `repeated_ids`, two facts' ids are related once."""
-    pairs = candidate_pairs(normalize_facts(facts))
+    """All relationships between facts of different documents, unsorted; ranked() gives the reading order. With `repeated_ids`, two facts' ids are related once.
+
+    The normalised facts are written to the scratch folder at once.
+    """
+    pairs = candidate_pairs(written(normalize_facts(facts), "facts"))
     return classify(compare(distinct_pairs(pairs) if repeated_ids else pairs))
 
 
