@@ -20,6 +20,27 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def concept_fields(metric: Column, evidence: Column, basis: Column | None = None, scope_detail: Column | None = None) -> Column:
+    """classify_concept() with all that follows from it: struct(concept_id, concept_family, concept_label, is_ratio, is_growth, is_per_share, is_contingent, is_segment, segment_name, is_adjusted).
+
+    Metrics without a concept of their own are labelled by their names; segment_name is the scope detail of a revenue.
+    """
+    detail = F.lit(None).cast("string") if scope_detail is None else scope_detail
+
+    def fields(x: Column) -> Column:
+        c = x.c
+        labels = F.element_at(F.create_map(*(F.lit(v) for kv in L.CONCEPT_LABELS.items() for v in kv)), c.concept_id)
+        label = F.when(c.concept_family == "growth_rate", F.concat(F.lit("Growth Rate: "), x.metric)).otherwise(F.coalesce(labels, x.metric))
+        is_in = lambda *families: c.concept_family.isin(*families)
+        return F.struct(
+            c.concept_id.alias("concept_id"), c.concept_family.alias("concept_family"), label.alias("concept_label"),
+            is_in("margin", "ratio", "growth_rate").alias("is_ratio"), is_in("growth_rate").alias("is_growth"), is_in("per_share").alias("is_per_share"), is_in("contingency").alias("is_contingent"),
+            c.is_segment.alias("is_segment"), F.when(is_in("revenue"), x.detail).alias("segment_name"), c.is_adjusted.alias("is_adjusted"),
+        )
+
+    return let({"metric": metric, "detail": detail, "c": classify_concept(metric, evidence, basis, detail)}, fields)
+
+
 def classify_concept(metric: Column, evidence: Column, basis: Column | None = None, scope_detail: Column | None = None) -> Column:
     """struct(concept_id, concept_family, is_adjusted, is_segment): one CASE, the first rule that holds wins."""
     given = lambda c: F.lit(None).cast("string") if c is None else c

@@ -70,6 +70,23 @@ CONCEPTS = [
     ("emissions_scope_3", "esg_emissions", "scope 3"),
     ("renewable_energy", "esg_energy", "renewable energy|clean energy"),
 ]
+#: Names of concepts. Fixed values.
+CONCEPT_LABELS = {
+    "contingent_liability": "Contingent Liabilities",
+    "margin_gross": "Gross Margin (%)", "margin_ebitda": "EBITDA Margin (%)", "margin_operating": "Operating Margin (%)", "margin_net": "Net Profit Margin (%)",
+    "eps_diluted": "Diluted EPS", "eps_basic": "Basic EPS", "total_income": "Total Income", "other_income": "Other / Non-Operating Income",
+    "revenue_total": "Total Revenue", "revenue_segment": "Segment Revenue",
+    "net_profit": "Net Profit / PAT", "net_profit_adjusted": "Net Profit / PAT", "profit_before_tax": "Profit Before Tax (PBT)",
+    "ebitda": "EBITDA", "ebitda_adjusted": "Adjusted EBITDA", "operating_profit": "Operating Profit / EBIT", "operating_profit_adjusted": "Adjusted Operating Profit", "gross_profit": "Gross Profit",
+    "expense_rd": "R&D Expense", "expense_sga": "SG&A Expense", "expense_personnel": "Employee Benefit Expense", "expense_da": "Depreciation & Amortization",
+    "expense_finance": "Finance Costs / Interest", "expense_tax": "Income Tax Expense", "expense_total": "Total / Operating Expenses",
+    "free_cash_flow": "Free Cash Flow", "operating_cash_flow": "Operating Cash Flow", "investing_cash_flow": "Investing Cash Flow", "financing_cash_flow": "Financing Cash Flow",
+    "capex": "Capital Expenditure (Capex)", "cash_equivalents": "Cash & Cash Equivalents",
+    "total_assets": "Total Assets", "current_assets": "Current Assets", "fixed_assets": "Fixed / Non-Current Assets",
+    "total_liabilities": "Total Liabilities", "current_liabilities": "Current Liabilities", "net_debt": "Net Debt", "total_debt": "Total Debt / Borrowings", "total_equity": "Total Equity / Net Worth",
+    "workforce_headcount": "Workforce / Headcount", "customers_count": "Customers / Users", "volume_activity": "Physical Volume / Units", "infrastructure": "Network / Infrastructure", "contractual_backlog": "Contractual Backlog",
+    "emissions_scope_1": "Scope 1 GHG Emissions", "emissions_scope_2": "Scope 2 GHG Emissions", "emissions_scope_3": "Scope 3 GHG Emissions", "renewable_energy": "Renewable Energy",
+}
 CONTINGENT = "contingent|contingency|pending litigation|disputed matter|bank guarantee"
 RATIO = "margin|ratio|percentage|pct|yield|rate"
 GROWTH = "growth|growth rate|yoy|cagr|increase of|decrease of"

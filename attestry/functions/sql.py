@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import find
-from .concept import canonical_entity, category, classify_concept, context, metric_tokens, token_similarity
+from .concept import canonical_entity, category, classify_concept, concept_fields, context, metric_tokens, token_similarity
 from .period import normalize_period
 from .value import normalize_value
 
@@ -23,6 +23,7 @@ FUNCTIONS: dict[str, tuple[dict[str, str], Callable[..., Column]]] = {
     "token_similarity": ({"one": "array<string>", "two": "array<string>"}, token_similarity),
     "classify_concept": ({"metric": "string", "evidence": "string"}, classify_concept),
     "classify_concept_in": ({"metric": "string", "evidence": "string", "basis": "string", "scope_detail": "string"}, classify_concept),
+    "concept_fields": ({"metric": "string", "evidence": "string", "basis": "string", "scope_detail": "string"}, concept_fields),
     "canonical_metric": ({"metric": "string"}, lambda metric: classify_concept(metric, F.lit(None).cast("string")).concept_id),
     "canonical_entity": ({"entity": "string"}, canonical_entity),
     "metric_category": ({"metric": "string"}, category),
@@ -44,10 +45,11 @@ def expression_text(column: Column) -> str:
     return "".join(p if i % 2 else _OPERATOR.sub(r"`\1`", p) for i, p in enumerate(parts))
 
 
-def register(spark: SparkSession, prefix: str = "") -> list[str]:
-    """Create a temporary SQL function for each of FUNCTIONS, its name after `prefix`, and return the names. Functions of these names are replaced."""
+def register(spark: SparkSession, prefix: str = "", names: list[str] | None = None) -> list[str]:
+    """Create a temporary SQL function for each of FUNCTIONS (or of `names`), its name after `prefix`, and return the names. Functions of these names are replaced."""
     made = []
-    for name, (parameters, function) in FUNCTIONS.items():
+    for name in names or list(FUNCTIONS):
+        parameters, function = FUNCTIONS[name]
         arguments = spark.range(0).select(*(F.lit(None).cast(t).alias(p) for p, t in parameters.items()))
         body = function(*(F.col(p) for p in parameters))
         returns = arguments.select(body.alias("r")).schema["r"].dataType.simpleString()

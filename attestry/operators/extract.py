@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,8 @@ def lines(pages: DataFrame) -> DataFrame:
 
 def documents(pages: DataFrame) -> DataFrame:
     """(doc_id, doc_pos, document_name, entity, doc_period): one row for each document, from its first pages."""
-    head = F.slice(F.filter(F.transform(F.split("text", "\n"), find.trimmed), lambda x: x != ""), 1, ENTITY_LINES)
-    named = F.get(F.filter(F.transform(head, find.entity_in_line), lambda e: e.isNotNull()), F.lit(0))
     first = pages.filter(F.col("page_ord") < PERIOD_PAGES)
-    told = first.select("doc_id", "doc_pos", "document_name", "page_ord", find.find_period(F.col("text")).alias("p"), F.when(F.col("page_ord") == 0, named).alias("e"))
+    told = first.select("doc_id", "doc_pos", "document_name", "page_ord", *_named())
     own = told.groupBy("doc_id").agg(F.min("doc_pos").alias("doc_pos"), F.min("document_name").alias("document_name"), F.min("e").alias("e"), F.min_by("p", F.when(F.col("p").isNotNull(), F.col("page_ord"))).alias("p"))
     return own.select("doc_id", "doc_pos", "document_name", F.coalesce("e", find.entity_of_file(F.col("document_name"))).alias("entity"), F.coalesce("p", F.lit(L.UNKNOWN_PERIOD)).alias("doc_period"))
 
@@ -39,14 +39,12 @@ def extract_facts(pages: DataFrame) -> DataFrame:
     period, scope, basis, operations, audit_status, evidence, statement, confidence, currency and unit (what the amount
     itself says), notes (null: rules make none). Pages without text have none.
     """
-    # one expression a line, so that no rule is tried twice: where its metric is found, the rest is looked for
-    told = let({"metric": find.metric_in(F.col("line"))}, lambda m: F.when(m.metric.isNotNull(), let({"metric": m.metric, "category": C.category(m.metric)}, _told)))
-    found = lines(pages).select("*", F.explode(F.filter(F.array(told), lambda f: f.raw_value.isNotNull())).alias("f")).select("doc_id", "page_ord", "page_number", "line_no", "line", "f.*")
+    found = lines(pages).select("*", F.explode(_stated()).alias("f")).select("doc_id", "page_ord", "page_number", "line_no", "line", "f.*")
     found = found.join(documents(pages), "doc_id").withColumn("period", F.coalesce("line_period", "doc_period"))
     key = ["doc_id", "page_number", "metric", "period"]
     rest = ["page_ord", "line_no", "line", "category", "raw_value", "doc_pos", "document_name", "entity"]
     first = found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("f")).select(*key, "f.*")
-    first = first.withColumn("fact_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_ord", "line_no"))).withColumn("c", C.context(F.lower("line"))).withColumn("v", normalize_value(F.col("raw_value"), F.col("line")))
+    first = first.withColumn("fact_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_ord", "line_no"))).select("*", *_around())
     return first.select(
         F.concat("doc_id", F.lit("_p"), F.col("page_number").cast("string"), F.lit("_f"), F.col("fact_no").cast("string")).alias("fact_id"),
         "doc_id", "doc_pos", "fact_no", "document_name", "page_number", "entity", "metric", "category", "raw_value", "period",
@@ -56,6 +54,26 @@ def extract_facts(pages: DataFrame) -> DataFrame:
     )
 
 
+@cache
+def _stated() -> Column:
+    """What a line states: an array of one, or none. One expression, so that no rule is tried twice: where a line's metric is found, the rest is looked for."""
+    told = let({"metric": find.metric_in(F.col("line"))}, lambda m: F.when(m.metric.isNotNull(), let({"metric": m.metric, "category": C.category(m.metric)}, _told)))
+    return F.filter(F.array(told), lambda f: f.raw_value.isNotNull())
+
+
+@cache
+def _around() -> list[Column]:
+    return [C.context(F.lower("line")).alias("c"), normalize_value(F.col("raw_value"), F.col("line")).alias("v")]
+
+
+@cache
+def _named() -> list[Column]:
+    """Of a page the period that its text names, and of a first page the entity."""
+    head = F.slice(F.filter(F.transform(F.split("text", "\n"), find.trimmed), lambda x: x != ""), 1, ENTITY_LINES)
+    named = F.get(F.filter(F.transform(head, find.entity_in_line), lambda e: e.isNotNull()), F.lit(0))
+    return [find.find_period(F.col("text")).alias("p"), F.when(F.col("page_ord") == 0, named).alias("e")]
+
+
 def _told(x: Column) -> Column:
     line = F.col("line")
     return F.struct(x.metric.alias("metric"), x.category.alias("category"), find.value_in(line, x.metric, x.category).alias("raw_value"), find.find_period(line).alias("line_period"))

@@ -7,6 +7,8 @@ normalised once and written before they are joined with each other.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,20 @@ KNOWN = {"known_currency": "string", "known_unit": "string"}
 CONTEXT = {"basis": "string", "scope": "string", "scope_detail": "string", "operations": "string", "audit_status": "string", "geography": "string", "is_estimate": "boolean", "gross_or_net": "string"}
 
 
+@cache
+def _normalised(known: bool) -> list[Column]:
+    """The expressions that normalize_facts() adds: made once, as making them takes seconds."""
+    given = [F.col(c) for c in KNOWN] if known else []
+    return [
+        canonical_entity("entity").alias("entity_key"),
+        normalize_value(F.col("raw_value"), F.col("evidence"), *given).alias("v"),
+        normalize_period(F.col("period")).alias("p"),
+        classify_concept(F.col("metric"), F.col("evidence"), F.col("basis"), F.col("scope_detail")).alias("c"),
+        classify_concept(F.col("metric"), F.lit(None).cast("string")).concept_id.alias("canonical_metric"),
+        metric_tokens(F.coalesce("metric", F.lit(""))).alias("tokens"),
+    ]
+
+
 def normalize_facts(facts: DataFrame) -> DataFrame:
     """Facts (fact_id, doc_pos, fact_no, entity, metric, raw_value, period, evidence, statement, context columns) with all that pairs are compared by.
 
@@ -32,15 +48,7 @@ def normalize_facts(facts: DataFrame) -> DataFrame:
     known = any(c in facts.columns for c in KNOWN)
     facts = facts.filter((F.coalesce("fact_id", F.lit("")) != "") & F.col("doc_pos").isNotNull())
     facts = facts.withColumns({c: F.lit(None).cast(t) for c, t in (CONTEXT | TOLD | KNOWN).items() if c not in facts.columns})
-    own = facts.select(
-        "fact_id", "doc_pos", "fact_no", "metric", "statement", *CONTEXT, *TOLD,
-        canonical_entity("entity").alias("entity_key"),
-        (normalize_value(F.col("raw_value"), F.col("evidence"), *map(F.col, KNOWN)) if known else normalize_value(F.col("raw_value"), F.col("evidence"))).alias("v"),
-        normalize_period(F.col("period")).alias("p"),
-        classify_concept(F.col("metric"), F.col("evidence"), F.col("basis"), F.col("scope_detail")).alias("c"),
-        classify_concept(F.col("metric"), F.lit(None).cast("string")).concept_id.alias("canonical_metric"),
-        metric_tokens(F.coalesce("metric", F.lit(""))).alias("tokens"),
-    )
+    own = facts.select("fact_id", "doc_pos", "fact_no", "metric", "statement", *CONTEXT, *TOLD, *_normalised(known))
     standard = F.concat_ws("::", "entity_key", "canonical_metric", "p.key")
     return own.select("*", F.col("v.unit_type").alias("unit_type"), F.col("c.concept_family").alias("family"), standard.alias("standard_key"))
 

@@ -10,6 +10,7 @@ from ..functions import lexicon as L
 from ..functions.period import normalize_period
 from ..functions.value import normalize_value
 from ..operators.relate import candidate_pairs, compare, normalize_facts, relate, summary, variance
+from ..scratch import written
 from ..sources.statements import statements
 
 
@@ -98,12 +99,12 @@ def variance_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_pairs_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = candidate_pairs(normalize_facts(statements(spark, sf_dir)))
+    pairs = candidate_pairs(written(normalize_facts(statements(spark, sf_dir)), "facts"))
     return pairs.groupBy(F.col("a.entity_key").alias("entity_key"), F.col("a.family").alias("family")).agg(F.count("*").alias("pairs"))
 
 
 def comparison_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = compare(candidate_pairs(normalize_facts(statements(spark, sf_dir))))
+    compared = compare(candidate_pairs(written(normalize_facts(statements(spark, sf_dir)), "facts")))
     return compared.groupBy(F.array_join("reconciling", ",").alias("reconciling"), F.array_join("reasons", ",").alias("reasons"), "comparable").agg(F.count("*").alias("pairs"))
 
 

@@ -15,6 +15,7 @@ from ..operators import views
 from ..operators.explain import explain
 from ..operators.extract import extract_facts, prioritised_pages
 from ..operators.relate import candidate_pairs, classify, compare, normalize_facts, relate, summary
+from ..scratch import written
 from ..sources.statements import pages
 
 
@@ -148,7 +149,7 @@ def _paired(spark: SparkSession, sf_dir: str, columns: dict[str, list], raw: str
 
 
 def _matrix(spark: SparkSession, sf_dir: str, columns: dict[str, list], raw: str = "$5 million") -> DataFrame:
-    own = classify(compare(candidate_pairs(normalize_facts(_paired(spark, sf_dir, columns, raw)))))
+    own = classify(compare(candidate_pairs(written(normalize_facts(_paired(spark, sf_dir, columns, raw)), "facts"))))
     return own.select(F.expr("cast(substring(fact_a, 5) as bigint)").alias("s_suppkey"), "type", "confidence", F.array_join("reconciling", ",").alias("reconciling"), "period_case")
 
 

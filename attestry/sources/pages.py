@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.find import trimmed
+from ..scratch import numbered
 
 DOCUMENT = "documents array<struct<filename:string,fileSize:bigint,pages:array<struct<pageNumber:int,text:string>>>>"
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 10, 25 << 20, 28 << 20
@@ -21,13 +22,32 @@ MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 10, 25 << 20, 28 << 20
 RAW_BYTES, RAW_CHARS, NO_TEXT = 50_000, 10_000, "[No extractable text on page]"
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of JSON files {documents: [{filename, fileSize, pages: [{pageNumber, text}]}]}. Names and page numbers that are missing are counted up; texts are trimmed."""
-    files = spark.read.schema(DOCUMENT).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode("documents").alias("i", "d"))
+def _listed(files: DataFrame) -> DataFrame:
+    """(file, i, d): the documents of JSON files, each with its place in its file."""
+    return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode("documents").alias("i", "d"))
+
+
+def _pages(listed: DataFrame, *more: str) -> DataFrame:
     name = F.coalesce(F.nullif("d.filename", F.lit("")), F.concat(F.lit("Document "), (F.col("i") + 1).cast("string")))
-    pages = files.select("file", "i", name.alias("document_name"), "d.fileSize", F.posexplode("d.pages").alias("page_ord", "p"))
+    pages = listed.select("file", "i", name.alias("document_name"), "d.fileSize", *more, F.posexplode("d.pages").alias("page_ord", "p"))
     text = trimmed(F.coalesce("p.text", F.lit("")))
-    return pages.select(F.concat(F.lit("doc_"), F.xxhash64("file").cast("string"), F.lit("_"), F.col("i").cast("string")).alias("doc_id"), F.col("i").alias("doc_pos"), "document_name", "page_ord", F.coalesce(F.nullif("p.pageNumber", F.lit(0)), F.col("page_ord") + 1).alias("page_number"), text.alias("text"), "fileSize")
+    number = F.coalesce(F.nullif("p.pageNumber", F.lit(0)), F.col("page_ord") + 1)
+    return pages.select(F.concat(F.lit("doc_"), F.xxhash64("file").cast("string"), F.lit("_"), F.col("i").cast("string")).alias("doc_id"), *more, "document_name", "page_ord", number.alias("page_number"), text.alias("text"), "fileSize")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of JSON files {documents: [{filename, fileSize, pages: [{pageNumber, text}]}]}. Names and page numbers that are missing are counted up; texts are trimmed.
+
+    doc_pos counts the documents of all files from 0, by the file's path and the place in it.
+    """
+    listed = _listed(spark.read.schema(DOCUMENT).json(path, multiLine=True))
+    places = numbered(listed.select("file", "i"), "doc_pos", "file", "i").withColumn("doc_pos", F.col("doc_pos") - 1)
+    return _pages(listed.join(places, ["file", "i"]), "doc_pos")
+
+
+def stream_json(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
+    """The same pages as a stream of the files that arrive in a folder. There is no doc_pos: whoever keeps the documents numbers them."""
+    return _pages(_listed(spark.readStream.schema(DOCUMENT).option("multiLine", True).option("maxFilesPerTrigger", files_at_once).json(path)))
 
 
 def document_sizes(pages: DataFrame) -> DataFrame:
@@ -70,6 +90,13 @@ def _page_texts(content: bytes) -> list[str]:
     return pages
 
 
+def _raw_text(content: bytes) -> str:
+    """Of a file without readable streams: its shown strings, as UTF-8, or else its printable ASCII."""
+    head = content[:RAW_BYTES]
+    said = b" ".join(_plain(x) for x in re.findall(rb"\(((?:\\.|[^\\()])*)\)\s*Tj", head)) or re.sub(rb"[^\x20-\x7e\n]+", b" ", head)
+    return said.decode("utf-8", "replace")[:RAW_CHARS]
+
+
 def read_pdf(spark: SparkSession, path: str, collapse: bool = False) -> DataFrame:
     """Pages of PDF files, document by document in the order of their paths. With `collapse`, runs of white space are one space (so each page is a line) and empty pages hold a note.
 
@@ -83,10 +110,7 @@ def read_pdf(spark: SparkSession, path: str, collapse: bool = False) -> DataFram
             rows = []
             for file, content in zip(frame["path"], frame["content"], strict=True):
                 texts = _page_texts(content)
-                if not texts:
-                    head = content[:RAW_BYTES]
-                    said = b" ".join(_plain(x) for x in re.findall(rb"\(((?:\\.|[^\\()])*)\)\s*Tj", head)) or re.sub(rb"[^\x20-\x7e\n]+", b" ", head)
-                    texts = [said.decode("latin-1")[:RAW_CHARS]]
+                texts = texts or [_raw_text(content)]
                 rows += [(file, i, t) for i, t in enumerate(texts)]
             yield pd.DataFrame(rows, columns=["path", "page_ord", "text"])
 
@@ -94,15 +118,15 @@ def read_pdf(spark: SparkSession, path: str, collapse: bool = False) -> DataFram
     text = F.regexp_replace("text", r"\s+", " ") if collapse else F.col("text")
     text = trimmed(text)
     name = F.element_at(F.split("path", "/"), -1)
-    order = files.select("path").orderBy("path").withColumn("doc_pos", F.monotonically_increasing_id())
+    order = numbered(files.select("path"), "doc_pos", "path").withColumn("doc_pos", F.col("doc_pos") - 1)
     named = pages.join(order, "path")
     return named.select(F.concat(F.lit("doc_"), F.xxhash64("path").cast("string")).alias("doc_id"), "doc_pos", name.alias("document_name"), "page_ord", (F.col("page_ord") + 1).alias("page_number"), (F.when(text == "", NO_TEXT).otherwise(text) if collapse else text).alias("text"))
 
 
 def accepted_files(files: DataFrame) -> DataFrame:
-    """Of files (name, size, ...) those that may be read: PDF by name, at most MAX_FILE_BYTES, the first of each name."""
+    """Of files (name, size, place, ...) those that may be read: PDF by name, at most MAX_FILE_BYTES, of each name the one with the least place."""
     fine = files.filter(F.lower("name").endswith(".pdf") & (F.col("size") <= MAX_FILE_BYTES))
-    return fine.dropDuplicates(["name"])
+    return fine.groupBy("name").agg(F.min_by(F.struct(*files.columns), "place").alias("f")).select("f.*")
 
 
 def check_files(files: DataFrame) -> None:

@@ -72,7 +72,7 @@ def test_checks(spark, pages):
     for wrong in (pages.filter("doc_id = 'a'"), pages.filter("page_ord = 0")):
         with pytest.raises(ValueError):
             P.check_pages(wrong)
-    files = spark.createDataFrame([("a.pdf", 5), ("a.pdf", 5), ("b.txt", 5), ("c.PDF", 26 << 20)], "name string, size long")
+    files = spark.createDataFrame([("a.pdf", 5, 0), ("a.pdf", 5, 1), ("b.txt", 5, 2), ("c.PDF", 26 << 20, 3)], "name string, size long, place int")
     assert [r["name"] for r in P.accepted_files(files).collect()] == ["a.pdf"]
     with pytest.raises(ValueError):
         P.check_files(files)
