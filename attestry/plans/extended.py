@@ -77,7 +77,7 @@ def currency_unit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.expr("cast(substring(fact_a, 5) as bigint)").alias("s_suppkey"), "type", "confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
-_AMOUNTS = ["$5 million", "€5 million", "5%", "bps"]
+_AMOUNTS = ["$5 million", "€5 million", "5%", "bps", "5%"]
 
 
 def known_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +247,9 @@ ORACLE_SQL = {
     "json_relationships": EXTRACTED["extracted_summary"],
     "page_source_relationships": EXTRACTED["extracted_summary"],
     "wildcard_relationships": _SUPPLIER_FACTS + " SELECT 'f_0_' || a.k AS fact_a, 'f_1_' || b.k AS fact_b, 'CORROBORATED' AS type FROM f a JOIN f b ON a.d = 0 AND b.d = 1 AND (a.e IS NULL OR b.e IS NULL OR a.e = b.e)",
-    "currency_unit_matrix": """WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS a, (s_suppkey * 7 + 3) % 4 AS b FROM supplier)
-      SELECT s_suppkey, CASE WHEN a <= 1 AND a <> b THEN 'UNCERTAIN' ELSE 'CORROBORATED' END AS type, CASE WHEN a <= 1 AND a <> b THEN 0.65 WHEN a = b AND a < 3 THEN 0.98 ELSE 0.84 END::DOUBLE AS confidence,
-        CASE WHEN a = b THEN '' WHEN a <= 1 THEN 'currency' ELSE 'unit' END AS reasons FROM s WHERE (a <= 1) = (b <= 1)""",
+    "currency_unit_matrix": """WITH s AS (SELECT s_suppkey, (['USD', 'EUR', '%', 'bps', '%'])[s_suppkey % 5 + 1] AS a, (['USD', 'EUR', '%', 'bps', '%'])[(s_suppkey * 7 + 3) % 5 + 1] AS b FROM supplier)
+      SELECT s_suppkey, CASE WHEN a <> b AND a IN ('USD', 'EUR') THEN 'UNCERTAIN' ELSE 'CORROBORATED' END AS type, CASE WHEN a <> b AND a IN ('USD', 'EUR') THEN 0.65 WHEN a = b AND a <> 'bps' THEN 0.98 ELSE 0.84 END::DOUBLE AS confidence,
+        CASE WHEN a = b THEN '' WHEN a IN ('USD', 'EUR') THEN 'currency' ELSE 'unit' END AS reasons FROM s WHERE (a IN ('USD', 'EUR')) = (b IN ('USD', 'EUR'))""",
     "known_currency": "WITH t AS (SELECT s_suppkey, (['EUR', 'JPY', 'INR', NULL])[s_suppkey % 4 + 1] AS currency, (s_suppkey % 900 + 100)::DOUBLE * 1e6::DOUBLE AS base_value FROM supplier) SELECT s_suppkey, currency, CASE WHEN currency IS NULL THEN 'text' ELSE 'currency' END AS unit_type, base_value FROM t",
     "distinct_relationships": f"SELECT {_ONE} FROM supplier",
     "valid_facts": f"SELECT {_ONE} FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 5 > 0",
