@@ -143,7 +143,7 @@ NO_TEXT = "No extractable text"
 
 def kilobytes(size: Column) -> Column:
     """Bytes as KB with one decimal, halves up."""
-    return F.concat(F.format_number(F.floor(size / 1024 * 10 + 0.5) / 10, "0.0"), F.lit(" KB"))
+    return F.format_string("%.1f KB", F.floor(size / 1024 * 10 + 0.5) / 10)
 
 
 def shortened(name: Column, chars: int) -> Column:

@@ -39,10 +39,16 @@ def test_documents_of_two_files(spark, tmp_path):
     assert ("Net Income", "one.pdf", "two.pdf", "CONTRADICTED", 16.67) in found
 
 
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """What one run over all files finds."""
+    found = told(relate(extract_facts(read_json(spark, put(tmp_path_factory.mktemp("all") / "in", (0, 1, 2))))))
+    assert len(found) > 3
+    return found
+
+
 @pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
-def test_batches_in_any_order(spark, tmp_path, order):
-    whole = told(relate(extract_facts(read_json(spark, put(tmp_path / "all", (0, 1, 2))))))
-    assert len(whole) > 3
+def test_batches_in_any_order(spark, tmp_path, order, whole):
     folder, store = tmp_path / "in", str(tmp_path / "store")
     folder.mkdir()
     for n, k in enumerate(order):
