@@ -1,16 +1,19 @@
 """Line dedup: fuzzy lines by MinHash.
 
 A line (24 characters or more) is its set of 5-character shingles, A-Z in lower case. Two lines are linked at a Jaccard
-similarity of 0.8, or of 0.6 where both have at most 128 shingles: there one word may differ, which breaks ten shingles
-or so, more than a fifth of a line of 50 characters. Lines with equal shingles collapse first. Signatures come from
-one-permutation hashing, one hash a shingle whatever their length, and are cut into bands of 4: 12 for each line (at
-similarity 0.8 a pair shares none with probability 0.002) and 28 more for one of at most 128 shingles (at 0.6, 0.004).
+similarity that one changed word of eight letters leaves (it breaks WORD shingles of either line), from 0.6 for short
+lines rising to 0.8 for long ones, by the size of the larger set. Lines with equal shingles collapse first. Signatures come from
+one-permutation hashing, one hash a shingle whatever their length, and are cut into bands of 4, of which a line has as many
+as its similarity needs: a pair at the threshold shares none with probability 0.004.
 Candidates are confirmed by exact Jaccard on their shingle sets, links are joined by distributed union-find, and of each component the first line
 (by doc_id, then position) stays. Shorter lines with a word can take part by their whole text: of equal ones the first stays.
+
+A line goes by 64 bits of a digest; where 64 more bits tell lines of one digest apart, none of them is taken for another, and all stay.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .linking import BITS, classes, restrict
-from .scratch import drop, written
+from .linking import BITS, classes, restrict, written
+from .scratch import drop
 
 SHINGLE, MIN_CHARS = 5, 24
-#: Similarity that links, and that of lines with at most FEW shingles.
-PERCENT, FEW, FEW_PERCENT = 80, 128, 60
-#: Bands of each line, and of lines with at most FEW shingles.
-BANDS, FEW_BANDS, ROWS = 12, 40, 4
+#: Least and greatest similarity (percent) that links, and shingles that a changed word breaks.
+LEAST, MOST, WORD = 60, 80, 12
+#: Hashes of a band, and the probability that a pair at the threshold shares no band.
+ROWS, MISSED = 4, 0.004
+#: Bands for similarities from each step of five percent on.
+BANDS = {p: math.ceil(math.log(MISSED) / math.log(1 - (p / 100) ** ROWS)) for p in range(LEAST, MOST + 1, 5)}
 #: Bytes of text at a time: what stays in a core's cache.
 SLICE = 1 << 16
 #: Lines sketched at a time (a kilobyte each), however many a text has.
@@ -55,11 +60,16 @@ def _shingles(points: np.ndarray) -> np.ndarray:
 
 def _percent(larger: Column) -> Column:
     """The similarity that links two lines, by the size of the larger set."""
-    return F.when(larger <= FEW, FEW_PERCENT).otherwise(PERCENT)
+    return F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.floor((larger - WORD) * 100 / (larger + WORD))))
+
+
+def percent_of(larger: np.ndarray | int) -> np.ndarray:
+    """_percent() of sizes in a task."""
+    return np.clip(100 * (larger - WORD) // (larger + WORD), LEAST, MOST)
 
 
-def _short_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Of the `\\n`-cut lines of `text` with a word and fewer than MIN_CHARS characters: positions, and 64-bit digests of the whole line."""
+def _short_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the `\\n`-cut lines of `text` with a word and fewer than MIN_CHARS characters: positions, and two 64-bit digests of the whole line."""
     points = _points(text)
     cuts = np.flatnonzero(points == 10)
     starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(points)]])
@@ -68,12 +78,18 @@ def _short_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     size = ends[takes] - starts[takes]
     bounds = np.concatenate([[0], np.cumsum(size)])
     place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
-    own = K.mix((points[place + np.repeat(starts[takes], size)].astype(np.uint64) << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1))
-    return takes, K.mix(np.add.reduceat(own, bounds[:-1]) ^ np.uint64(0x632BE59BD9B4E019)) if len(takes) else np.zeros(0, dtype=np.uint64)
+    if not len(takes):
+        return takes, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    own = (points[place + np.repeat(starts[takes], size)].astype(np.uint64) << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)
+    return takes, *(K.mix(np.add.reduceat(K.mix(own ^ seed), bounds[:-1]) ^ np.uint64(0x632BE59BD9B4E019)) for seed in (np.uint64(0), _SECOND))
+
+
+#: What makes the second digest another one.
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _line_sketches(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the `\\n`-cut lines of `text` that take part, some thousands at a time: positions, 64-bit digests of their shingle sets, set sizes and sketches."""
+def _line_sketches(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the `\\n`-cut lines of `text` that take part, some thousands at a time: positions, two 64-bit digests of their shingle sets, set sizes and sketches."""
     points = _points(text)
     cuts = np.flatnonzero(points == 10)
     starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(points)]])
@@ -92,20 +108,22 @@ def _line_sketches(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         new[1:] = keys[1:] != keys[:-1]
         keys = keys[new]
         n = np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=len(part))
-        digest = K.mix(np.add.reduceat(K.stir(keys & np.uint64((1 << 40) - 1)), np.cumsum(n) - n) + n.astype(np.uint64))
-        yield part, digest, n, K.one_permutation(own, row, len(part))
+        sets, begin = keys & np.uint64((1 << 40) - 1), np.cumsum(n) - n
+        digests = (K.mix(np.add.reduceat(h, begin) + n.astype(np.uint64)) for h in (K.stir(sets), K.mix(sets ^ _SECOND)))
+        yield part, *digests, n, K.one_permutation(own, row, len(part))
 
 
 def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(tkey, doc_id, line, id, n, keys, s0 ..): one row for each line of `docs` (doc_id, text) that takes part.
+    """(tkey, doc_id, line, id, other, n, keys, s0 ..): one row for each line of `docs` (doc_id, text) that takes part.
 
-    tkey is the text's hash, id the digest of the line's shingles (equal for lines that have the same), keys are
-    its bands (FEW_BANDS for a line of at most FEW shingles, or BANDS), n and s0 .. its size and sketch bits. With `short`, lines of fewer than MIN_CHARS characters have rows
-    too: id is the digest of the whole line, n is 0, and they have no bands and sketch bits.
+    tkey is the text's hash, id and other are digests of the line's shingles (equal for lines that have the same), keys are
+    its bands, as many as its size needs, n and s0 .. its size and sketch bits. With `short`, lines of fewer than MIN_CHARS characters have rows
+    too: id and other are digests of the whole line, n is 0, and they have no bands and sketch bits.
     """
-    fields = [("tkey", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), *((s, pa.int64()) for s in BITS)]
+    fields = [("tkey", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), *((s, pa.int64()) for s in BITS)]
     schema = pa.schema(fields)
     factors = K.multipliers(ROWS, 52)
+    counts = np.array([BANDS.get(5 * i, 0) for i in range(MOST // 5 + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,25 +135,25 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
                 lines = np.array([t.count("\n") + 1 if t is not None else 1 for t in texts])
                 whole = "\n".join(t or "" for t in texts)
                 first = np.concatenate([[0], np.cumsum(lines)])
-                for take, digest, n, sketch in _line_sketches(whole):
+                for take, digest, other, n, sketch in _line_sketches(whole):
                     row = np.searchsorted(first, take, side="right") - 1
-                    many = np.where(n <= FEW, FEW_BANDS, BANDS)
+                    many = counts[percent_of(n) // 5]
                     bounds = np.concatenate([[0], np.cumsum(many)])
                     bands = np.empty(bounds[-1], dtype=np.int64)
-                    for count in (FEW_BANDS, BANDS):
+                    for count in BANDS.values():
                         own = np.flatnonzero(many == count)
                         wide = sketch[: count * ROWS, own].astype(np.uint64)
                         key = sum(wide[j::ROWS] * factors[j] for j in range(ROWS)) + np.arange(1, count + 1, dtype=np.uint64)[:, None]
                         bands[bounds[own] + np.arange(count)[:, None]] = K.mix(key).view(np.int64)
                     keys = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bands))
                     where = pa.array(row + lo)
-                    columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), n, keys, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
+                    columns = [tkeys.take(where), ids.take(where), take - first[row], digest.view(np.int64), other.view(np.int64), n, keys, *np.ascontiguousarray(K.sketch_bits(sketch).T)]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
                 if short:
-                    take, digest = _short_lines(whole)
+                    take, digest, other = _short_lines(whole)
                     row = np.searchsorted(first, take, side="right") - 1
                     where = pa.array(row + lo)
-                    columns = [tkeys.take(where), ids.take(where), pa.array(take - first[row], pa.int32()), pa.array(digest.view(np.int64)), pa.array(np.zeros(len(take), np.int64)), *(pa.nulls(len(take), t) for _, t in fields[5:])]
+                    columns = [tkeys.take(where), ids.take(where), pa.array(take - first[row], pa.int32()), pa.array(digest.view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.zeros(len(take), np.int64)), *(pa.nulls(len(take), t) for _, t in fields[6:])]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl_types = {pa.int32(): "int", pa.list_(pa.int64()): "array<long>"}
@@ -167,7 +185,7 @@ def _similar_lines(pairs: DataFrame) -> DataFrame:
                     if text not in sets:
                         sets[text] = np.unique(_shingles(_points(text)))
                 both, either = K.jaccard(sets[one], sets[two])
-                percent = FEW_PERCENT if max(len(sets[one]), len(sets[two])) <= FEW else PERCENT
+                percent = int(percent_of(max(len(sets[one]), len(sets[two]))))
                 linked.append(100 * both >= percent * either)
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
@@ -185,28 +203,29 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     sketched = written(line_table(docs, short), "sketches")
-    lines = written(sketched.select("tkey", "doc_id", "line", "id"), "lines")
+    lines = written(sketched.select("tkey", "doc_id", "line", "id", "other"), "lines", sketched)
     place = F.struct("doc_id", "line", "tkey")
-    same = written(lines.groupBy("id").agg(F.min(place).alias("at"), F.max(place).alias("last")), "same")
+    same = lines.groupBy("id").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.min("other").alias("one"), F.max("other").alias("two"))
+    same = written(same.filter("one = two").select("id", "at", "last"), "same", lines)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted")
+        wanted = written(restrict(same.select("id", "at"), ids, "id").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("id", "at.line")).alias("want")), "wanted", same)
         few = ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
         own = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").join(F.broadcast(wanted) if few else wanted, ["doc_id", "tkey"])
         cut = own.select("want", F.split("text", "\n").alias("cut"))
         return cut.select(F.explode(F.transform("want", lambda w: F.struct(w.id.alias("id"), F.get("cut", w.line).alias("text")))).alias("w")).select("w.id", "w.text").dropDuplicates(["id"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids", same)
         texts = written(texts_of(ids), "texts")
         a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"of_{c}")) for c in "ab")
         return _similar_lines(pairs.join(b, "b").join(a, "a"))
 
-    _, roots = classes(sketched.filter("n > 0"), lambda ids: _line_sets(texts_of(ids)), _percent, confirm, (sketched,))
+    _, roots = classes(sketched.filter("n > 0"), lambda ids: _line_sets(texts_of(ids)), _percent, confirm, (sketched,), sketched)
     rooted = same.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
-    touched = written(rooted.select("id", "root").join(groups, "root").select("id", "first"), "touched")
-    gone = written(lines.select("doc_id", "tkey", "line", "id").join(touched, "id").filter(F.col("first") != place).select("doc_id", "tkey", "line").distinct(), "gone")
+    touched = written(rooted.select("id", "root").join(groups, "root").select("id", "first"), "touched", same)
+    gone = written(lines.select("doc_id", "tkey", "line", "id").join(touched, "id").filter(F.col("first") != place).select("doc_id", "tkey", "line").distinct(), "gone", lines)
     drop(lines, same, touched)
     return gone
 

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .kernels import BINS
-from .scratch import drop, written
+from .scratch import drop
+from .scratch import written as _written
 
 #: Ids that restrict() may broadcast: half a million longs are some 30 MB as a hash table. More are shuffled.
 BROADCAST_IDS = 500_000
@@ -38,6 +39,24 @@ FEW_LEFT = 64
 BATCH_PAIRS, PART_PAIRS = 1 << 20, 1 << 22
 
 
+#: Bytes of the tables that a step reads for each task that writes its result, and such tasks at least.
+TASK_BYTES, LEAST_TASKS = 1 << 22, 12
+
+
+def size_of(*tables: DataFrame) -> int:
+    """Bytes of written tables."""
+    spark = tables[0].sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(t.__dict__["written_to"]) for t in tables]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in paths)
+
+
+def written(df: DataFrame, name: str, *read: DataFrame) -> DataFrame:
+    """`df`, written in tasks by the bytes of the tables `read` that it comes from, so that small steps don't leave a file for each shuffle partition and the driver isn't told of as many tasks.
+
+    Only for steps whose result is about as large as what they read, not for those that read texts by ids."""
+    return _written(df.coalesce(max(LEAST_TASKS, -(-size_of(*read) // TASK_BYTES))) if read else df, name)
+
+
 def restrict(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
     """Rows of `df` whose `key` is in the written table `ids` (distinct). The ids are broadcast only when counted to at most `bound`."""
     n = ids.limit(bound + 1).count()
@@ -45,20 +64,20 @@ def restrict(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Distributed union-find over edges (a, b) of longs: (node, root) with the smallest id of each node's component.
+    """Distributed union-find over edges (a, b) of longs, a written table: (node, root) with the smallest id of each node's component.
 
     Each round hooks every node to the smallest root among its neighbours, then halves paths (root of the root).
     The aggregations combine on the map side and the joins are plain shuffle joins that adaptive execution can
     split, so a hub with very many edges isn't gathered. Rounds grow with the log of the longest path.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", edges)
+    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots", both)
     before = roots
     for _ in range(ROUNDS):
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = written(hooked.join(up, "root", "left").select("node", "old", F.least("root", "above").alias("root")), "roots")
+        after = written(hooked.join(up, "root", "left").select("node", "old", F.least("root", "above").alias("root")), "roots", both)
         drop(before)
         before, roots = after, after.select("node", "root")
         if after.filter("root <> old").isEmpty():
@@ -195,69 +214,80 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other", "many")
 
 
-def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent, confirm: Callable[[DataFrame], DataFrame] | None = None, spent: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent, confirm: Callable[[DataFrame], DataFrame] | None = None, spent: tuple[DataFrame, ...] = (), source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes of ids that share a key: links and components.
 
-    sketches: a written table (id, keys: the buckets that the id is in, n, s0 ..: the set size and sketch bits); equal
-    rows may repeat. `spent` are tables to delete once the sketches have been read. confirm(pairs) returns those of
+    sketches: rows (id, keys: the buckets that the id is in, n, s0 ..: the set size and sketch bits); equal
+    rows may repeat; `source` is the written table that they are read from. `spent` are tables to delete once the sketches have been read. confirm(pairs) returns those of
     (a, b) that are links, by default told from their members. members(ids) takes a table of distinct ids (id) and returns their sets (id, members), none of them
     empty. Returns the links (a, b), a < b, that were compared and found, and (node, root) for every linked id; ids
     without a link are in neither. A bucket of one id makes nothing.
     """
-    shared = written(shared_keys(sketches.select("id", "keys")), "shared")
-    met = written(shared.groupBy("id").agg(F.sum("many").alias("met")), "met")
-    known = written(restrict(sketches.select("id", "n", *BITS), met.select("id"), "id").dropDuplicates(["id"]), "known")
+    read = [source] if source is not None else []
+    shared = written(shared_keys(sketches.select("id", "keys")), "shared", *read)
+    met = written(shared.groupBy("id").agg(F.sum("many").alias("met")), "met", shared)
+    known = written(restrict(sketches.select("id", "n", *BITS), met.select("id"), "id").dropDuplicates(["id"]), "known", *read)
     drop(*spent)
     confirm = confirm or (lambda pairs: _confirmed(pairs, members, percent))
     lead = shared.select("key", "id").join(met, "id").groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"))
-    lead = written(lead.select("key", "many", (-F.col("lead.minus")).alias("lead")), "leaders")
+    lead = written(lead.select("key", "many", (-F.col("lead.minus")).alias("lead")), "leaders", shared)
     drop(met)
     led = shared.join(lead, "key").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     x, y = known.alias("x"), known.alias("y")
     pairs = led.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & possible("x", "y", percent))
-    pairs = written(pairs.select("a", "b"), "pairs")
-    links = written(confirm(pairs), "links")
+    pairs = written(pairs.select("a", "b"), "pairs", shared, known)
+    links = written(confirm(pairs), "links", pairs)
     drop(pairs)
     roots = components(links)
 
     # Buckets that still hold more than one class: compare the members of different classes. Members and leaders were compared above.
     placed = shared.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    placed = written(placed.join(lead.filter("many > 2"), "key"), "placed")
+    placed = written(placed.join(lead.filter("many > 2"), "key"), "placed", shared)
     drop(shared, lead)
-    mixed = written(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"), "mixed-keys")
-    mixed_rows = written(restrict(placed, mixed, "key").filter("id <> lead").drop("lead").join(known, "id"), "mixed")
+    mixed = written(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"), "mixed-keys", placed)
+    mixed_rows = written(restrict(placed, mixed, "key").filter("id <> lead").drop("lead").join(known, "id"), "mixed", placed, known)
     drop(placed, mixed, known)
+    if mixed_rows.isEmpty():
+        drop(mixed_rows)
+        return links, roots
     # first the ids that any other may be similar to, a row at most for each row here; in crowded buckets their sets, if small, travel with them to the second comparison
-    near = written(_met(_blocks(mixed_rows).alias("x"), _blocks(mixed_rows).alias("y"), "left_semi", possible("x", "y", percent)).select("id").distinct(), "near")
+    near = written(_met(_blocks(mixed_rows).alias("x"), _blocks(mixed_rows).alias("y"), "left_semi", possible("x", "y", percent)).select("id").distinct(), "near", mixed_rows)
     rows = restrict(mixed_rows, near, "id")
-    rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("now")), "key"), "near-rows")
+    rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("now")), "key"), "near-rows", mixed_rows)
     drop(mixed_rows, near)
+    if rows.isEmpty():
+        drop(rows)
+        return links, roots
     # where few are left in a bucket their pairs are no more than FEW_LEFT / 2 for each of them
     few = _blocks(rows.filter(F.col("now") <= FEW_LEFT))
     later = (F.col("x.id") < F.col("y.id")) & possible("x", "y", percent)
-    told = written(_met(few.alias("x"), few.alias("y"), "inner", later).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    rows = rows.filter(F.col("now") > FEW_LEFT)
-    ids = written(rows.filter(F.col("n") <= SMALL).select("id").distinct(), "ids")
-    small = written(members(ids), "sets")
-    held = _blocks(rows).join(small, "id", "left")
-    large = F.col("x.members").isNull() | F.col("y.members").isNull()
-    found = _met(held.alias("x"), held.alias("y"), "inner", later & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
-    found = written(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open")).distinct(), "pairs")
-    drop(ids, small)
-    more = written(found.filter("not open").select("a", "b").unionByName(confirm(found.filter("open").select("a", "b").unionByName(told).distinct())).distinct(), "links")
-    drop(found, told)
+    told = written(_met(few.alias("x"), few.alias("y"), "inner", later).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs", rows)
+    crowded = rows.filter(F.col("now") > FEW_LEFT)
+    if crowded.isEmpty():
+        more = written(confirm(told), "links", told)
+    else:
+        ids = written(crowded.filter(F.col("n") <= SMALL).select("id").distinct(), "ids", rows)
+        small = _written(members(ids), "sets")
+        held = _blocks(crowded).join(small, "id", "left")
+        large = F.col("x.members").isNull() | F.col("y.members").isNull()
+        found = _met(held.alias("x"), held.alias("y"), "inner", later & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
+        found = written(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open")).distinct(), "pairs", rows, small)
+        drop(ids, small)
+        more = written(found.filter("not open").select("a", "b").unionByName(confirm(found.filter("open").select("a", "b").unionByName(told).distinct())).distinct(), "links", found, told)
+        drop(found)
+    drop(told, rows)
     if more.isEmpty():
         return links, roots
     # the classes found so far are the nodes of a second, small graph
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
     between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    above = components(between.filter("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    above = components(written(between.filter("a <> b").distinct(), "between", more)).select(F.col("node").alias("root"), F.col("root").alias("above"))
     nodes = roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-    merged = written(nodes.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+    merged = written(nodes.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots", links, more)
     return links.unionByName(more), merged
 
 
 def _confirmed(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    return similar(pairs, written(members(ids), "sets"), percent)
+    ids = _written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    return similar(pairs, _written(members(ids), "sets"), percent)
