@@ -35,9 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    gone = written(neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return _documents(docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti"))
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows with a null doc_id stay. Texts that share a doc_id are judged each by itself."""
+    gone = written(neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), "tkey").distinct(), "gone")
+    of = (docs.doc_id.cast("long") == gone["_gone"]) & (F.xxhash64(docs.text.cast("string")) == gone.tkey)
+    return _documents(docs.join(gone, of, "left_anti"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
