@@ -1,7 +1,7 @@
 """Line dedup: fuzzy lines by MinHash.
 
 A line (24 characters or more) is its set of 5-character shingles, A-Z in lower case. Two lines are linked at a Jaccard
-similarity that one changed word of eight letters leaves (it breaks WORD shingles of either line), from 0.6 for short
+similarity that one changed word of sixteen letters or two of six leave (they break WORD shingles of either line), from 0.6 for short
 lines rising to 0.8 for long ones, by the size of the larger set. Lines with equal shingles collapse first. Signatures come from
 one-permutation hashing, one hash a shingle whatever their length, and are cut into bands of 4, of which a line has as many
 as its similarity needs: a pair at the threshold shares none with probability 0.004.
@@ -27,8 +27,8 @@ from .linking import BITS, classes, restrict, written
 from .scratch import drop
 
 SHINGLE, MIN_CHARS = 5, 24
-#: Least and greatest similarity (percent) that links, and shingles that a changed word breaks.
-LEAST, MOST, WORD = 60, 80, 12
+#: Least and greatest similarity (percent) that links, and shingles that changed words break.
+LEAST, MOST, WORD = 60, 80, 20
 #: Hashes of a band, and the probability that a pair at the threshold shares no band.
 ROWS, MISSED = 4, 0.004
 #: Bands for similarities from each step of five percent on.

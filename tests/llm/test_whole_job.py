@@ -2,7 +2,10 @@
 
 import random
 
-from attestry.llm import decontam, linededup, quality
+import numpy as np
+from pyspark.sql import functions as F
+
+from attestry.llm import decontam, linededup, neardup, quality
 
 SYLLABLES = ["ka", "lo", "mi", "ten", "ru", "sha", "vor", "pel", "dun", "gri", "os", "fa"]
 
@@ -79,3 +82,35 @@ def test_groups_with_much_junk(spark):
         assert not [i for i, _, _, s, bad in rows if bad and s == source and kept[i]]
         clean = [kept[i] for i, _, _, s, bad in rows if not bad and s == source]
         assert sum(clean) >= 0.98 * len(clean)
+
+
+def test_texts_that_share_a_doc_id(spark):
+    import corpus_pipeline
+
+    unique = " ".join(f"alone{i}" for i in range(40))
+    copied = " ".join(f"shared{i}" for i in range(40))
+    near = " ".join([*unique.split(" ")[:-1], "changed"])
+    rows = [(1, copied), (7, copied), (7, unique), (8, near), (None, unique), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["tkey"]): (r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    told = {(r["doc_id"], r["text"]): got[r["doc_id"], r["k"]] for r in docs.withColumn("k", F.xxhash64("text")).collect()}
+    assert told == {(1, copied): (1, True), (7, copied): (1, False), (7, unique): (7, True), (8, near): (7, False), (None, unique): (None, True), (9, None): (9, True)}
+    left = corpus_pipeline.minhash_neardup(spark, docs, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(1, copied), (7, unique), (None, unique), (9, None)], key=repr)
+
+
+def test_line_thresholds_rise_smoothly():
+    sizes = np.arange(20, 400)
+    steps = np.diff(linededup.percent_of(sizes))
+    assert linededup.percent_of(20) == 60 and linededup.percent_of(400) == 80 and steps.min() >= 0 and steps.max() <= 1
+    assert linededup.BANDS[60] == 40 and linededup.BANDS[80] == 11
+
+
+def test_lines_of_one_digest_are_told_apart(spark, monkeypatch):
+    """Where 64 bits of a digest are equal and 64 more are not, no line goes."""
+    lines = [f"line number {i} says that {w} is all there is" for i, w in enumerate(("apples", "violets"))]
+    docs = spark.createDataFrame([(1, lines[0]), (2, lines[1]), (3, "x"), (4, "x")], "doc_id long, text string").coalesce(1)
+    table = linededup.line_table
+    monkeypatch.setattr(linededup, "line_table", lambda d, short=False: table(d, short).withColumn("id", F.when(F.col("n") > 0, F.lit(5)).otherwise(F.col("id"))))
+    got = {(r["doc_id"], r["text"]) for r in linededup.dedup_lines(docs, short=True).collect()}
+    assert got == {(1, lines[0]), (2, lines[1]), (3, "x"), (4, "")}
