@@ -4,7 +4,7 @@ A line (24 characters or more) is its set of 5-character shingles, A-Z in lower
 similarity that one changed word of sixteen letters or two of six leave (they break WORD shingles of either line), from 0.6 for short
 lines rising to 0.8 for long ones, by the size of the larger set. Lines with equal shingles collapse first. Signatures come from
 one-permutation hashing, one hash a shingle whatever their length, and are cut into bands of 4, of which a line has as many
-as its similarity needs: a pair at the threshold shares none with probability 0.004.
+as its similarity needs: a pair at the threshold shares none with probability 0.02, and none but a few above it.
 Candidates are confirmed by exact Jaccard on their shingle sets, links are joined by distributed union-find, and of each component the first line
 (by doc_id, then position) stays. Shorter lines with a word can take part by their whole text: of equal ones the first stays.
 
@@ -30,7 +30,7 @@ SHINGLE, MIN_CHARS = 5, 24
 #: Least and greatest similarity (percent) that links, and shingles that changed words break.
 LEAST, MOST, WORD = 60, 80, 20
 #: Hashes of a band, and the probability that a pair at the threshold shares no band.
-ROWS, MISSED = 4, 0.004
+ROWS, MISSED = 4, 0.02
 #: Bands for similarities from each step of five percent on.
 BANDS = {p: math.ceil(math.log(MISSED) / math.log(1 - (p / 100) ** ROWS)) for p in range(LEAST, MOST + 1, 5)}
 #: Bytes of text at a time: what stays in a core's cache.

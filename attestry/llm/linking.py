@@ -201,7 +201,12 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 
 
 def _met(x: DataFrame, y: DataFrame, how: str, also: Column) -> DataFrame:
-    """Rows of x joined with those of y (aliases "x" and "y") in one bucket and block pair, of different classes, that may be similar enough."""
+    """Rows of x joined with those of y (as "x" and "y") in one bucket and block pair, of different classes, that may be similar enough.
+
+    Dealt by bucket and block pair beforehand: these are bounded, so no partition needs to be split, which would pair every piece of one side with every piece of the other.
+    """
+    place = ["key", "low", "high"]
+    x, y = x.repartition(*place).alias("x"), y.repartition(*place).alias("y")
     keys = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     once = (F.col("x.low") == F.col("x.high")) | (F.col("x.block") != F.col("y.block"))  # members of one block meet in its own pair alone
     return x.join(y, keys & once & (F.col("x.root") != F.col("y.root")) & also, how)
@@ -251,7 +256,7 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
         drop(mixed_rows)
         return links, roots
     # first the ids that any other may be similar to, a row at most for each row here; in crowded buckets their sets, if small, travel with them to the second comparison
-    near = written(_met(_blocks(mixed_rows).alias("x"), _blocks(mixed_rows).alias("y"), "left_semi", possible("x", "y", percent)).select("id").distinct(), "near", mixed_rows)
+    near = written(_met(_blocks(mixed_rows), _blocks(mixed_rows), "left_semi", possible("x", "y", percent)).select("id").distinct(), "near", mixed_rows)
     rows = restrict(mixed_rows, near, "id")
     rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("now")), "key"), "near-rows", mixed_rows)
     drop(mixed_rows, near)
@@ -261,7 +266,7 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
     # where few are left in a bucket their pairs are no more than FEW_LEFT / 2 for each of them
     few = _blocks(rows.filter(F.col("now") <= FEW_LEFT))
     later = (F.col("x.id") < F.col("y.id")) & possible("x", "y", percent)
-    told = written(_met(few.alias("x"), few.alias("y"), "inner", later).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs", rows)
+    told = written(_met(few, few, "inner", later).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs", rows)
     crowded = rows.filter(F.col("now") > FEW_LEFT)
     if crowded.isEmpty():
         more = written(confirm(told), "links", told)
@@ -270,7 +275,7 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
         small = _written(members(ids), "sets")
         held = _blocks(crowded).join(small, "id", "left")
         large = F.col("x.members").isNull() | F.col("y.members").isNull()
-        found = _met(held.alias("x"), held.alias("y"), "inner", later & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
+        found = _met(held, held, "inner", later & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
         found = written(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open")).distinct(), "pairs", rows, small)
         drop(ids, small)
         more = written(found.filter("not open").select("a", "b").unionByName(confirm(found.filter("open").select("a", "b").unionByName(told).distinct())).distinct(), "links", found, told)
