@@ -103,7 +103,7 @@ def test_line_thresholds_rise_smoothly():
     sizes = np.arange(20, 400)
     steps = np.diff(linededup.percent_of(sizes))
     assert linededup.percent_of(20) == 60 and linededup.percent_of(400) == 80 and steps.min() >= 0 and steps.max() <= 1
-    assert linededup.BANDS[60] == 40 and linededup.BANDS[80] == 11
+    assert linededup.BANDS[60] == 29 and linededup.BANDS[80] == 8
 
 
 def test_lines_of_one_digest_are_told_apart(spark, monkeypatch):
