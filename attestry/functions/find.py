@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import first_match, grab, has, has_word, let
+from .text import first_match, grab, has, has_word, has_word_of, let, stems, stems_in
 
 _BLANK = r"[\s\x{A0}\x{FEFF}]"
 BLANKS = " \t\n\x0b\f\r"
@@ -147,8 +147,13 @@ def _label(line: Column) -> Column:
 
 def metric_in(line: Column) -> Column:
     """The first metric of the lexicon found; else the label of a row like `Label:: 12`, with two separators at least."""
-    known = first_match([(has_word(line, words.replace(" ", r"\s*")), F.lit(name)) for name, words in L.METRICS])
-    return F.coalesce(known, trimmed(_label(line)))
+    own = sorted({s for _, words in L.METRICS for s in stems(words)})
+
+    def known(x: Column) -> Column:
+        named = first_match([(has_word_of(x.line, x.found, words, r"\s*"), F.lit(name)) for name, words in L.METRICS])
+        return F.when(F.size(x.found) > 0, named)
+
+    return F.coalesce(let({"line": line, "found": stems_in(line, own)}, known), trimmed(_label(line)))
 
 
 def _prefix(text: Column, words: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -25,6 +26,31 @@ def has_word(column: Column, words: str) -> Column:
     return has(column, rf"\b(?:{words})\b")
 
 
+#: Letters of a word that the index of phrases goes by.
+STEM = 3
+
+
+def stems(words: str) -> list[str]:
+    """What words of a text begin with where it holds one of the phrases `words` (plain ones, divided by |), their blanks there or not."""
+    found = set()
+    for phrase in words.split("|"):
+        parts = phrase.split(" ")
+        found |= {re.match(r"\w+", "".join(parts[:n]))[0][:STEM].lower() for n in range(1, len(parts) + 1)}
+    return sorted(found)
+
+
+def stems_in(column: Column, of: list[str]) -> Column:
+    """Those of the stems `of` that words of a text begin with, in one pass: what an index of many phrases is asked for."""
+    begun = F.transform(F.regexp_extract_all(column, F.lit(f"{WORD}+"), F.lit(0)), lambda w: F.lower(F.left(w, F.lit(STEM))))
+    return F.filter(begun, lambda w: w.isin(*of))
+
+
+def has_word_of(column: Column, found: Column, words: str, blanks: str = " ") -> Column:
+    """has_word() of the phrases `words`, `blanks` between their words, tried only where `found`, the text's stems_in(), has a stem of theirs."""
+    near = F.coalesce(F.arrays_overlap(found, F.array(*map(F.lit, stems(words)))), F.lit(False))
+    return near & has_word(column, words.replace(" ", blanks))
+
+
 def grab(column: Column, text: str, group: int = 1) -> Column:
     """The group of the first match; null where nothing (or nothing but an empty string) is found."""
     return F.nullif(F.regexp_extract(column, pattern(text), group), F.lit(""))

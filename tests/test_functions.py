@@ -1,10 +1,14 @@
 """Scalar functions against tables of cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from attestry.functions import lexicon as L
 from attestry.functions.concept import canonical_entity, classify_concept, metric_tokens
 from attestry.functions.period import normalize_period
+from attestry.functions.text import has_word, has_word_of, stems, stems_in
 from attestry.functions.value import normalize_value
 
 
@@ -65,3 +69,26 @@ def test_entities_and_tokens(spark):
     got = rows(spark, list(names), e=canonical_entity(F.col("t")), k=metric_tokens(F.col("t")))
     assert [r["e"] for r in got] == list(names.values())
     assert got[0]["k"] == ["acme", "corp"]
+
+
+def _phrased(seed: int, n: int) -> list[str]:
+    """Texts with phrases of the lexicon among other words: whole, in any case, without their blanks, or glued to letters."""
+    draw = random.Random(seed)
+    phrases = [p for *_, words in [*L.METRICS, *L.CONCEPTS, *L.MARGINS] for p in words.split("|")]
+    changes = [str, str.upper, str.title, lambda p: p.replace(" ", ""), lambda p: p.replace(" ", " \t"), lambda p: f"x{p}", lambda p: f"{p}s", lambda p: f"é{p}", lambda p: f"({p}),", lambda p: p[:-1]]
+    plain = ["the", "of", "ratio", "growth", "R", "&", "d", "Kİ", "net", "2024", "$5", "totaled", "-", "é", "Gross:", "\x0b"]
+    return [" ".join(draw.choice(changes)(draw.choice(phrases)) if draw.random() < 0.3 else draw.choice(plain) for _ in range(draw.randint(0, 9))) for _ in range(n)]
+
+
+def test_index_of_phrases(spark):
+    """Each phrase is found where its plain rule finds it, and nowhere else; null texts hold none."""
+    sets = [(words, blanks) for of, blanks in ((L.METRICS, r"\s*"), (L.CONCEPTS, " ")) for *_, words in of]
+    own = sorted({s for words, _ in sets for s in stems(words)})
+    df = spark.createDataFrame([(t,) for t in [*_phrased(7, 1500), "", None]], "t string").withColumn("found", stems_in(F.col("t"), own))
+    both = df.select("t", *(F.struct(has_word_of(F.col("t"), F.col("found"), w, b).alias("got"), has_word(F.col("t"), w.replace(" ", b)).alias("want")).alias(f"c{i}") for i, (w, b) in enumerate(sets)))
+    found = 0
+    for r in both.collect():
+        for i, (words, _) in enumerate(sets):
+            assert r[f"c{i}"]["got"] == r[f"c{i}"]["want"], (r["t"], words)
+            found += r[f"c{i}"]["got"]
+    assert found > 1000
