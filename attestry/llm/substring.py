@@ -26,7 +26,6 @@ from .scratch import drop, written
 WINDOW = 20
 #: The first level's windows have at least so many words.
 SHORTEST = 8
-_LOW = np.uint64(31)
 
 
 def levels(window: int, shortest: int = SHORTEST) -> list[int]:
@@ -38,13 +37,14 @@ def levels(window: int, shortest: int = SHORTEST) -> list[int]:
 
 
 def _least(x: np.ndarray, span: int) -> np.ndarray:
-    """The least of each `span` neighbours, by doubling."""
-    done = 1
+    """The place of the least of each `span` neighbours, of equal ones the first, by doubling."""
+    at, done = np.arange(len(x)), 1
     while done < span:
         step = min(done, span - done)
-        x = np.minimum(x[: len(x) - step], x[step:])
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(x[right] < x[left], right, left)
         done += step
-    return x
+    return at
 
 
 def _leads(h: np.ndarray, bounds: np.ndarray, short: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +53,10 @@ def _leads(h: np.ndarray, bounds: np.ndarray, short: int, window: int) -> tuple[
     starts = np.flatnonzero(_whole(h, bounds, window))
     if not len(starts):
         return starts, starts, np.zeros(0, dtype=np.uint64)
-    # the lowest five bits tell the place inside a window, all others decide
-    span = window - short + 1
-    value = np.full(len(h), ~np.uint64(0))
-    value[at] = grams & ~_LOW | (at.astype(np.uint64) & _LOW)
-    first = starts + ((_least(value, span)[starts] & _LOW).astype(np.int64) - starts) % 32
-    hashes = np.zeros(len(h), dtype=np.uint64)
+    # of equal short windows the first, so that equal windows at two places never share the place of theirs
+    hashes = np.full(len(h), ~np.uint64(0))
     hashes[at] = grams
+    first = _least(hashes, window - short + 1)[starts]
     return starts, first, hashes[first]
 
 

@@ -148,3 +148,16 @@ def test_substring_dedup_at_other_lengths(spark):
     assert substring.levels(20) == [10, 20] and substring.levels(50) == [13, 25, 50] and substring.levels(5) == [5]
     few = substring.dedup_substrings(df.filter("doc_id in (1, 2, 301)"), 400).collect()  # nothing repeats: the first level ends it
     assert {r["n_removed"] for r in few} == {0}
+
+
+def test_substring_dedup_of_runs(spark):
+    """Windows that overlap their own repeat: one word, or a few, over and over, from every place on."""
+    docs = [(i, " ".join(f"d{i}w{k}" for k in range(i % 40)) + f" r{i}" * (21 + i % 7)) for i in range(80)]
+    docs += [(100 + i, " ".join(f"d{i}v{k}" for k in range(i)) + "".join(f" p{i}q{k % (2 + i % 9)}" for k in range(33))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    for window in (20, 50):  # the least short window of 50 words stands at one of 38 places
+        rows = df.withColumn("text", F.concat_ws(" ", "text", "text")) if window == 50 else df
+        got = substring.dedup_substrings(rows, window).collect()
+        wanted = removed([(r["doc_id"], r["text"]) for r in rows.collect()], window)
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got), key=repr) == wanted
+        assert any(n for _, _, n, _ in wanted)
