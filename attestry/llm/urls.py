@@ -18,7 +18,7 @@ from .boosting import boost, logistic, tree_column
 from .scratch import written
 
 #: (verdict, host and path). A rule fits its host and all subdomains, if the path starts with the rule's; the longest wins.
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Parts of host names that label a URL for training.
 TERMS = ["adult", "casino", "porn", "xxx"]
 #: URLs that the trees are fitted on: beyond this number a hash of the URL draws about so many.

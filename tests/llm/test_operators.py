@@ -153,3 +153,11 @@ def test_chat(spark):
     assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("", "a"), ("assistant", "b")] and got[2]["loss_text"] == "b" and not got[2]["valid"] and got[2]["error_at"] == 0
     assert [t["role"] for t in got[3]["turns"]] == ["us\ner<|"] * 2 and got[1]["valid"] and got[None]["error_at"] == 1
     assert chat.format_conversations(turns.filter("false")).count() == 0
+
+
+def test_url_rules(spark):
+    """The contract's rules word by word, and one URL of each host that they meet."""
+    assert urls.RULES == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    told = {"http://a.com/en/1": "block", "http://example.com/en/70": "allow", "http://b.net/de/1": "allow", "http://example.net/de/7": "allow", "http://www.example.net/de/81": "block", "http://c.org/es/": "block"}
+    got = urls.filter_urls(spark.createDataFrame(list(enumerate(told)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == list(told.values())
