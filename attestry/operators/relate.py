@@ -80,7 +80,8 @@ def _meetings(x: DataFrame, y: DataFrame, cell: int) -> DataFrame:
         placed = rows.join(large, keys, "left").withColumns({n: F.coalesce(n, F.lit(1)).cast("long") for n in ("_rows", "_columns")})
         return placed.select(*keys, rows.columns[-1], F.pmod("_h", f"_{own}s").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}s") - 1)).alias(other))
 
-    return laid(one, "row", "column").join(laid(two, "column", "row"), [*keys, "row", "column"]).select("x", "y")
+    # the facts' files are small beside what the grid makes of them: by their size Spark would take all cells of a side through the driver
+    return laid(one, "row", "column").hint("merge").join(laid(two, "column", "row"), [*keys, "row", "column"]).select("x", "y")
 
 
 def candidate_pairs(facts: DataFrame, kept: DataFrame | None = None, cell: int = CELL) -> DataFrame:

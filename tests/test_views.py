@@ -103,3 +103,11 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT t_normalize_value_known('(5) million', '', NULL, 'euro') v, t_token_similarity(array('a', 'b'), array('b')) s, t_find_period('in H1FY24') p, t_concept_fields('Sales growth', '', NULL, NULL) c, t_find_period(NULL) n").first()
     assert (row["v"]["currency"], row["v"]["base_value"], row["s"], row["p"], row["n"]) == ("EUR", -5e6, 0.5, "H1 FY2024", None)
     assert row["c"]["concept_label"] == "Growth Rate: Sales growth" and row["c"]["is_growth"]
+
+
+def test_cells_meet_in_a_shuffle(spark):
+    """However small the facts' files are, no side's cells go through the driver."""
+    own = written(normalize_facts(facts(spark, 60, 40)), "facts")
+    plan = candidate_pairs(own, cell=7)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line and "row#" in line and "column#" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
