@@ -37,8 +37,10 @@ BANDS = {p: math.ceil(math.log(MISSED) / math.log(1 - (p / 100) ** ROWS)) for p
 SLICE = 1 << 16
 #: Lines sketched at a time (a kilobyte each), however many a text has.
 LINES = 1 << 13
-#: Removed lines whose positions dedup_lines() may broadcast: some 20 MB as a hash table. More are shuffled.
+#: Lines whose texts are looked up by a broadcast: some 20 MB as a hash table. More are shuffled.
 BROADCAST_LINES = 500_000
+#: Bytes of the removed lines' positions that dedup_lines() may broadcast, and what a text's row in the hash table takes beside 4 a line. More are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 24 << 20, 100
 
 
 def _points(text: str) -> np.ndarray:
@@ -221,7 +223,7 @@ def duplicate_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"of_{c}")) for c in "ab")
         return _similar_lines(pairs.join(b, "b").join(a, "a"))
 
-    _, roots = classes(sketched.filter("n > 0"), lambda ids: _line_sets(texts_of(ids)), _percent, confirm, (sketched,), sketched)
+    _, roots = classes(sketched.filter("n > 0"), lambda ids: _line_sets(texts_of(ids)), _percent, confirm, (sketched,), sketched, percent_of)
     rooted = same.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("at").alias("first"), F.max("last").alias("last")).filter("first <> last").select("root", "first")
     touched = written(rooted.select("id", "root").join(groups, "root").select("id", "first"), "touched", same)
@@ -240,8 +242,8 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     gone = duplicate_lines(docs, short)
-    few = gone.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    by_text = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).agg(F.collect_list("line").alias("_gone"))
+    by_text = written(gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).agg(F.collect_list("line").alias("_gone")), "gone-texts", gone)
+    few = (by_text.agg(F.sum(ROW_BYTES + 4 * F.size("_gone"))).first()[0] or 0) <= BROADCAST_BYTES
     of = (docs.doc_id.cast("long") == F.col("_doc")) & (F.xxhash64(docs.text.cast("string")) == F.col("_tkey"))
     joined = docs.join(F.broadcast(by_text) if few else by_text, of, "left")
     joined = joined.select(*docs.columns, "_gone")

@@ -4,7 +4,8 @@ No step emits all pairs of a bucket up front. Every member is first compared wit
 that meets most others over all buckets (of a group of copies, its centre), which settles buckets whose members
 really are alike. What the leaders leave apart is compared across the classes found so far, so no link inside a
 bucket is lost; a pair is made only if sizes and 512-bit sketches leave its similarity possible and, for sets of
-up to SMALL members, which travel with the rows, if it is a link. A large bucket is cut into blocks whose pairs are
+up to SMALL members, which travel with the rows, if it is a link. Of buckets of up to FEW ids the pairs whose sizes leave them
+possible are made at once where the ids meet, and these buckets take no part in the rest. A large bucket is cut into blocks whose pairs are
 keys of their own, so that a task holds two blocks of it; comparing k members of different classes still takes k * k / 2
 comparisons of sketches.
 """
@@ -35,6 +36,10 @@ SMALL = 1024
 BLOCK = 2048
 #: Members up to which a bucket's pairs are made before their sets are compared.
 FEW_LEFT = 64
+#: Ids up to which a bucket's pairs are made where its ids meet: at most (FEW - 1) / 2 for each of them.
+FEW = 8
+#: Steps of sizes to a factor of two, and bits of a size in such steps.
+SIZE_STEPS, SIZE_BITS = 12, 8
 #: Pairs of key and id that a task packs at a time, and that meet in a partition (16 bytes each, some three times that while sorted).
 BATCH_PAIRS, PART_PAIRS = 1 << 20, 1 << 22
 
@@ -119,7 +124,12 @@ def _linked(a: Column, b: Column, percent: Percent) -> Column:
     return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
+def _size_level(n: np.ndarray) -> np.ndarray:
+    """Sizes in steps that fit SIZE_BITS."""
+    return np.minimum(np.floor(SIZE_STEPS * np.log2(np.maximum(n, 1))), (1 << SIZE_BITS) - 1).astype(np.uint64)
+
+
+def shared_keys(keyed: DataFrame, least: int | None = None) -> DataFrame:
     """(key, id, many): the keys of `keyed` (id: a long, keys: an array of distinct longs) that two ids or more have, and how many have them in what was seen together.
 
     Rows repeated under one id count once. A batch of rows sends each of its keys to the key's place once, packed with
@@ -127,23 +137,34 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     So a key that very many ids have costs a place one entry a batch, and memory follows the number of places. Of a key
     the highest 32 bits below its place's are kept: a place holds half a million, so about one in ten thousand is taken
     for another, which makes candidates and no links.
+
+    With `least`, a similarity in percent, `keyed` has the sizes n too. Of keys that up to FEW ids have the
+    pairs come instead, if the smaller size is `least` percent of the larger: key and id are then a pair's ids, the smaller first, and many is 0.
     """
     pairs = keyed.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
     parts = max(1, -(-pairs // PART_PAIRS))
     bits = max(1, (8 * parts - 1).bit_length())
     low = np.uint64((1 << (32 - min(bits, 31))) - 1)
+    level_bits = np.uint64((1 << SIZE_BITS) - 1)
+    # the last level holds all larger sizes, and rounding may part two sizes by one step more
+    apart = None if least is None or low < level_bits else int(SIZE_STEPS * np.log2(100 / least)) + 2
 
-    def packed(ids: np.ndarray, keys: np.ndarray, sizes: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+    def packed(ids: np.ndarray, keys: np.ndarray, sizes: np.ndarray, levels: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
         _, at = np.unique(ids, return_index=True)
         once = np.zeros(len(ids), dtype=bool)
         once[at] = True
-        keys, ids = keys[np.repeat(once, sizes)] & ~low, np.repeat(ids[once], sizes[once])
+        keys, ids = keys[np.repeat(once, sizes)] & ~low | np.repeat(levels[once], sizes[once]), np.repeat(ids[once], sizes[once])
         order = np.argsort(keys)
-        keys, ids = keys[order], ids[order]
+        sized, ids = keys[order], ids[order]
+        keys = sized & ~low
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         many = np.diff(np.append(first, len(keys)))
-        twice = np.repeat(many > 1, many)
-        for own, of, count, sure in ((keys[first], ids[first], many, False), (keys[twice], ids[twice], np.repeat(many, many)[twice], True)):
+        # where pairs are made of few ids, all those of a key go to its place, as far as they may be few
+        twice = np.repeat(many > (1 if apart is None else FEW), many)
+        sent = ~twice
+        sent[first] = True
+        count = np.where(twice, np.repeat(many, many), 1)
+        for own, of, count, sure in ((sized[sent], ids[sent], count[sent], False), (keys[twice], ids[twice], np.repeat(many, many)[twice], True)):
             place = (own >> np.uint64(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(own) else np.zeros(0, dtype=np.int64)
             ends = np.append(cuts, len(own)).astype(np.int32)
@@ -153,14 +174,15 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(np.full(len(cuts), sure)), *blobs], names=["place", "sure", "keys", "ids", "many"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         total = turn = 0
         for batch in batches:
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             ids, keys = batch.column(0).to_numpy(), lists.values.to_numpy().view(np.uint64)
+            levels = np.zeros(len(ids), dtype=np.uint64) if apart is None else _size_level(batch.column(2).to_numpy())
             for lo, hi in K.slices(offsets, BATCH_PAIRS):
-                held.append((ids[lo:hi], keys[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])))
+                held.append((ids[lo:hi], keys[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1]), levels[lo:hi]))
                 total += int(offsets[hi] - offsets[lo])
                 if total >= BATCH_PAIRS:
                     yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)), turn)
@@ -168,16 +190,42 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
         if total:
             yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)), turn)
 
-    def met(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def met(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, ids, many = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(keys)
-        keys, ids, many = keys[order], ids[order], many[order]
+        sized, ids, many = keys[order], ids[order], many[order]
+        keys = sized & ~low
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(first, len(keys)))
         total = np.add.reduceat(many, first)
         shared = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(many, first) > 1)
+        if apart is not None:
+            # of what is shared, each id once
+            own = np.flatnonzero(np.repeat(shared, size))
+            if not len(own):
+                return
+            own = own[np.lexsort((ids[own], sized[own]))]
+            sized, ids, many = sized[own], ids[own], many[own]
+            new = np.ones(len(own), dtype=bool)
+            new[1:] = (sized[1:] != sized[:-1]) | (ids[1:] != ids[:-1]) | (many[1:] > 1) | (many[:-1] > 1)
+            sized, ids, many = sized[new], ids[new], many[new]
+            keys = sized & ~low
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(first, len(keys)))
+            total = np.add.reduceat(many, first)
+            shared = np.ones(len(first), dtype=bool)
+            few = shared & (size <= FEW) & (np.maximum.reduceat(many, first) == 1)
+            shared &= ~few
+            own = np.flatnonzero(np.repeat(few, size))
+            after = (np.repeat(first + size, size)[own] - own - 1).astype(np.int64)  # of a bucket's ids, those behind this one
+            one = np.repeat(own, after)
+            two = one + np.arange(len(one)) - np.repeat(np.cumsum(after) - after, after) + 1
+            level = (sized & level_bits).astype(np.int64)
+            fit = ((level[two] - level[one] <= apart) | (level[two] == int(level_bits))) & (ids[one] != ids[two])
+            one, two = ids[one[fit]], ids[two[fit]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(np.zeros(len(one), np.int64))], names=["key", "id", "many"])
         out = np.repeat(shared, size) & (many == 1)
-        return pa.RecordBatch.from_arrays([pa.array(keys[out].view(np.int64)), pa.array(ids[out]), pa.array(np.repeat(total, size)[out].astype(np.int64))], names=["key", "id", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[out].view(np.int64)), pa.array(ids[out]), pa.array(np.repeat(total, size)[out].astype(np.int64))], names=["key", "id", "many"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -189,15 +237,15 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(row[0].view(np.int64)), pa.array(row[1]), pa.array(row[2].astype(np.int64))], names=["key", "id", "many"])
                     continue
                 if place != now and rows:
-                    yield met(rows)
+                    yield from met(rows)
                     rows = []
                 now = place
                 rows.append(row)
         if rows:
-            yield met(rows)
+            yield from met(rows)
 
-    sent = keyed.select("id", "keys").mapInArrow(K.task(send), "place int, sure boolean, keys binary, ids binary, many binary")
-    return sent.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(K.task(meet), "key long, id long, many long").groupBy("key", "id").agg(F.max("many").alias("many"))
+    sent = keyed.select("id", "keys", *(["n"] if apart is not None else [])).mapInArrow(K.task(send), "place int, sure boolean, keys binary, ids binary, many binary")
+    return sent.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(K.task(meet), "key long, id long, many long").groupBy("key", "id", (F.col("many") == 0).alias("_pair")).agg(F.max("many").alias("many")).drop("_pair")
 
 
 def _met(x: DataFrame, y: DataFrame, how: str, also: Column) -> DataFrame:
@@ -219,25 +267,87 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other", "many")
 
 
-def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent, confirm: Callable[[DataFrame], DataFrame] | None = None, spent: tuple[DataFrame, ...] = (), source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _cell_links(held: DataFrame, percent_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b), a < b: the links between rows `held` (key, low, high, block, id, root, members) of one bucket and block pair and of different classes, by their whole sets.
+
+    A task holds one bucket and block pair at a time. Each row's members are marked and the others' marks counted, some nanoseconds a member.
+    """
+
+    def compared(ids: np.ndarray, roots: np.ndarray, blocks: np.ndarray, across: bool, members: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(blocks, kind="stable")
+        ids, roots, blocks, members = ids[order], roots[order], blocks[order], [members[i] for i in order]
+        size = np.array([len(m) for m in members])
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        named, codes = np.unique(np.concatenate(members), return_inverse=True)
+        marks = np.zeros(len(named), dtype=np.uint8)
+        second = int(np.searchsorted(blocks, blocks[0], side="right"))
+        one, two = [], []
+        for i in range(second if across else len(ids) - 1):
+            j = second if across else i + 1  # members of one block meet in its own pair alone
+            if j == len(ids):
+                break
+            own = codes[bounds[i] : bounds[i + 1]]
+            marks[own] = 1
+            both = np.add.reduceat(marks[codes[bounds[j] :]], bounds[j:-1] - bounds[j], dtype=np.int64)
+            marks[own] = 0
+            linked = (100 * both >= percent_of(np.maximum(size[i], size[j:])) * (size[i] + size[j:] - both)) & (roots[j:] != roots[i])
+            at = j + np.flatnonzero(linked)
+            one.append(np.minimum(ids[i], ids[at]))
+            two.append(np.maximum(ids[i], ids[at]))
+        pairs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def ended() -> pa.RecordBatch:
+            ids, roots, blocks, members = ([x for p in parts for x in p[i]] for i in range(4))
+            return compared(np.array(ids, np.int64), np.array(roots, np.int64), np.array(blocks, np.int64), now[1] != now[2], members)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi, blocks, ids, roots = (batch.column(i).to_numpy() for i in range(6))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            lists = batch.column(6)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for begin, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                cell = int(key[begin]), int(lo[begin]), int(hi[begin])
+                if cell != now and parts:
+                    yield ended()
+                    parts = []
+                now = cell
+                parts.append((ids[begin:end], roots[begin:end], blocks[begin:end], [values[offsets[i] : offsets[i + 1]].copy() for i in range(begin, end)]))
+        if parts:
+            yield ended()
+
+    place = ["key", "low", "high"]
+    dealt = held.select(*place, "block", "id", "root", "members").repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(K.task(run), "a long, b long")
+
+
+def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], percent: Percent, confirm: Callable[[DataFrame], DataFrame] | None = None, spent: tuple[DataFrame, ...] = (), source: DataFrame | None = None, percent_of: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes of ids that share a key: links and components.
 
     sketches: rows (id, keys: the buckets that the id is in, n, s0 ..: the set size and sketch bits); equal
     rows may repeat; `source` is the written table that they are read from. `spent` are tables to delete once the sketches have been read. confirm(pairs) returns those of
     (a, b) that are links, by default told from their members. members(ids) takes a table of distinct ids (id) and returns their sets (id, members), none of them
-    empty. Returns the links (a, b), a < b, that were compared and found, and (node, root) for every linked id; ids
+    empty. percent_of is `percent` for sizes in a task, needed only if that isn't a number; it must not fall. Returns the links (a, b), a < b, that were compared and found, and (node, root) for every linked id; ids
     without a link are in neither. A bucket of one id makes nothing.
     """
     read = [source] if source is not None else []
-    shared = written(shared_keys(sketches.select("id", "keys")), "shared", *read)
-    met = written(shared.groupBy("id").agg(F.sum("many").alias("met")), "met", shared)
+    share = percent_of or (lambda larger: np.full(np.shape(larger), percent))
+    shared = written(shared_keys(sketches.select("id", "keys", "n"), int(share(np.array([1]))[0])), "shared", *read)
+    paired, gathered = shared.filter("many = 0").select(F.col("key").alias("a"), F.col("id").alias("b")), shared.filter("many > 0")
+    once = shared.select("id", "many").unionByName(paired.select(F.col("a").alias("id"), F.lit(0).cast("long").alias("many")))
+    met = written(once.groupBy("id").agg(F.sum("many").alias("met")), "met", shared)
     known = written(restrict(sketches.select("id", "n", *BITS), met.select("id"), "id").dropDuplicates(["id"]), "known", *read)
     drop(*spent)
     confirm = confirm or (lambda pairs: _confirmed(pairs, members, percent))
-    lead = shared.select("key", "id").join(met, "id").groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"))
+    lead = gathered.select("key", "id").join(met, "id").groupBy("key").agg(F.count("*").alias("many"), F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("lead"))
     lead = written(lead.select("key", "many", (-F.col("lead.minus")).alias("lead")), "leaders", shared)
     drop(met)
-    led = shared.join(lead, "key").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    led = gathered.join(lead, "key").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).unionByName(paired).distinct()
     x, y = known.alias("x"), known.alias("y")
     pairs = led.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & possible("x", "y", percent))
     pairs = written(pairs.select("a", "b"), "pairs", shared, known)
@@ -246,7 +356,7 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
     roots = components(links)
 
     # Buckets that still hold more than one class: compare the members of different classes. Members and leaders were compared above.
-    placed = shared.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = gathered.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     placed = written(placed.join(lead.filter("many > 2"), "key"), "placed", shared)
     drop(shared, lead)
     mixed = written(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"), "mixed-keys", placed)
@@ -273,13 +383,15 @@ def classes(sketches: DataFrame, members: Callable[[DataFrame], DataFrame], perc
     else:
         ids = written(crowded.filter(F.col("n") <= SMALL).select("id").distinct(), "ids", rows)
         small = _written(members(ids), "sets")
-        held = _blocks(crowded).join(small, "id", "left")
-        large = F.col("x.members").isNull() | F.col("y.members").isNull()
-        found = _met(held, held, "inner", later & (large | _linked(F.col("x.members"), F.col("y.members"), percent)))
-        found = written(found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), large.alias("open")).distinct(), "pairs", rows, small)
+        inside = written(_cell_links(_blocks(crowded.select("key", "id", "many", "root")).join(small, "id"), share).distinct(), "links", rows, small)
+        # pairs with a set too large to travel are told from their texts
+        large = (F.col("x.n") > SMALL) & ((F.col("y.n") <= SMALL) | (F.col("x.id") < F.col("y.id")))
+        held = _blocks(crowded)
+        open_pairs = _met(held.filter(F.col("n") > SMALL), held, "inner", large & possible("x", "y", percent))
+        open_pairs = written(open_pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).unionByName(told).distinct(), "pairs", rows, told)
         drop(ids, small)
-        more = written(found.filter("not open").select("a", "b").unionByName(confirm(found.filter("open").select("a", "b").unionByName(told).distinct())).distinct(), "links", found, told)
-        drop(found)
+        more = written(inside.unionByName(confirm(open_pairs)).distinct(), "links", inside, open_pairs)
+        drop(inside, open_pairs)
     drop(told, rows)
     if more.isEmpty():
         return links, roots
