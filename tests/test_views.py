@@ -111,3 +111,19 @@ def test_cells_meet_in_a_shuffle(spark):
     plan = candidate_pairs(own, cell=7)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.split("\n") if "Join" in line and "row#" in line and "column#" in line]
     assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
+def test_pairs_carry_marks_and_no_texts(spark):
+    """Asked for ids and types, cells hold marks of the facts and not their texts, and a pair makes no lists and reads no statement."""
+    plan = relate(facts(spark, 60, 40)).select("fact_a", "fact_b", "type")._jdf.queryExecution().optimizedPlan().toString()
+    pairs, _, sides = plan.partition("Join Inner, ")
+    assert "x_fact_id" in pairs and not any(t in pairs for t in ("exists(", "filter(", "statement", "struct("))
+    assert "x__period" in sides and not any(t in sides for t in ("x_statement", "x_evidence", "struct(fact_id"))
+
+
+def test_wildcards_of_one_document_alone(spark):
+    """The last document's facts are first in no pair, and one document has no pairs; documents between have both."""
+    rows = [(f"w{d}", d, 1, "Group Ltd", "Total Revenue", f"${d} million", "FY 2020", "", "") for d in (3, 5, 9)]
+    found = lambda rows: {(r["fact_a"], r["fact_b"], r["type"]) for r in relate(spark.createDataFrame(rows, FACTS)).collect()}
+    assert found(rows[:1]) == set()
+    assert found(rows) == {("w3", "w5", "CONTRADICTED"), ("w3", "w9", "CONTRADICTED"), ("w5", "w9", "CONTRADICTED")}
